@@ -1,13 +1,18 @@
 """The analysis as one lazily built graph of DataFrames.
 
-Each property is one intermediate of the analysis; nothing runs until a result
-is collected or written. The only eager steps are two bounded scalars: the
-topic size (which decides whether the topic set is broadcast, how many topic
-entities are "basic"/"common", and whether avidity runs at all).
-
-With `persist=True` the three frames that many results reuse (region facts,
-topic share, entity implications) are persisted MEMORY_AND_DISK, so a batch of
-reports computes them once; lost executors recompute them from lineage.
+Each property is one intermediate of the analysis. Results are lazy; the only
+eager steps are row counts of entity-level sets (topic entities, big entities,
+topic-or-big entities). Those counts decide whether a set is broadcast to the
+tasks holding like facts (entity sets are orders of magnitude smaller than the
+facts, and a broadcast keeps the facts from ever being shuffled by entity, so
+a hot entity cannot overload one task) or, above `broadcast_max_rows`, joined
+with a shuffle that AQE splits when skewed. The topic count also fixes how many
+topic entities are "basic"/"common" and whether avidity runs at all.
+
+With `persist=True` (the default) the frames many results reuse are persisted
+MEMORY_AND_DISK: region like facts, the entity sets, topic share and entity
+implications. Lost executors recompute lost blocks from lineage.
+`unpersist()` releases them.
 """
 
 from __future__ import annotations
@@ -25,17 +30,33 @@ from fanscope.sources.schemas import AffinityTables
 
 
 class AffinityPipeline:
-    def __init__(self, tables: AffinityTables, params: AffinityParams, persist: bool = False):
+    def __init__(self, tables: AffinityTables, params: AffinityParams, persist: bool = True):
         self.t = tables
         self.p = params
         self.persist = persist
+        self._persisted: list[DataFrame] = []
 
     @property
     def spark(self) -> SparkSession:
         return self.t.fact_like.sparkSession
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
+        if not self.persist:
+            return df
+        self._persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def unpersist(self) -> None:
+        for df in self._persisted:
+            df.unpersist()
+        self._persisted.clear()
+
+    def _sized(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Persist an entity-level set, count it, and hint a broadcast when the
+        count is within `broadcast_max_rows`."""
+        kept = self._keep(df)
+        n = kept.count()
+        return bounded_broadcast(kept, n, self.p.broadcast_max_rows), n
 
     # --- entities and topic -------------------------------------------------
     @cached_property
@@ -53,14 +74,17 @@ class AffinityPipeline:
         return self.t.topic.select("like_id", "name", "type").distinct()
 
     @cached_property
-    def n_topic(self) -> int:
-        """Distinct topic ids (a bounded scalar action)."""
-        return topic.topic_ids(self.topic_entities).count()
+    def _topic_ids_sized(self) -> tuple[DataFrame, int]:
+        return self._sized(topic.topic_ids(self.topic_entities))
 
-    @cached_property
+    @property
     def topic_ids(self) -> DataFrame:
-        ids = topic.topic_ids(self.topic_entities)
-        return bounded_broadcast(ids, self.n_topic, self.p.broadcast_max_rows)
+        return self._topic_ids_sized[0]
+
+    @property
+    def n_topic(self) -> int:
+        """Distinct topic ids."""
+        return self._topic_ids_sized[1]
 
     # --- region -----------------------------------------------------------------
     @cached_property
@@ -84,12 +108,16 @@ class AffinityPipeline:
         return affinity.person_total_counts(self.region_facts)
 
     @cached_property
+    def _big_likes_sized(self) -> tuple[DataFrame, int]:
+        return self._sized(topic.big_likes(self.region_facts, self.p.big_min_exclusive))
+
+    @property
     def big_likes(self) -> DataFrame:
-        return topic.big_likes(self.region_facts, self.p.big_min_exclusive)
+        return self._big_likes_sized[0]
 
     @cached_property
     def topic_and_big_likes(self) -> DataFrame:
-        return topic.topic_and_big_likes(self.topic_ids, self.big_likes, self.t.dim_like)
+        return self._sized(topic.topic_and_big_likes(self.topic_ids, self.big_likes, self.t.dim_like))[0]
 
     # --- share and implications ----------------------------------------------
     @cached_property

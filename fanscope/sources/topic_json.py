@@ -33,10 +33,10 @@ def parse_entity_json(text: Column, id_type: DataType | str = "string") -> list[
 
 def topic_from_json_texts(df: DataFrame, col: str = "value",
                           id_type: DataType | str = "string") -> DataFrame:
-    """Parse a column of entity JSON texts; repeated ids collapse (a topic is a set)."""
+    """Parse a column of entity JSON texts. Rows come back as they are; the
+    pipeline deduplicates the topic (a repeated id counts once)."""
     return (df.select(*parse_entity_json(F.col(col), id_type))
-            .filter(F.col("like_id").isNotNull())
-            .distinct())
+            .filter(F.col("like_id").isNotNull()))
 
 
 def read_topic_lines(spark: SparkSession, path: str,
