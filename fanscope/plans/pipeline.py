@@ -9,14 +9,21 @@ a hot entity cannot overload one task) or, above `broadcast_max_rows`, joined
 with a shuffle that AQE splits when skewed. The topic count also fixes how many
 topic entities are "basic"/"common" and whether avidity runs at all.
 
-With `persist=True` (the default) the frames many results reuse are persisted
-MEMORY_AND_DISK: region like facts, the entity sets, topic share and entity
-implications. Lost executors recompute lost blocks from lineage.
-`unpersist()` releases them.
+The frames many results reuse (region like facts, the entity sets, topic
+share, entity implications) are kept according to `store`:
+  "memory"      persist MEMORY_AND_DISK (default); lost executors recompute
+                lost blocks from lineage. `unpersist()` releases them.
+  "checkpoint"  write them as parquet under the cluster's shared
+                `spark.checkpoint.dir`, in folders keyed by a fingerprint of
+                the parameters and the input file listing, and read them back:
+                lineage is cut, a rerun on unchanged inputs reuses them, and
+                any change of input or parameter misses.
+  "none"        keep nothing (every result recomputes its inputs).
 """
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -26,24 +33,34 @@ from pyspark.sql import functions as F
 from fanscope.operators import affinity, avidity, census, edge, factors, profiles, region, slices, topic
 from fanscope.operators.joins import bounded_broadcast
 from fanscope.params import AffinityParams
+from fanscope.session import checkpoint_root
+from fanscope.sinks import input_fingerprint, materialize
 from fanscope.sources.schemas import AffinityTables
 
 
 class AffinityPipeline:
-    def __init__(self, tables: AffinityTables, params: AffinityParams, persist: bool = True):
+    def __init__(self, tables: AffinityTables, params: AffinityParams, store: str = "memory"):
+        if store not in ("memory", "checkpoint", "none"):
+            raise ValueError(f"unknown store {store!r}")
         self.t = tables
         self.p = params
-        self.persist = persist
+        self.store = store
         self._persisted: list[DataFrame] = []
 
     @property
     def spark(self) -> SparkSession:
         return self.t.fact_like.sparkSession
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        if not self.persist:
-            return df
-        self._persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    @cached_property
+    def checkpoint_prefix(self) -> str:
+        fp = input_fingerprint(self.t.fingerprint_parts(), self.p.fingerprint())
+        return os.path.join(checkpoint_root(self.spark), fp)
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        if self.store == "checkpoint":
+            return materialize(df, os.path.join(self.checkpoint_prefix, name))
+        if self.store == "memory":
+            self._persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
     def unpersist(self) -> None:
@@ -51,10 +68,10 @@ class AffinityPipeline:
             df.unpersist()
         self._persisted.clear()
 
-    def _sized(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """Persist an entity-level set, count it, and hint a broadcast when the
+    def _sized(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Keep an entity-level set, count it, and hint a broadcast when the
         count is within `broadcast_max_rows`."""
-        kept = self._keep(df)
+        kept = self._keep(df, name)
         n = kept.count()
         return bounded_broadcast(kept, n, self.p.broadcast_max_rows), n
 
@@ -75,7 +92,7 @@ class AffinityPipeline:
 
     @cached_property
     def _topic_ids_sized(self) -> tuple[DataFrame, int]:
-        return self._sized(topic.topic_ids(self.topic_entities))
+        return self._sized(topic.topic_ids(self.topic_entities), "topic_ids")
 
     @property
     def topic_ids(self) -> DataFrame:
@@ -101,7 +118,7 @@ class AffinityPipeline:
 
     @cached_property
     def region_facts(self) -> DataFrame:
-        return self._keep(region.region_like_facts(self.t.fact_like, self.region_people))
+        return self._keep(region.region_like_facts(self.t.fact_like, self.region_people), "region_facts")
 
     @cached_property
     def person_total_counts(self) -> DataFrame:
@@ -109,7 +126,7 @@ class AffinityPipeline:
 
     @cached_property
     def _big_likes_sized(self) -> tuple[DataFrame, int]:
-        return self._sized(topic.big_likes(self.region_facts, self.p.big_min_exclusive))
+        return self._sized(topic.big_likes(self.region_facts, self.p.big_min_exclusive), "big_likes")
 
     @property
     def big_likes(self) -> DataFrame:
@@ -117,7 +134,8 @@ class AffinityPipeline:
 
     @cached_property
     def topic_and_big_likes(self) -> DataFrame:
-        return self._sized(topic.topic_and_big_likes(self.topic_ids, self.big_likes, self.t.dim_like))[0]
+        return self._sized(topic.topic_and_big_likes(self.topic_ids, self.big_likes, self.t.dim_like),
+                           "topic_and_big_likes")[0]
 
     # --- share and implications ----------------------------------------------
     @cached_property
@@ -135,7 +153,7 @@ class AffinityPipeline:
     @cached_property
     def person_topic_share(self) -> DataFrame:
         return self._keep(affinity.person_topic_share(self.person_relevant_counts,
-                                                      self.person_topic_counts))
+                                                      self.person_topic_counts), "person_topic_share")
 
     @cached_property
     def big_like_facts(self) -> DataFrame:
@@ -152,7 +170,8 @@ class AffinityPipeline:
     @cached_property
     def entity_implications(self) -> DataFrame:
         return self._keep(affinity.entity_implications(self.like_topic_stats,
-                                                       self.topic_and_big_likes, self.p.exponent))
+                                                       self.topic_and_big_likes, self.p.exponent),
+                          "entity_implications")
 
     @cached_property
     def offtopic_implications(self) -> DataFrame:

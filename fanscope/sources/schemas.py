@@ -68,11 +68,30 @@ class AffinityTables:
     categories: dict[str, list[str]]
     names: list[str]
 
+    def plan_hashes(self) -> list[str]:
+        """Semantic hash of each input's canonical plan: covers column
+        derivations and in-memory rows, which a file listing cannot."""
+        frames = (self.fact_like, self.dim_like, self.fact_location, self.dim_location,
+                  self.person_info, self.topic, self.census)
+        return [str(df.semanticHash()) if df is not None else "-" for df in frames]
+
+    def fingerprint_parts(self) -> list[str]:
+        vocab = [f"{g}:{'|'.join(ts)}" for g, ts in sorted(self.categories.items())]
+        return self.input_files() + self.plan_hashes() + vocab + ["names:" + "|".join(self.names)]
+
     def input_files(self) -> list[str]:
-        """Files behind every scanned table (for checkpoint fingerprints)."""
+        """`path|length|modificationTime` of every file behind a scanned table,
+        for checkpoint fingerprints: any changed, added or removed file changes
+        the listing. The listing is one small distributed job over file
+        metadata (file contents are not read)."""
         files: set[str] = set()
         for df in (self.fact_like, self.dim_like, self.fact_location,
                    self.dim_location, self.person_info, self.topic):
             if df is not None:
                 files.update(df.inputFiles())
-        return sorted(files)
+        if not files:
+            return []
+        spark = self.fact_like.sparkSession
+        meta = (spark.read.format("binaryFile").load(sorted(files))
+                .select("path", "length", "modificationTime"))
+        return sorted(f"{r.path}|{r.length}|{r.modificationTime}" for r in meta.collect())
