@@ -110,7 +110,12 @@ class AffinityPipeline:
 
     @cached_property
     def region_people(self) -> DataFrame:
-        return region.region_people(self.t.fact_location, self.t.dim_location, self.p.region_value)
+        """Kept and counted: when the region's people fit the broadcast bound,
+        the fact table is semi-joined without being shuffled by person (a hot
+        person then cannot funnel into one task); above it, the semi-join
+        shuffles and AQE splits skewed partitions."""
+        return self._sized(region.region_people(self.t.fact_location, self.t.dim_location,
+                                                self.p.region_value), "region_people")[0]
 
     @cached_property
     def region_people_states(self) -> DataFrame:
