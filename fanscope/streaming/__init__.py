@@ -1,0 +1,10 @@
+"""Streaming.
+
+The analysis fanscope rebuilds is a batch job over complete like, location
+and profile tables: every result depends on whole-table quantities (which
+entities are "big", each person's topic share over all their likes, top-k
+predictors), so there is no incremental or windowed variant in scope and no
+streaming operator is built. A periodic rerun is a batch run with
+`store="checkpoint"`, which reuses every intermediate whose inputs and
+parameters did not change.
+"""

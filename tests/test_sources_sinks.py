@@ -113,3 +113,34 @@ def test_run_reports_writes_everything(spark):
     # T1 has one liker, so it is not big and has no implication (D16).
     top = spark.read.json(os.path.join(out, "top_implications")).collect()
     assert [r.like_id for r in top] == ["B1", "B2"]
+
+
+def test_cli_on_raw_tsv_inputs(spark):
+    """The hand-worked example as raw TSV folders and a topic JSON array."""
+    from fanscope.__main__ import main
+
+    root = tempfile.mkdtemp(prefix="fanscope-raw-")
+    for name in ("fact_like", "dim_like", "fact_location", "dim_location", "person_info"):
+        os.makedirs(os.path.join(root, name))
+    facts = [("f1", "P1", "T1"), ("f2", "P1", "B1"), ("f3", "P2", "B1"), ("f4", "P2", "B2"),
+             ("f5", "P3", "B2"), ("f6", "P3", "B1"), ("f7", "P4", "T1"), ("f8", "P5", "B1"),
+             ("f9", "P1", "B1")]
+    _write(os.path.join(root, "fact_like"), "part-0", ["\t".join(f) for f in facts])
+    _write(os.path.join(root, "dim_like"), "part-0",
+           ["T1\ttopic one\tShow\tx1", "B1\tbig one\tBand\tx2", "B2\tbig two\tBand\tx3"])
+    _write(os.path.join(root, "fact_location"), "part-0",
+           [f"r{i}\t{p}\t{loc}" for i, (p, loc) in
+            enumerate([("P1", "L1"), ("P2", "L1"), ("P3", "L1"), ("P4", "L1"), ("P5", "L2")])])
+    _write(os.path.join(root, "dim_location"), "part-0",
+           ["L1\ta\tb\tc\td\te\tIndia\tDelhi", "L2\ta\tb\tc\td\te\tNepal\tnull"])
+    _write(os.path.join(root, "person_info"), "part-0",
+           ["\t".join([p] + ["null"] * 15) for p in ("P1", "P2", "P3", "P4", "P5")])
+    topic = _write(root, "topic.json", ['[["T1", ["topic one", "Show"]]]'])
+    out = tempfile.mkdtemp(prefix="fanscope-cli-")
+    main(["--data-root", root, "--topic", topic, "--out", out, "--region", "India",
+          "--big-min-exclusive", "1", "--top-offtopic", "1", "--min-topic-entities", "0",
+          "--as-of", "2016-06-01"])
+    nonfans = sorted(r.person_id for r in spark.read.parquet(os.path.join(out, "edge_nonfans")).collect())
+    assert nonfans == ["P2", "P3"]
+    top = [(r.like_id, round(r.score, 6)) for r in spark.read.json(os.path.join(out, "top_implications")).collect()]
+    assert top == [("T1", 0.820763), ("B1", 0.252619), ("B2", 0.0)]
