@@ -28,10 +28,13 @@ def entity_multiplicity(topic_and_big: DataFrame) -> DataFrame:
     return topic_and_big.groupBy("like_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def person_relevant_counts(region_facts: DataFrame, topic_and_big: DataFrame) -> DataFrame:
-    """(person_id, n_relevant): facts on topic-or-big entities per person."""
+def person_relevant_counts(region_facts: DataFrame, multiplicity: DataFrame) -> DataFrame:
+    """(person_id, n_relevant): facts on topic-or-big entities per person.
+
+    `multiplicity` is `entity_multiplicity(topic_and_big)`, one row per
+    entity; the caller decides whether it is broadcast."""
     return (region_facts.select("person_id", "like_id")
-            .join(entity_multiplicity(topic_and_big), "like_id")
+            .join(multiplicity, "like_id")
             .groupBy("person_id")
             .agg(F.sum("n_rows").cast("bigint").alias("n_relevant")))
 

@@ -51,13 +51,17 @@ def entity_avidity(topic_and_big: DataFrame, topic_id_df: DataFrame,
     return flagged.select("like_id", "name", "type", score.alias("avidity"))
 
 
-def person_avidity(region_facts: DataFrame, avidity: DataFrame, p: AffinityParams) -> DataFrame:
-    """(person_id, avidity_score, tier) for people with a topic-or-big like.
+def avidity_weights(avidity: DataFrame) -> DataFrame:
+    """(like_id, weight): entity scores summed per like_id (an entity with
+    several (name, type) rows counts once per row), so the fact join is
+    one-to-one."""
+    return avidity.groupBy("like_id").agg(F.sum("avidity").alias("weight"))
+
 
-    Entity scores are first summed per like_id (an entity with several
-    (name, type) rows counts once per row), so the fact join is one-to-one.
-    """
-    weights = avidity.groupBy("like_id").agg(F.sum("avidity").alias("weight"))
+def person_avidity(region_facts: DataFrame, weights: DataFrame, p: AffinityParams) -> DataFrame:
+    """(person_id, avidity_score, tier) for people with a topic-or-big like.
+    `weights` is `avidity_weights(...)`; the caller decides whether it is
+    broadcast."""
     scored = (region_facts.select("person_id", "like_id").join(weights, "like_id")
               .groupBy("person_id").agg(F.sum("weight").cast("bigint").alias("avidity_score")))
     return scored.select("person_id", "avidity_score",

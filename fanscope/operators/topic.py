@@ -41,13 +41,18 @@ def big_likes(region_facts: DataFrame, min_exclusive: int) -> DataFrame:
             .select("like_id"))
 
 
-def topic_and_big_likes(topic_id_df: DataFrame, big: DataFrame, dim_like: DataFrame) -> DataFrame:
-    """(like_id, name, type) for topic or big entities found in the entity table.
+def topic_or_big_ids(topic_id_df: DataFrame, big: DataFrame) -> DataFrame:
+    """(like_id) of topic and big entities (an id in both appears twice; the
+    semi-join below does not care)."""
+    return topic_id_df.select("like_id").unionByName(big.select("like_id"))
+
+
+def topic_and_big_likes(ids: DataFrame, dim_like: DataFrame) -> DataFrame:
+    """(like_id, name, type) for the entities in `ids` found in the entity table.
 
     Written as a semi-join of the entity table, so the entity table is never
     deduplicated as a whole.
     """
-    ids = topic_id_df.select("like_id").unionByName(big.select("like_id"))
     return (dim_like.select("like_id", "name", "type")
             .join(ids, "like_id", "left_semi")
             .distinct())

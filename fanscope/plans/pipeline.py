@@ -137,15 +137,36 @@ class AffinityPipeline:
     def big_likes(self) -> DataFrame:
         return self._big_likes_sized[0]
 
+    @property
+    def n_big(self) -> int:
+        return self._big_likes_sized[1]
+
+    def _entity_bounded(self, df: DataFrame, n_upper: int) -> DataFrame:
+        """Broadcast hint for a frame derived from counted entity sets, which
+        has at most `n_upper` rows (a hint does not survive an aggregation or
+        a union, so derived frames get their own)."""
+        return bounded_broadcast(df, n_upper, self.p.broadcast_max_rows)
+
     @cached_property
+    def _topic_and_big_sized(self) -> tuple[DataFrame, int]:
+        ids = self._entity_bounded(topic.topic_or_big_ids(self.topic_ids, self.big_likes),
+                                   self.n_topic + self.n_big)
+        return self._sized(topic.topic_and_big_likes(ids, self.t.dim_like), "topic_and_big_likes")
+
+    @property
     def topic_and_big_likes(self) -> DataFrame:
-        return self._sized(topic.topic_and_big_likes(self.topic_ids, self.big_likes, self.t.dim_like),
-                           "topic_and_big_likes")[0]
+        return self._topic_and_big_sized[0]
+
+    @property
+    def n_topic_and_big(self) -> int:
+        return self._topic_and_big_sized[1]
 
     # --- share and implications ----------------------------------------------
     @cached_property
     def person_relevant_counts(self) -> DataFrame:
-        return affinity.person_relevant_counts(self.region_facts, self.topic_and_big_likes)
+        multiplicity = self._entity_bounded(affinity.entity_multiplicity(self.topic_and_big_likes),
+                                            self.n_topic_and_big)
+        return affinity.person_relevant_counts(self.region_facts, multiplicity)
 
     @cached_property
     def topic_like_facts(self) -> DataFrame:
@@ -267,7 +288,8 @@ class AffinityPipeline:
 
     @cached_property
     def person_avidity(self) -> DataFrame:
-        return avidity.person_avidity(self.region_facts, self.entity_avidity, self.p)
+        weights = self._entity_bounded(avidity.avidity_weights(self.entity_avidity), self.n_topic_and_big)
+        return avidity.person_avidity(self.region_facts, weights, self.p)
 
     @cached_property
     def tier_implications(self) -> DataFrame:
