@@ -64,3 +64,41 @@ def test_topk_is_take_ordered(plans):
 def test_top_offtopic_ids_broadcast_to_facts(plans):
     # The edge likers semi-join broadcasts the k top off-topic ids.
     assert re.search(r"BroadcastHashJoin LeftSemi", plans["edge_likers"])
+
+
+def test_shuffle_fallback_gives_same_results(spark):
+    """With a zero broadcast bound every counted set takes the shuffle path;
+    results must not change."""
+    import dataclasses
+
+    from fanscope.params import FIXTURE_PARAMS
+    from fanscope.plans.pipeline import AffinityPipeline
+    from fanscope.plans.queries import BUILDERS, build
+    from fanscope.sources.fixtures import load_fixture_tables
+
+    # Earlier tests cached the same logical plans with broadcast joins; start
+    # clean so the fallback plans are planned (and cached) here.
+    spark.catalog.clearCache()
+    tables = load_fixture_tables(spark, SF, FIXTURE_PARAMS)
+    small = AffinityPipeline(tables, dataclasses.replace(FIXTURE_PARAMS, broadcast_max_rows=0))
+    default = None
+    # With AQE's runtime broadcast also off, the joins must plan as shuffles.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(build(small, "entity_implications"))
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        got = {name: sorted(map(tuple, build(small, name).collect()), key=repr) for name in BUILDERS}
+        small.unpersist()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        default = AffinityPipeline(tables, FIXTURE_PARAMS)
+        for name in BUILDERS:
+            want = sorted(map(tuple, build(default, name).collect()), key=repr)
+            assert got[name] == want, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        small.unpersist()
+        if default is not None:
+            default.unpersist()
