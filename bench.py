@@ -59,7 +59,7 @@ def run_all(spark, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus,
                           app_name="fanscope-bench")
     # Warm-up on the smallest fixture: JVM class loading and JIT compilation
     # are not the queries' cost.

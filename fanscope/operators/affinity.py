@@ -14,29 +14,49 @@ from pyspark.sql import functions as F
 from fanscope.functions.scoring import implication_score, rank_key
 
 
-def person_total_counts(region_facts: DataFrame) -> DataFrame:
-    """(person_id, n_likes): all region likes per person."""
-    return region_facts.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_likes"))
-
-
-def entity_multiplicity(topic_and_big: DataFrame) -> DataFrame:
-    """(like_id, n_rows): how many (name, type) rows a topic-or-big entity has.
-
-    Joining facts to this keyed table instead of to topic_and_big itself gives
-    the same counts without multiplying fact rows.
+def entity_flags(topic_id_df: DataFrame, topic_and_big: DataFrame) -> DataFrame:
+    """(like_id, n_rows, is_topic) for every topic or topic-or-big entity.
+
+    n_rows is how many (name, type) rows the entity has in topic_and_big (0
+    for a topic entity missing from the entity table), so joining facts to
+    this one-row-per-entity table gives the original counts without
+    multiplying fact rows."""
+    rows = topic_and_big.select("like_id", F.lit(1).alias("n_rows"), F.lit(False).alias("is_topic"))
+    topics = topic_id_df.select("like_id", F.lit(0).alias("n_rows"), F.lit(True).alias("is_topic"))
+    return (rows.unionByName(topics).groupBy("like_id")
+            .agg(F.sum("n_rows").cast("bigint").alias("n_rows"), F.max("is_topic").alias("is_topic")))
+
+
+def person_summary(region_facts: DataFrame, flags: DataFrame) -> DataFrame:
+    """(person_id, n_likes, n_relevant, n_topic), one row per region person
+    with a like, in a single aggregation:
+
+    n_likes     all region like facts
+    n_relevant  facts on topic-or-big entities (per (name, type) row)
+    n_topic     distinct topic entities liked
+
+    `flags` (from `entity_flags`) is one row per entity; the caller decides
+    whether it is broadcast. The distinct count is a set of topic ids per
+    person, bounded by the topic size and merged partially map-side, so a
+    person with a huge share of all facts still collapses before the shuffle.
     """
-    return topic_and_big.groupBy("like_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return (region_facts.select("person_id", "like_id")
+            .join(flags, "like_id", "left")
+            .groupBy("person_id")
+            .agg(F.count(F.lit(1)).alias("n_likes"),
+                 F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("n_relevant"),
+                 F.size(F.collect_set(F.when(F.col("is_topic"), F.col("like_id")))).cast("bigint")
+                 .alias("n_topic")))
 
 
-def person_relevant_counts(region_facts: DataFrame, multiplicity: DataFrame) -> DataFrame:
-    """(person_id, n_relevant): facts on topic-or-big entities per person.
+def person_total_counts(summary: DataFrame) -> DataFrame:
+    """(person_id, n_likes): all region likes per person."""
+    return summary.select("person_id", "n_likes")
 
-    `multiplicity` is `entity_multiplicity(topic_and_big)`, one row per
-    entity; the caller decides whether it is broadcast."""
-    return (region_facts.select("person_id", "like_id")
-            .join(multiplicity, "like_id")
-            .groupBy("person_id")
-            .agg(F.sum("n_rows").cast("bigint").alias("n_relevant")))
+
+def person_relevant_counts(summary: DataFrame) -> DataFrame:
+    """(person_id, n_relevant) for people with a topic-or-big like."""
+    return summary.filter(F.col("n_relevant") > 0).select("person_id", "n_relevant")
 
 
 def topic_like_facts(region_facts: DataFrame, topic_id_df: DataFrame) -> DataFrame:
@@ -46,17 +66,16 @@ def topic_like_facts(region_facts: DataFrame, topic_id_df: DataFrame) -> DataFra
             .distinct())
 
 
-def person_topic_counts(topic_pairs: DataFrame) -> DataFrame:
+def person_topic_counts(summary: DataFrame) -> DataFrame:
     """(person_id, n_topic): distinct topic entities liked; the fans."""
-    return topic_pairs.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_topic"))
+    return summary.filter(F.col("n_topic") > 0).select("person_id", "n_topic")
 
 
-def person_topic_share(relevant: DataFrame, topic_counts: DataFrame) -> DataFrame:
-    """(person_id, share) = n_topic / n_relevant, 0 for people without topic likes."""
-    return (relevant.join(topic_counts, "person_id", "left")
-            .select("person_id",
-                    (F.coalesce(F.col("n_topic"), F.lit(0)).cast("double")
-                     / F.col("n_relevant")).alias("share")))
+def person_topic_share(summary: DataFrame) -> DataFrame:
+    """(person_id, share) = n_topic / n_relevant for people with a
+    topic-or-big like (0 for those without topic likes)."""
+    return (summary.filter(F.col("n_relevant") > 0)
+            .select("person_id", (F.col("n_topic").cast("double") / F.col("n_relevant")).alias("share")))
 
 
 def big_like_facts(region_facts: DataFrame, big: DataFrame) -> DataFrame:

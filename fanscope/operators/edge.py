@@ -4,6 +4,7 @@ predictors, and those of them with no topic like."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fanscope.operators.affinity import top_implications
 from fanscope.operators.joins import top_k_broadcast
@@ -25,8 +26,9 @@ def edge_likers(region_facts: DataFrame, top_ids: DataFrame) -> DataFrame:
             .select("person_id").distinct())
 
 
-def edge_nonfans(relevant: DataFrame, topic_counts: DataFrame, likers: DataFrame) -> DataFrame:
-    """(person_id): relevant people who are not fans but are edge likers."""
-    return (relevant.select("person_id")
-            .join(topic_counts.select("person_id"), "person_id", "left_anti")
+def edge_nonfans(summary: DataFrame, likers: DataFrame) -> DataFrame:
+    """(person_id): relevant people who are not fans but are edge likers
+    (`summary` from `affinity.person_summary`)."""
+    return (summary.filter((F.col("n_relevant") > 0) & (F.col("n_topic") == 0))
+            .select("person_id")
             .join(likers, "person_id", "left_semi"))

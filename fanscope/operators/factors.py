@@ -19,15 +19,17 @@ METRIC_COLUMNS = ("population", "fans", "fan_likes", "edge", "fandom_sum",
                   "mean_fan_likes", "fan_concentration", "edge_concentration", "fandom")
 
 
-def person_metrics(population: DataFrame, topic_counts: DataFrame, share: DataFrame,
-                   edge: DataFrame) -> DataFrame:
+def person_metrics(summary: DataFrame, edge: DataFrame) -> DataFrame:
     """(person_id, n_topic, share, is_edge), one row per person with a region
-    like. Fans, relevant people and edge people are subsets of that
-    population, so left joins keep everyone. All inputs are keyed (and
-    partitioned) by person_id."""
-    return (population.select("person_id")
-            .join(topic_counts.select("person_id", "n_topic"), "person_id", "left")
-            .join(share.select("person_id", "share"), "person_id", "left")
+    like (`summary` from `affinity.person_summary`): n_topic is NULL for
+    non-fans, share NULL for people without a topic-or-big like, is_edge NULL
+    unless an edge non-fan. Edge people are a subset of the summary, so one
+    left join keeps everyone."""
+    return (summary.select(
+                "person_id",
+                F.when(F.col("n_topic") > 0, F.col("n_topic")).alias("n_topic"),
+                F.when(F.col("n_relevant") > 0,
+                       F.col("n_topic").cast("double") / F.col("n_relevant")).alias("share"))
             .join(edge.select("person_id", F.lit(True).alias("is_edge")), "person_id", "left"))
 
 

@@ -9,8 +9,8 @@ a hot entity cannot overload one task) or, above `broadcast_max_rows`, joined
 with a shuffle that AQE splits when skewed. The topic count also fixes how many
 topic entities are "basic"/"common" and whether avidity runs at all.
 
-The frames many results reuse (region like facts, the entity sets, topic
-share, entity implications) are kept according to `store`:
+The frames many results reuse (region like facts, the entity sets, the
+per-person summary, entity implications) are kept according to `store`:
   "memory"      persist MEMORY_AND_DISK (default); lost executors recompute
                 lost blocks from lineage. `unpersist()` releases them.
   "checkpoint"  write them as parquet under the cluster's shared
@@ -92,7 +92,8 @@ class AffinityPipeline:
 
     @cached_property
     def _topic_ids_sized(self) -> tuple[DataFrame, int]:
-        return self._sized(topic.topic_ids(self.topic_entities), "topic_ids")
+        source = self.t.topic if self.t.topic is not None else self.discovered_entities
+        return self._sized(topic.topic_ids(source), "topic_ids")
 
     @property
     def topic_ids(self) -> DataFrame:
@@ -125,9 +126,6 @@ class AffinityPipeline:
     def region_facts(self) -> DataFrame:
         return self._keep(region.region_like_facts(self.t.fact_like, self.region_people), "region_facts")
 
-    @cached_property
-    def person_total_counts(self) -> DataFrame:
-        return affinity.person_total_counts(self.region_facts)
 
     @cached_property
     def _big_likes_sized(self) -> tuple[DataFrame, int]:
@@ -162,11 +160,21 @@ class AffinityPipeline:
         return self._topic_and_big_sized[1]
 
     # --- share and implications ----------------------------------------------
+    @cached_property
+    def person_summary(self) -> DataFrame:
+        """(person_id, n_likes, n_relevant, n_topic): every person-level count
+        in one aggregation; kept, since most results start from it."""
+        flags = self._entity_bounded(affinity.entity_flags(self.topic_ids, self.topic_and_big_likes),
+                                     self.n_topic + self.n_topic_and_big)
+        return self._keep(affinity.person_summary(self.region_facts, flags), "person_summary")
+
+    @cached_property
+    def person_total_counts(self) -> DataFrame:
+        return affinity.person_total_counts(self.person_summary)
+
     @cached_property
     def person_relevant_counts(self) -> DataFrame:
-        multiplicity = self._entity_bounded(affinity.entity_multiplicity(self.topic_and_big_likes),
-                                            self.n_topic_and_big)
-        return affinity.person_relevant_counts(self.region_facts, multiplicity)
+        return affinity.person_relevant_counts(self.person_summary)
 
     @cached_property
     def topic_like_facts(self) -> DataFrame:
@@ -174,12 +182,11 @@ class AffinityPipeline:
 
     @cached_property
     def person_topic_counts(self) -> DataFrame:
-        return affinity.person_topic_counts(self.topic_like_facts)
+        return affinity.person_topic_counts(self.person_summary)
 
     @cached_property
     def person_topic_share(self) -> DataFrame:
-        return self._keep(affinity.person_topic_share(self.person_relevant_counts,
-                                                      self.person_topic_counts), "person_topic_share")
+        return affinity.person_topic_share(self.person_summary)
 
     @cached_property
     def big_like_facts(self) -> DataFrame:
@@ -217,7 +224,7 @@ class AffinityPipeline:
 
     @cached_property
     def edge_nonfans(self) -> DataFrame:
-        return edge.edge_nonfans(self.person_relevant_counts, self.person_topic_counts, self.edge_likers)
+        return edge.edge_nonfans(self.person_summary, self.edge_likers)
 
     # --- profiles ------------------------------------------------------------------
     @cached_property
@@ -251,8 +258,7 @@ class AffinityPipeline:
     # --- factor reports ----------------------------------------------------------
     @cached_property
     def person_metrics(self) -> DataFrame:
-        return factors.person_metrics(self.person_total_counts, self.person_topic_counts,
-                                      self.person_topic_share, self.edge_nonfans)
+        return factors.person_metrics(self.person_summary, self.edge_nonfans)
 
     def factor_report(self, factor: DataFrame, level_col: str) -> DataFrame:
         """Full report (with the helper column n_with_share)."""
