@@ -8,8 +8,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanscope.functions.scoring import TIER_NON_FAN, avidity_tier, entity_avidity_score
-from fanscope.operators.affinity import entity_implications, like_topic_stats
+from fanscope.functions.scoring import (TIER_AVID, TIER_CASUAL, TIER_INTERMEDIATE, TIER_NON_FAN,
+                                        avidity_tier, entity_avidity_score)
+from fanscope.operators.affinity import entity_implications, like_topic_stats, top_implications
 from fanscope.operators.joins import top_k_broadcast
 from fanscope.params import AffinityParams
 
@@ -76,3 +77,15 @@ def tier_implications(tiers: DataFrame, share: DataFrame, big_facts: DataFrame,
               .join(share, "person_id"))
     fractions = big_facts.join(tiered, "person_id").select("tier", "like_id", "share")
     return entity_implications(like_topic_stats(fractions, "tier"), topic_and_big, exponent, "tier")
+
+
+def top_per_tier(tier_impl: DataFrame, k: int) -> DataFrame:
+    """The k best predictors of each fan tier. There are three fixed tiers, so
+    this is three bounded top-k selections (per-partition top-k, one merge),
+    not a window over each tier's full ranking."""
+    parts = [top_implications(tier_impl.filter(F.col("tier") == F.lit(t)), k)
+             for t in (TIER_AVID, TIER_INTERMEDIATE, TIER_CASUAL)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -19,18 +19,21 @@ METRIC_COLUMNS = ("population", "fans", "fan_likes", "edge", "fandom_sum",
                   "mean_fan_likes", "fan_concentration", "edge_concentration", "fandom")
 
 
-def person_metrics(summary: DataFrame, edge: DataFrame) -> DataFrame:
+def person_metrics(summary: DataFrame, edge: DataFrame | None) -> DataFrame:
     """(person_id, n_topic, share, is_edge), one row per person with a region
     like (`summary` from `affinity.person_summary`): n_topic is NULL for
     non-fans, share NULL for people without a topic-or-big like, is_edge NULL
     unless an edge non-fan. Edge people are a subset of the summary, so one
-    left join keeps everyone."""
-    return (summary.select(
-                "person_id",
-                F.when(F.col("n_topic") > 0, F.col("n_topic")).alias("n_topic"),
-                F.when(F.col("n_relevant") > 0,
-                       F.col("n_topic").cast("double") / F.col("n_relevant")).alias("share"))
-            .join(edge.select("person_id", F.lit(True).alias("is_edge")), "person_id", "left"))
+    left join keeps everyone. With `edge=None` is_edge is all NULL and the
+    edge computation (which needs the whole implication ranking) is skipped."""
+    people = summary.select(
+        "person_id",
+        F.when(F.col("n_topic") > 0, F.col("n_topic")).alias("n_topic"),
+        F.when(F.col("n_relevant") > 0,
+               F.col("n_topic").cast("double") / F.col("n_relevant")).alias("share"))
+    if edge is None:
+        return people.withColumn("is_edge", F.lit(None).cast("boolean"))
+    return people.join(edge.select("person_id", F.lit(True).alias("is_edge")), "person_id", "left")
 
 
 def factor_report(metrics: DataFrame, factor: DataFrame, level_col: str) -> DataFrame:
@@ -79,6 +82,10 @@ SINGLE_METRICS = {
 }
 
 
+def needs_edge(name: str) -> bool:
+    return "edge" in SINGLE_METRICS[name][0]
+
+
 def single_metric(report: DataFrame, level_col: str, name: str) -> DataFrame:
     cols, present = SINGLE_METRICS[name]
     keep = functools.reduce(lambda a, b: a & b, [F.col(c) > 0 for c in present])

@@ -294,6 +294,10 @@ def _final_selects(p: AffinityParams) -> dict[str, str]:
         "person_avidity": "SELECT person_id, avidity_score, tier FROM person_avidity",
         "tier_implications": (f"SELECT tier, like_id, name, type, round(score, {r}) AS score, n_likers "
                               "FROM tier_implications"),
+        "top_tier_implications": (
+            f"SELECT tier, like_id, name, type, round(score, {r}) AS score, n_likers FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY tier ORDER BY round(score, {r}) DESC, like_id) AS rn "
+            f"FROM tier_implications) WHERE rn <= {p.report_top}"),
         "estimated_fans_by_age": (f"SELECT age, fans, population, round(estimate, {r}) AS estimate "
                                   "FROM estimated_fans_by_age"),
     }

@@ -256,13 +256,13 @@ class AffinityPipeline:
         return profiles.people_locales(self.region_profiles)
 
     # --- factor reports ----------------------------------------------------------
-    @cached_property
-    def person_metrics(self) -> DataFrame:
-        return factors.person_metrics(self.person_summary, self.edge_nonfans)
+    def person_metrics(self, with_edge: bool = True) -> DataFrame:
+        return factors.person_metrics(self.person_summary, self.edge_nonfans if with_edge else None)
 
-    def factor_report(self, factor: DataFrame, level_col: str) -> DataFrame:
-        """Full report (with the helper column n_with_share)."""
-        return factors.factor_report(self.person_metrics, factor, level_col)
+    def factor_report(self, factor: DataFrame, level_col: str, with_edge: bool = True) -> DataFrame:
+        """Full report (with the helper column n_with_share). Without the edge
+        metrics the report does not depend on the implication ranking."""
+        return factors.factor_report(self.person_metrics(with_edge), factor, level_col)
 
     # --- slices --------------------------------------------------------------------
     def category_slice(self, group: str) -> DataFrame:
@@ -297,6 +297,9 @@ class AffinityPipeline:
         weights = self._entity_bounded(avidity.avidity_weights(self.entity_avidity), self.n_topic_and_big)
         return avidity.person_avidity(self.region_facts, weights, self.p)
 
+    def top_tier_implications(self, k: int | None = None) -> DataFrame:
+        return avidity.top_per_tier(self.tier_implications, k or self.p.report_top)
+
     @cached_property
     def tier_implications(self) -> DataFrame:
         return avidity.tier_implications(self.person_avidity, self.person_topic_share,
@@ -306,4 +309,5 @@ class AffinityPipeline:
     # --- census ---------------------------------------------------------------------
     @cached_property
     def estimated_fans_by_age(self) -> DataFrame:
-        return census.estimated_fans_by_age(self.factor_report(self.people_ages, "age"), self.t.census)
+        return census.estimated_fans_by_age(self.factor_report(self.people_ages, "age", with_edge=False),
+                                            self.t.census)

@@ -37,12 +37,13 @@ def _implication_cols(df: DataFrame) -> DataFrame:
     return df.select("like_id", "name", "type", "score", "n_likers")
 
 
-def _gender_report(p: AffinityPipeline) -> DataFrame:
-    return p.factor_report(p.people_genders, DEFAULT_FACTOR)
+def _gender_report(p: AffinityPipeline, with_edge: bool = True) -> DataFrame:
+    return p.factor_report(p.people_genders, DEFAULT_FACTOR, with_edge)
 
 
 def _single(name: str) -> Callable[[AffinityPipeline], DataFrame]:
-    return lambda p: factors.single_metric(_gender_report(p), DEFAULT_FACTOR, name)
+    return lambda p: factors.single_metric(_gender_report(p, factors.needs_edge(name)),
+                                           DEFAULT_FACTOR, name)
 
 
 BUILDERS: dict[str, Callable[[AffinityPipeline], DataFrame]] = {
@@ -96,6 +97,7 @@ BUILDERS: dict[str, Callable[[AffinityPipeline], DataFrame]] = {
     "entity_avidity": lambda p: p.entity_avidity,
     "person_avidity": lambda p: p.person_avidity,
     "tier_implications": lambda p: p.tier_implications,
+    "top_tier_implications": lambda p: p.top_tier_implications(),
     # census
     "estimated_fans_by_age": lambda p: p.estimated_fans_by_age,
 }

@@ -7,7 +7,8 @@
   implications_<group>/      category slices, implications_names/ name slice
   edge_nonfans/              near-fans (parquet)
   factor_<attr>/             factor report per person attribute (parquet)
-  person_avidity/, tier_implications/, estimated_fans_by_age/
+  person_avidity/, tier_implications/, top_tier_implications/,
+  estimated_fans_by_age/
 
 Reviewing `top_offtopic`, moving on-topic entities into the topic file and
 rerunning is the curation loop; with store="checkpoint" a rerun recomputes
@@ -62,5 +63,6 @@ def run_reports(pipe: AffinityPipeline, out_dir: str) -> list[str]:
         _parquet(factors.report_columns(report, attr), out(f"factor_{attr}"))
     _parquet(pipe.person_avidity, out("person_avidity"))
     _parquet(pipe.tier_implications, out("tier_implications"))
+    _parquet(pipe.top_tier_implications(), out("top_tier_implications"))
     _parquet(pipe.estimated_fans_by_age, out("estimated_fans_by_age"))
     return written
