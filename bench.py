@@ -42,7 +42,7 @@ def run_query(spark, sf_dir: str, name: str) -> float:
     pipe = AffinityPipeline(load_fixture_tables(spark, sf_dir, FIXTURE_PARAMS), FIXTURE_PARAMS)
     build(pipe, name).write.format("noop").mode("overwrite").save()
     elapsed = time.perf_counter() - t0
-    pipe.unpersist()
+    pipe.unpersist(blocking=True)
     return elapsed
 
 
@@ -52,7 +52,7 @@ def run_all(spark, sf_dir: str) -> float:
     for name in BUILDERS:
         build(pipe, name).write.format("noop").mode("overwrite").save()
     elapsed = time.perf_counter() - t0
-    pipe.unpersist()
+    pipe.unpersist(blocking=True)
     return elapsed
 
 

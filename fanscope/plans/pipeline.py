@@ -63,9 +63,9 @@ class AffinityPipeline:
             self._persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
-    def unpersist(self) -> None:
+    def unpersist(self, blocking: bool = False) -> None:
         for df in self._persisted:
-            df.unpersist()
+            df.unpersist(blocking)
         self._persisted.clear()
 
     def _sized(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:

@@ -41,11 +41,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the shared checkpoint folder the cluster names in
-    `spark.checkpoint.dir`; only when unset (local tests) create one."""
+    `spark.checkpoint.dir`. Only a local-mode session without one (tests,
+    local runs) gets a fresh temporary folder; on a cluster a machine-local
+    folder would not be visible to the executors, so none is invented."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            return None
         path = tempfile.mkdtemp(prefix="fanscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -54,4 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "fanscope")
+    path = ensure_checkpoint_dir(spark)
+    if path is None:
+        raise ValueError("store='checkpoint' needs spark.checkpoint.dir set to a folder on "
+                         "storage shared by all executors")
+    return os.path.join(path, "fanscope")
