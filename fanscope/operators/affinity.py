@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.functions.scoring import implication_score, rank_key
+from fanscope.operators.joins import hot_split_join
 
 
 def entity_flags(topic_id_df: DataFrame, topic_and_big: DataFrame) -> DataFrame:
@@ -83,9 +84,13 @@ def big_like_facts(region_facts: DataFrame, big: DataFrame) -> DataFrame:
     return region_facts.select("person_id", "like_id").join(big, "like_id", "left_semi")
 
 
-def like_topic_fractions(big_facts: DataFrame, share: DataFrame) -> DataFrame:
-    """(like_id, person_id, share): each big-entity fact with its liker's share."""
-    return big_facts.join(share, "person_id").select("like_id", "person_id", "share")
+def like_topic_fractions(big_facts: DataFrame, share: DataFrame,
+                         hot_people: DataFrame | None = None) -> DataFrame:
+    """(like_id, person_id, share): each big-entity fact with its liker's share.
+
+    This is the one fact-sized join keyed by person; people in `hot_people`
+    (counted, few) are joined map-side, see `joins.hot_split_join`."""
+    return hot_split_join(big_facts, share, "person_id", hot_people).select("like_id", "person_id", "share")
 
 
 def like_topic_stats(fractions: DataFrame, *group_cols: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fanscope.functions.scoring import (TIER_AVID, TIER_CASUAL, TIER_INTERMEDIATE, TIER_NON_FAN,
                                         avidity_tier, entity_avidity_score)
 from fanscope.operators.affinity import entity_implications, like_topic_stats, top_implications
-from fanscope.operators.joins import top_k_broadcast
+from fanscope.operators.joins import hot_split_join, top_k_broadcast
 from fanscope.params import AffinityParams
 
 
@@ -70,12 +70,14 @@ def person_avidity(region_facts: DataFrame, weights: DataFrame, p: AffinityParam
 
 
 def tier_implications(tiers: DataFrame, share: DataFrame, big_facts: DataFrame,
-                      topic_and_big: DataFrame, exponent: float) -> DataFrame:
+                      topic_and_big: DataFrame, exponent: float,
+                      hot_people: DataFrame | None = None) -> DataFrame:
     """(tier, like_id, name, type, score, n_likers) for Avid, Intermediate and
     Casual people, in one grouped pass with the tier as an extra key."""
     tiered = (tiers.filter(F.col("tier") != F.lit(TIER_NON_FAN)).select("person_id", "tier")
               .join(share, "person_id"))
-    fractions = big_facts.join(tiered, "person_id").select("tier", "like_id", "share")
+    fractions = (hot_split_join(big_facts, tiered, "person_id", hot_people)
+                 .select("tier", "like_id", "share"))
     return entity_implications(like_topic_stats(fractions, "tier"), topic_and_big, exponent, "tier")
 
 

@@ -21,3 +21,22 @@ def bounded_broadcast(df: DataFrame, n_rows: int, max_rows: int) -> DataFrame:
 def top_k_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast the output of `orderBy(...).limit(k)`: bounded by k rows."""
     return F.broadcast(df)
+
+
+def hot_split_join(big: DataFrame, keyed: DataFrame, key: str, hot_keys: DataFrame | None) -> DataFrame:
+    """Inner join of a fact-sized frame with a frame keyed by `key`, where a
+    few keys may be hot (hold a large share of `big`'s rows).
+
+    Rows of hot keys join map-side against a broadcast of the matching rows of
+    `keyed` (at most one per hot key, and the hot keys were counted); all other
+    rows take the ordinary shuffle join. A hot key therefore never lands in a
+    single reduce task. `hot_keys` is a one-column frame of keys, or None when
+    nothing is hot.
+    """
+    if hot_keys is None:
+        return big.join(keyed, key)
+    hot_ids = F.broadcast(hot_keys.select(key))
+    hot_rows = F.broadcast(keyed.join(hot_ids, key, "left_semi"))
+    hot = big.join(hot_rows, key)
+    cold = big.join(hot_ids, key, "left_anti").join(keyed, key)
+    return hot.unionByName(cold)

@@ -43,9 +43,12 @@ class AffinityParams:
     tier_avid: int = 6
     tier_intermediate: int = 3
     tier_casual: int = 1
-    # Largest topic list that is broadcast to executors; a larger one is joined
-    # with a shuffle instead.
+    # Largest counted set (topic, big entities, region people, hot people) that
+    # is broadcast to executors; a larger one is joined with a shuffle instead.
     broadcast_max_rows: int = 2_000_000
+    # People with more region likes than this are "hot": their facts are
+    # joined map-side instead of through the person-keyed shuffle.
+    hot_person_min_likes: int = 1_000_000
 
     def fingerprint(self) -> str:
         """Stable hash of all parameters, used to key materialized checkpoints."""

@@ -168,6 +168,16 @@ class AffinityPipeline:
                                      self.n_topic + self.n_topic_and_big)
         return self._keep(affinity.person_summary(self.region_facts, flags), "person_summary")
 
+    @cached_property
+    def hot_people(self) -> DataFrame | None:
+        """(person_id) of people with more than `hot_person_min_likes` region
+        likes, counted; None when there are none (or, impossibly for sane
+        thresholds, too many to broadcast)."""
+        hot = (self.person_summary.filter(F.col("n_likes") > F.lit(self.p.hot_person_min_likes))
+               .select("person_id"))
+        n = hot.count()
+        return hot if 0 < n <= self.p.broadcast_max_rows else None
+
     @cached_property
     def person_total_counts(self) -> DataFrame:
         return affinity.person_total_counts(self.person_summary)
@@ -194,7 +204,7 @@ class AffinityPipeline:
 
     @cached_property
     def like_topic_fractions(self) -> DataFrame:
-        return affinity.like_topic_fractions(self.big_like_facts, self.person_topic_share)
+        return affinity.like_topic_fractions(self.big_like_facts, self.person_topic_share, self.hot_people)
 
     @cached_property
     def like_topic_stats(self) -> DataFrame:
@@ -304,7 +314,7 @@ class AffinityPipeline:
     def tier_implications(self) -> DataFrame:
         return avidity.tier_implications(self.person_avidity, self.person_topic_share,
                                          self.big_like_facts, self.topic_and_big_likes,
-                                         self.p.exponent)
+                                         self.p.exponent, self.hot_people)
 
     # --- census ---------------------------------------------------------------------
     @cached_property

@@ -102,3 +102,30 @@ def test_shuffle_fallback_gives_same_results(spark):
         small.unpersist()
         if default is not None:
             default.unpersist()
+
+
+def test_hot_person_split_gives_same_results(spark):
+    """With a low hot-person threshold the heaviest likers are joined
+    map-side; results must not change and the plan must show the split."""
+    import dataclasses
+
+    from fanscope.params import FIXTURE_PARAMS
+    from fanscope.plans.pipeline import AffinityPipeline
+    from fanscope.plans.queries import build
+    from fanscope.sources.fixtures import load_fixture_tables
+
+    tables = load_fixture_tables(spark, SF, FIXTURE_PARAMS)
+    hot = AffinityPipeline(tables, dataclasses.replace(FIXTURE_PARAMS, hot_person_min_likes=60))
+    cold = AffinityPipeline(tables, FIXTURE_PARAMS)
+    try:
+        assert hot.hot_people is not None and 0 < hot.hot_people.count() < 26
+        assert cold.hot_people is None
+        assert "LeftAnti" in plan_text(hot.like_topic_fractions)
+        for name in ("like_topic_fractions", "entity_implications", "tier_implications",
+                     "top_offtopic", "edge_nonfans"):
+            got = sorted(map(tuple, build(hot, name).collect()), key=repr)
+            want = sorted(map(tuple, build(cold, name).collect()), key=repr)
+            assert got == want, name
+    finally:
+        hot.unpersist()
+        cold.unpersist()
