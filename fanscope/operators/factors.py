@@ -83,7 +83,9 @@ SINGLE_METRICS = {
 
 
 def needs_edge(name: str) -> bool:
-    return "edge" in SINGLE_METRICS[name][0]
+    """Whether a single-metric view reads the edge count."""
+    cols, present = SINGLE_METRICS[name]
+    return any(c.startswith("edge") for c in (*cols, *present))
 
 
 def single_metric(report: DataFrame, level_col: str, name: str) -> DataFrame:

@@ -161,3 +161,8 @@ def test_avidity_gate_gives_empty_results(spark):  # C12
     p = AffinityPipeline(t, small_params(min_topic_entities=1000))
     assert p.entity_avidity.count() == 0
     assert p.tier_implications.count() == 0
+
+
+def test_single_metrics_that_read_edge_counts_get_them():
+    assert {n for n in factors.SINGLE_METRICS if factors.needs_edge(n)} == {
+        "edge_counts_by_factor", "edge_concentration_by_factor"}
