@@ -1,13 +1,14 @@
 """The analysis as one lazily built graph of DataFrames.
 
 Each property is one intermediate of the analysis. Results are lazy; the only
-eager steps are row counts of entity-level sets (topic entities, big entities,
-topic-or-big entities). Those counts decide whether a set is broadcast to the
-tasks holding like facts (entity sets are orders of magnitude smaller than the
-facts, and a broadcast keeps the facts from ever being shuffled by entity, so
-a hot entity cannot overload one task) or, above `broadcast_max_rows`, joined
-with a shuffle that AQE splits when skewed. The topic count also fixes how many
-topic entities are "basic"/"common" and whether avidity runs at all.
+eager steps are row counts of the sets that get joined to like facts: topic
+entities, big entities, topic-or-big entities, the region's people and the hot
+people. A count decides whether the set is broadcast to the tasks holding like
+facts (such sets are orders of magnitude smaller than the facts, and a
+broadcast keeps the facts from being shuffled by that key, so a hot entity or
+person cannot overload one task) or, above `broadcast_max_rows`, joined with a
+shuffle that AQE splits when skewed. The topic count also fixes how many topic
+entities are "basic"/"common" and whether avidity runs at all.
 
 The frames many results reuse (region like facts, the entity sets, the
 per-person summary, entity implications) are kept according to `store`:
@@ -15,7 +16,7 @@ per-person summary, entity implications) are kept according to `store`:
                 lost blocks from lineage. `unpersist()` releases them.
   "checkpoint"  write them as parquet under the cluster's shared
                 `spark.checkpoint.dir`, in folders keyed by a fingerprint of
-                the parameters and the input file listing, and read them back:
+                the parameters and the inputs, and read them back:
                 lineage is cut, a rerun on unchanged inputs reuses them, and
                 any change of input or parameter misses.
   "none"        keep nothing (every result recomputes its inputs).
@@ -126,7 +127,6 @@ class AffinityPipeline:
     def region_facts(self) -> DataFrame:
         return self._keep(region.region_like_facts(self.t.fact_like, self.region_people), "region_facts")
 
-
     @cached_property
     def _big_likes_sized(self) -> tuple[DataFrame, int]:
         return self._sized(topic.big_likes(self.region_facts, self.p.big_min_exclusive), "big_likes")
@@ -221,10 +221,10 @@ class AffinityPipeline:
         return affinity.offtopic_implications(self.entity_implications, self.topic_ids)
 
     def top_implications(self, k: int | None = None) -> DataFrame:
-        return affinity.top_implications(self.entity_implications, k or self.p.report_top)
+        return affinity.top_implications(self.entity_implications, self.p.report_top if k is None else k)
 
     def top_offtopic(self, k: int | None = None) -> DataFrame:
-        return affinity.top_implications(self.offtopic_implications, k or self.p.report_top)
+        return affinity.top_implications(self.offtopic_implications, self.p.report_top if k is None else k)
 
     # --- edge ----------------------------------------------------------------------
     @cached_property
@@ -308,7 +308,7 @@ class AffinityPipeline:
         return avidity.person_avidity(self.region_facts, weights, self.p)
 
     def top_tier_implications(self, k: int | None = None) -> DataFrame:
-        return avidity.top_per_tier(self.tier_implications, k or self.p.report_top)
+        return avidity.top_per_tier(self.tier_implications, self.p.report_top if k is None else k)
 
     @cached_property
     def tier_implications(self) -> DataFrame:
