@@ -44,8 +44,11 @@ def region_like_facts(fact_like: DataFrame, people: DataFrame) -> DataFrame:
     """Distinct like facts of region people.
 
     The semi-join runs before the distinct so only the region's facts are
-    deduplicated; the distinct groups on all three columns, so no single
-    person or entity funnels into one task.
+    deduplicated. With `people` broadcast (the caller counts it), the facts are
+    not shuffled by person and the distinct shuffles on all three columns, so
+    no single person or entity funnels into one task. With a shuffled
+    semi-join the distinct reuses its person partitioning; AQE's forced skew
+    split then breaks up a hot person's partition (adding an exchange).
     """
     return (fact_like.select("fact_id", "person_id", "like_id")
             .join(people.select("person_id"), "person_id", "left_semi")
