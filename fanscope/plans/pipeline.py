@@ -141,8 +141,9 @@ class AffinityPipeline:
 
     def _entity_bounded(self, df: DataFrame, n_upper: int) -> DataFrame:
         """Broadcast hint for a frame derived from counted entity sets, which
-        has at most `n_upper` rows (a hint does not survive an aggregation or
-        a union, so derived frames get their own)."""
+        has at most `n_upper` rows. Spark carries a hint up through
+        projections and aggregations but not through a union, so derived
+        frames state their own bound explicitly."""
         return bounded_broadcast(df, n_upper, self.p.broadcast_max_rows)
 
     @cached_property
