@@ -16,7 +16,8 @@ per-person summary, entity implications) are kept according to `store`:
                 lost blocks from lineage. `unpersist()` releases them.
   "checkpoint"  write them as parquet under the cluster's shared
                 `spark.checkpoint.dir`, in folders keyed by a fingerprint of
-                the parameters and the inputs, and read them back:
+                the parameters, the inputs and the frame's own plan, and read
+                them back:
                 lineage is cut, a rerun on unchanged inputs reuses them, and
                 any change of input or parameter misses.
   "none"        keep nothing (every result recomputes its inputs).
@@ -59,7 +60,11 @@ class AffinityPipeline:
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         if self.store == "checkpoint":
-            return materialize(df, os.path.join(self.checkpoint_prefix, name))
+            # The folder is keyed by the inputs and parameters (prefix) and by
+            # the frame's canonical plan, so a change in how it is computed
+            # misses too.
+            plan = f"{df.semanticHash() & 0xFFFFFFFF:08x}"
+            return materialize(df, os.path.join(self.checkpoint_prefix, f"{name}-{plan}"))
         if self.store == "memory":
             self._persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df

@@ -80,7 +80,8 @@ def test_checkpoint_store_reuses_and_misses(spark):  # D17
     t = make_tables(spark, facts, ents, ["P1", "P2"], topic=[("T1", "t", "x")])
     a = AffinityPipeline(t, small_params(), store="checkpoint")
     first = rows(a.entity_implications)
-    assert os.path.isdir(os.path.join(a.checkpoint_prefix.replace("file:", ""), "entity_implications"))
+    kept = os.listdir(a.checkpoint_prefix.replace("file:", ""))
+    assert any(name.startswith("entity_implications-") for name in kept)
     b = AffinityPipeline(t, small_params(), store="checkpoint")
     assert b.checkpoint_prefix == a.checkpoint_prefix
     assert rows(b.entity_implications) == first
