@@ -1,9 +1,10 @@
 """Command line: run every report for one topic and region.
 
-  spark-submit -m fanscope --data-root hdfs:///data --topic topic.json \\
-      --region India --out hdfs:///reports/topic [--store checkpoint]
+  PYTHONPATH=. spark-submit fanscope/__main__.py --data-root hdfs:///data \\
+      --topic topic.json --region India --out hdfs:///reports/topic [--store checkpoint]
 
-or, locally, `python -m fanscope ...`. Without --topic the topic is discovered
+or, locally, `python -m fanscope ...`. Only the driver imports fanscope: every
+operator is a built-in Spark expression, so executors run no Python. Without --topic the topic is discovered
 from entity names with --token-a/--token-b and written to <out>/topic_entities
 for curation.
 """
