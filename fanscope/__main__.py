@@ -4,9 +4,10 @@
       --topic topic.json --region India --out hdfs:///reports/topic [--store checkpoint]
 
 or, locally, `python -m fanscope ...`. Only the driver imports fanscope: every
-operator is a built-in Spark expression, so executors run no Python. Without --topic the topic is discovered
-from entity names with --token-a/--token-b and written to <out>/topic_entities
-for curation.
+operator is a built-in Spark expression, so executors run no Python.
+
+Without --topic the topic is discovered from entity names with
+--token-a/--token-b and written to <out>/topic_entities for curation.
 """
 
 from __future__ import annotations
