@@ -6,13 +6,19 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.functions.dates import age_band, age_years, parse_birthday
 from fanscope.functions.text import clean_relationship, starts_with_digit
 
 
+def _present(c: Column) -> Column:
+    """Not NULL and not empty (the TSV reader already maps '' to NULL; frames
+    built another way may not)."""
+    return c.isNotNull() & (c != F.lit(""))
+
+
 def region_profiles(person_info: DataFrame, people: DataFrame) -> DataFrame:
     return person_info.join(people.select("person_id"), "person_id", "left_semi")
 
@@ -33,7 +39,7 @@ def people_agebands(ages: DataFrame) -> DataFrame:
 
 
 def people_genders(profiles: DataFrame) -> DataFrame:
-    return (profiles.filter(F.col("gender_raw").isNotNull())
+    return (profiles.filter(_present(F.col("gender_raw")))
             .select("person_id", F.col("gender_raw").alias("gender")).distinct())
 
 
@@ -41,10 +47,10 @@ def people_relationships(profiles: DataFrame) -> DataFrame:
     """Relationship statuses; values starting with a digit are dates, not
     statuses, and are skipped."""
     raw = F.col("relationship_raw")
-    return (profiles.filter(raw.isNotNull() & ~starts_with_digit(raw))
+    return (profiles.filter(_present(raw) & ~starts_with_digit(raw))
             .select("person_id", clean_relationship(raw).alias("relationship")).distinct())
 
 
 def people_locales(profiles: DataFrame) -> DataFrame:
-    return (profiles.filter(F.col("locale_raw").isNotNull())
+    return (profiles.filter(_present(F.col("locale_raw")))
             .select("person_id", F.col("locale_raw").alias("locale")).distinct())

@@ -142,15 +142,16 @@ def _ctes(p: AffinityParams) -> list[tuple[str, str]]:
             FROM people_ages"""),
         ("people_genders", """
             SELECT DISTINCT person_id, gender_raw AS gender FROM region_profiles
-            WHERE gender_raw IS NOT NULL"""),
+            WHERE gender_raw IS NOT NULL AND gender_raw <> ''"""),
         ("people_relationships", f"""
             SELECT DISTINCT person_id,
                    trim(regexp_replace({capitalized}, '\\s*\\(Pending\\)', '', 'g')) AS relationship
             FROM region_profiles
-            WHERE relationship_raw IS NOT NULL AND NOT regexp_matches(relationship_raw, '^\\p{{Nd}}')"""),
+            WHERE relationship_raw IS NOT NULL AND relationship_raw <> ''
+              AND NOT regexp_matches(relationship_raw, '^\\p{{Nd}}')"""),
         ("people_locales", """
             SELECT DISTINCT person_id, locale_raw AS locale FROM region_profiles
-            WHERE locale_raw IS NOT NULL"""),
+            WHERE locale_raw IS NOT NULL AND locale_raw <> ''"""),
         ("person_metrics", """
             SELECT p.person_id, t.n_topic, s.share,
                    CASE WHEN e.person_id IS NOT NULL THEN TRUE END AS is_edge

@@ -139,11 +139,13 @@ def test_repeated_topic_ids_are_one(spark):  # D19
 
 def test_relationship_empty_or_date_dropped(spark):  # D20
     profiles = [("P1", None, None, None, None), ("P2", None, "04/05/2010", None, None),
-                ("P3", None, "single", None, None), ("P4", None, "٣ maybe", None, None)]
-    t = make_tables(spark, [("f1", "P1", "B1")], [("B1", "b", "x")], ["P1", "P2", "P3", "P4"],
+                ("P3", None, "single", None, None), ("P4", None, "٣ maybe", None, None),
+                ("P5", None, "", "", "")]
+    t = make_tables(spark, [("f1", "P1", "B1")], [("B1", "b", "x")], ["P1", "P2", "P3", "P4", "P5"],
                     topic=[("B1", "b", "x")], profiles=profiles)
     p = AffinityPipeline(t, small_params())
     assert rows(p.people_relationships) == [("P3", "Single")]
+    assert p.people_genders.count() == 0 and p.people_locales.count() == 0
 
 
 def test_profile_attributes_are_distinct(spark):  # D21
