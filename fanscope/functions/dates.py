@@ -7,10 +7,13 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- Fixed values ---
+# A birthday field must hold exactly one match of this pattern (month/day/year).
 BIRTHDAY_PATTERN = r"\d\d/\d\d/\d\d\d\d"
+BIRTHDAY_FORMAT = "MM/dd/yyyy"
+# Age in years counts years of this many days.
 DAYS_PER_YEAR = 365.25
-
-# --- Fixed values: age bands (upper bound exclusive, label) ---
+# Age bands (upper bound exclusive, label), then the label above the last bound.
 AGE_BANDS = [(18, "Under 18"), (25, "18-24"), (35, "25-34"), (45, "35-44"), (55, "45-54")]
 AGE_BAND_TOP = "55+"
 # --- End of fixed values ---
@@ -24,7 +27,7 @@ def parse_birthday(raw: Column) -> Column:
     """
     candidate = F.regexp_extract(raw, BIRTHDAY_PATTERN, 0)
     return F.when(F.regexp_count(raw, F.lit(BIRTHDAY_PATTERN)) == 1,
-                  F.try_to_date(candidate, "MM/dd/yyyy"))
+                  F.try_to_date(candidate, BIRTHDAY_FORMAT))
 
 
 def age_years(birthday: Column, as_of: dt.date) -> Column:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- Fixed values ---
+# Suffix removed from relationship statuses (after capitalizing words).
+PENDING_SUFFIX = r"\s*\(Pending\)"
+# --- End of fixed values ---
+
 
 def ordered_token_match(name: Column, type_: Column, token_a: str, token_b: str) -> Column:
     """True when `token_a` matches the lower-cased name, `token_b` matches the
@@ -29,7 +34,7 @@ def capitalize_words(s: Column) -> Column:
 def clean_relationship(s: Column) -> Column:
     """`in an OPEN relationship` -> `In An OPEN Relationship`,
     `engaged (Pending)` -> `Engaged`."""
-    return F.trim(F.regexp_replace(capitalize_words(s), r"\s*\(Pending\)", ""))
+    return F.trim(F.regexp_replace(capitalize_words(s), PENDING_SUFFIX, ""))
 
 
 def starts_with_digit(s: Column) -> Column:

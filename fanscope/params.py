@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class AffinityParams:
+    # The defaults are the original job's parameters (region,
+    # tokens, thresholds, sizes, exponent, fractions, gate, tiers).
     # Region filter: people with a location whose `region_column` equals this value.
     region_value: str = "India"
     # Topic discovery: token A must occur in the lower-cased name, token B in the
