@@ -58,3 +58,16 @@ def test_tier_implications(pipe):
     got = rows(pipe.tier_implications, "tier", "like_id", "n_likers")
     # Intermediate people P1 and P4: P1 likes T1 and B1 twice, P4 likes T1.
     assert got == [("Intermediate", "B1", 2), ("Intermediate", "T1", 2)]
+
+
+def test_new_offtopic_big_entity_never_raises_a_share(spark, pipe):
+    """SURVEY section 5 invariant: a new non-topic big entity adds to the
+    denominators only."""
+    more = FACTS + [("f10", "P1", "B3"), ("f11", "P2", "B3"), ("f12", "P4", "B3")]
+    t = make_tables(spark, more, ENTITIES + [("B3", "big three", "Band")],
+                    ["P1", "P2", "P3", "P4"], outsiders=["P5"], topic=[("T1", "topic one", "Show")])
+    after = dict(rows(AffinityPipeline(t, small_params()).person_topic_share))
+    before = dict(rows(pipe.person_topic_share))
+    assert after.keys() == before.keys()
+    assert all(after[p] <= before[p] for p in before)
+    assert after["P1"] < before["P1"] and after["P4"] < before["P4"]
