@@ -59,3 +59,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["like_id", "name", "type", "score", "n_likers"]
     assert df.count() == 50
+
+
+def test_entry_survives_a_session_restart():
+    """The per-session pipeline cache must not touch a stopped session."""
+    import subprocess
+    import sys
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "import __spark_entry__ as E\n"
+        "b = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')\n"
+        "s1 = b.getOrCreate(); n1 = E.entry(s1).count(); s1.stop()\n"
+        "s2 = b.getOrCreate(); n2 = E.entry(s2).count(); s2.stop()\n"
+        "print('ROWS', n1, n2)\n" % os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert "ROWS 50 50" in out.stdout, out.stderr[-2000:]
