@@ -46,15 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the shared checkpoint folder the cluster names in
     `spark.checkpoint.dir`. Only a local-mode session without one (tests,
     local runs) gets a fresh temporary folder; on a cluster a machine-local
-    folder would not be visible to the executors, so none is invented."""
+    folder would not be visible to the executors, so none is invented.
+    Lineage is cut by writing tables there (`fanscope.sinks.materialize`),
+    not by RDD checkpoints, so the SparkContext is left as configured."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             return None
         path = tempfile.mkdtemp(prefix="fanscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
