@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def category_slice(implications: DataFrame, types: list[str]) -> DataFrame:
     """Implications whose entity type is in `types` (a literal vocabulary, so
-    the membership test is an INSET evaluated in the scan stage)."""
+    the membership test is an IN/INSET predicate, no join)."""
     return implications.filter(F.col("type").isin(list(types)))
 
 
