@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fanscope.llm import line_spread
 from fanscope.llm.common import read_table
 from fanscope.llm.fingerprint import fingerprint_report
+from fanscope.llm.mixing import mix_report
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(read_table(spark, sf_dir, "documents"))
+
+
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.without_boilerplate(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_document_fingerprints,
+    op2_document_fingerprints, op4_source_mix, op9_line_spread,
 )}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_line_spread": line_spread.oracle()}
