@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanscope.llm import line_spread
+from fanscope.llm import decontam, line_spread
 from fanscope.llm.common import read_table
 from fanscope.llm.fingerprint import fingerprint_report
 from fanscope.llm.mixing import mix_report
@@ -22,8 +22,13 @@ def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.without_boilerplate(read_table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op2_document_fingerprints, op4_source_mix, op9_line_spread,
+    op10_benchmark_leaks,
 )}
 
 #: DuckDB SQL for the queries that SQL can express.
