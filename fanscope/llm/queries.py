@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanscope.llm import decontam, line_spread, ngram_join
+from fanscope.llm import decontam, line_spread, ngram_join, quality
 from fanscope.llm.common import read_table
 from fanscope.llm.fingerprint import fingerprint_report
 from fanscope.llm.mixing import mix_report
@@ -18,6 +18,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.document_classes(read_table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_document_fingerprints, op4_source_mix, op8_ngram_jaccard_join, op9_line_spread,
+    op2_document_fingerprints, op4_source_mix, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
     op10_benchmark_leaks,
 )}
 
