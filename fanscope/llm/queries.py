@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanscope.llm import decontam, line_spread, ngram_join, quality
+from fanscope.llm import decontam, line_spread, ngram_join, quality, toxicity
 from fanscope.llm.common import read_table
 from fanscope.llm.fingerprint import fingerprint_report
 from fanscope.llm.mixing import mix_report
@@ -14,6 +14,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_document_fingerprints, op4_source_mix, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
+    op2_document_fingerprints, op3_toxicity, op4_source_mix, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
     op10_benchmark_leaks,
 )}
 
