@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fanscope.llm import decontam, line_spread, ngram_join, quality, toxicity
+from fanscope.llm import decontam, line_spread, ngram_join, quality, token_files, toxicity
 from fanscope.llm.common import read_table
 from fanscope.llm.fingerprint import fingerprint_report
 from fanscope.llm.mixing import mix_report
@@ -22,6 +23,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read_table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_document_fingerprints, op3_toxicity, op4_source_mix, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
+    op2_document_fingerprints, op3_toxicity, op4_source_mix, op6_token_files, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
     op10_benchmark_leaks,
 )}
 
