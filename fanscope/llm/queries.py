@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fanscope.llm import decontam, line_spread, ngram_join, quality, token_files, toxicity
 from fanscope.llm.common import read_table
 from fanscope.llm.fingerprint import fingerprint_report
+from fanscope.llm.html_crf import main_text
 from fanscope.llm.mixing import mix_report
 
 
@@ -23,7 +23,13 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return token_files.written_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -44,7 +50,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_document_fingerprints, op3_toxicity, op4_source_mix, op6_token_files, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
+    op2_document_fingerprints, op3_toxicity, op4_source_mix, op5_html_extraction, op6_token_files, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
     op10_benchmark_leaks,
 )}
 
