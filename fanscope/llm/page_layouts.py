@@ -60,7 +60,8 @@ def _with_insertions(rng: random.Random) -> list[str]:
     for k, name in enumerate(NAMES + ELEMENTS):
         for at in ("class", "id"):
             tag, named = (name, "") if k >= len(NAMES) else ("div", f' {at}="{name}"')
-            other = f"<{tag}{named}>" + "".join(f"<p>{_sentences(rng, rng.choice((4, 12, 30)))}</p>" for _ in range(rng.randint(1, 3))) + f"</{tag}>"
+            said = [_sentences(rng, rng.choice((4, 12, 30))) for _ in range(rng.randint(1, 3))]
+            other = f"<{tag}{named}>" + rng.choice((said[0], "".join(f"<p>{x}</p>" for x in said))) + f"</{tag}>"
             shell = rng.choice(("article", "main", "div", 'div class="content"'))
             inner = rng.choice((f"<h1>$h</h1><p>$a</p>{other}<p>$b</p>", f"<h1>$h</h1><p>$a</p><p>$b</p>{other}", f"{other}<p>$a</p><p>$b</p>"))
             out.append(f"<html><body><{shell}>{inner}</{shell.split()[0]}><footer>{_FOOT}</footer></body></html>")

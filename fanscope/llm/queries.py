@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanscope.llm import decontam, line_spread, ngram_join, quality, token_files, toxicity
+from fanscope.llm import decontam, license_scan, line_spread, ngram_join, quality, token_files, toxicity
 from fanscope.llm.common import read_table
 from fanscope.llm.fingerprint import fingerprint_report
 from fanscope.llm.html_crf import main_text
 from fanscope.llm.mixing import mix_report
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(read_table(spark, sf_dir, "documents"))
 
@@ -49,9 +53,15 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_document_fingerprints, op3_toxicity, op4_source_mix, op5_html_extraction, op6_token_files, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
-    op10_benchmark_leaks,
+    op1_license_scan, op2_document_fingerprints, op3_toxicity, op4_source_mix, op5_html_extraction, op6_token_files, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
+    op10_benchmark_leaks, pipeline,
 )}
 
 #: DuckDB SQL for the queries that SQL can express.
