@@ -13,6 +13,7 @@ Without --topic the topic is discovered from entity names with
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import datetime as dt
 import json
 
@@ -21,7 +22,7 @@ from pyspark.sql import SparkSession
 from fanscope.params import AffinityParams
 from fanscope.plans.pipeline import AffinityPipeline
 from fanscope.plans.reports import run_reports
-from fanscope.session import ensure_checkpoint_dir
+from fanscope.session import SCALE_CONF
 from fanscope.sources.tables import load_tsv_tables
 
 
@@ -39,20 +40,37 @@ def parse_args(argv=None) -> argparse.Namespace:
     ap.add_argument("--top-offtopic", type=int, default=d.top_offtopic)
     ap.add_argument("--report-top", type=int, default=d.report_top)
     ap.add_argument("--exponent", type=float, default=d.exponent)
-    ap.add_argument("--min-topic-entities", type=int, default=d.min_topic_entities)
+    ap.add_argument("--basic-frac", type=float, default=d.basic_frac)
+    ap.add_argument("--common-frac", type=float, default=d.common_frac)
+    ap.add_argument("--tier-avid", type=int, default=d.tier_avid)
+    ap.add_argument("--tier-intermediate", type=int, default=d.tier_intermediate)
+    ap.add_argument("--tier-casual", type=int, default=d.tier_casual)
+    ap.add_argument("--broadcast-max-rows", type=int, default=d.broadcast_max_rows)
+    ap.add_argument("--broadcast-max-bytes", type=int, default=d.broadcast_max_bytes)
+    ap.add_argument("--hot-person-share", type=float, default=d.hot_person_share)
+    ap.add_argument("--skew-slices", type=int, default=d.skew_slices)
     ap.add_argument("--as-of", type=dt.date.fromisoformat, default=d.as_of)
     ap.add_argument("--store", choices=["memory", "checkpoint", "none"], default="memory")
     return ap.parse_args(argv)
 
 
+def session() -> SparkSession:
+    """The session of the job, with the settings that the plans rely on where
+    the submitter hasn't set others."""
+    builder = SparkSession.builder.appName("fanscope")
+    spark = builder.getOrCreate()
+    given = dict(spark.sparkContext.getConf().getAll())
+    for key, value in SCALE_CONF.items():
+        if key.startswith("spark.sql.") and key not in given:
+            spark.conf.set(key, value)
+    return spark
+
+
 def main(argv=None) -> None:
     a = parse_args(argv)
-    params = AffinityParams(region_value=a.region, token_a=a.token_a, token_b=a.token_b,
-                            big_min_exclusive=a.big_min_exclusive, top_offtopic=a.top_offtopic,
-                            report_top=a.report_top, exponent=a.exponent,
-                            min_topic_entities=a.min_topic_entities, as_of=a.as_of)
-    spark = SparkSession.builder.appName("fanscope").getOrCreate()
-    ensure_checkpoint_dir(spark)
+    given = {f.name: getattr(a, f.name) for f in dataclasses.fields(AffinityParams) if hasattr(a, f.name)}
+    params = AffinityParams(region_value=a.region, **given)
+    spark = session()
     tables = load_tsv_tables(spark, a.data_root, a.topic, a.topic_format)
     pipe = AffinityPipeline(tables, params, store=a.store)
     written = run_reports(pipe, a.out)

@@ -23,12 +23,12 @@ def ordered_token_match(name: Column, type_: Column, token_a: str, token_b: str)
 
 
 def capitalize_words(s: Column) -> Column:
-    """Upper-case the first character of each space-separated word and keep the
-    rest as is (unlike `initcap`, which lower-cases the rest)."""
-    words = F.split(s, " ", -1)
-    return F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))),
-        " ")
+    """Upper-case the first character of each word and keep the rest as is
+    (unlike `initcap`, which lower-cases the rest). Words are separated by any
+    white space, which is kept."""
+    words = F.split(s, r"(?<=\s)", -1)
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))),
+                                                              F.call_function("substring", w, F.lit(2)))), "")
 
 
 def clean_relationship(s: Column) -> Column:

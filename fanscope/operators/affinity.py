@@ -15,44 +15,39 @@ from fanscope.functions.scoring import implication_score, rank_key
 from fanscope.operators.joins import hot_split_join
 
 
-def entity_flags(topic_id_df: DataFrame, topic_and_big: DataFrame) -> DataFrame:
-    """(like_id, n_rows, is_topic) for every topic or topic-or-big entity.
+def entity_rows(topic_and_big: DataFrame) -> DataFrame:
+    """(like_id, n_rows): how many (name, type) rows each topic-or-big entity
+    has, so that joining facts to this one-row-per-entity table gives the
+    original counts without multiplying fact rows."""
+    return topic_and_big.groupBy("like_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
-    n_rows is how many (name, type) rows the entity has in topic_and_big (0
-    for a topic entity missing from the entity table), so joining facts to
-    this one-row-per-entity table gives the original counts without
-    multiplying fact rows."""
-    rows = topic_and_big.select("like_id", F.lit(1).alias("n_rows"), F.lit(False).alias("is_topic"))
-    topics = topic_id_df.select("like_id", F.lit(0).alias("n_rows"), F.lit(True).alias("is_topic"))
-    return (rows.unionByName(topics).groupBy("like_id")
-            .agg(F.sum("n_rows").cast("bigint").alias("n_rows"), F.max("is_topic").alias("is_topic")))
 
-
-def person_summary(region_facts: DataFrame, flags: DataFrame) -> DataFrame:
+def person_summary(region_facts: DataFrame, rows_of: DataFrame, topic_facts: DataFrame) -> DataFrame:
     """(person_id, n_likes, n_relevant, n_topic), one row per region person
-    with a like, in a single aggregation:
+    with a like, in a single aggregation by person:
 
     n_likes     all region like facts
     n_relevant  facts on topic-or-big entities (per (name, type) row)
     n_topic     distinct topic entities liked
 
-    `flags` (from `entity_flags`) is one row per entity; the caller decides
-    whether it is broadcast. The distinct count is a set of topic ids per
-    person, bounded by the topic size and merged partially map-side, so a
-    person with a huge share of all facts still collapses before the shuffle.
+    `rows_of` (from `entity_rows`) is one row per entity; `topic_facts` (from
+    `topic_like_facts`) are the distinct pairs of topic entity and person, a
+    small part of the facts. Both kinds of rows are summed by hash aggregation,
+    partially map-side, so a person with a huge share of all facts collapses
+    before the shuffle.
     """
-    return (region_facts.select("person_id", "like_id")
-            .join(flags, "like_id", "left")
-            .groupBy("person_id")
-            .agg(F.count(F.lit(1)).alias("n_likes"),
-                 F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("n_relevant"),
-                 F.size(F.collect_set(F.when(F.col("is_topic"), F.col("like_id")))).cast("bigint")
-                 .alias("n_topic")))
+    facts = (region_facts.select("person_id", "like_id").join(rows_of, "like_id", "left")
+             .select("person_id", F.lit(1).alias("n_likes"),
+                     F.coalesce("n_rows", F.lit(0)).alias("n_relevant"), F.lit(0).alias("n_topic")))
+    pairs = topic_facts.select("person_id", F.lit(0).alias("n_likes"),
+                               F.lit(0).cast("bigint").alias("n_relevant"), F.lit(1).alias("n_topic"))
+    return (facts.unionByName(pairs).groupBy("person_id")
+            .agg(*[F.sum(c).cast("bigint").alias(c) for c in ("n_likes", "n_relevant", "n_topic")]))
 
 
-def person_total_counts(summary: DataFrame) -> DataFrame:
+def person_total_counts(region_facts: DataFrame) -> DataFrame:
     """(person_id, n_likes): all region likes per person."""
-    return summary.select("person_id", "n_likes")
+    return region_facts.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_likes"))
 
 
 def person_relevant_counts(summary: DataFrame) -> DataFrame:

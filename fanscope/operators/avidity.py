@@ -5,13 +5,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanscope.functions.scoring import (TIER_AVID, TIER_CASUAL, TIER_INTERMEDIATE, TIER_NON_FAN,
                                         avidity_tier, entity_avidity_score)
 from fanscope.operators.affinity import entity_implications, like_topic_stats, top_implications
-from fanscope.operators.joins import hot_split_join, top_k_broadcast
+from fanscope.operators.joins import hot_split_join
 from fanscope.params import AffinityParams
 
 
@@ -26,10 +26,26 @@ def top_fraction_count(n_topic: int, frac: float) -> int:
     return int(math.floor(n_topic * frac))
 
 
-def most_liked(popularity: DataFrame, k: int) -> DataFrame:
-    """(like_id) of the k topic entities with most likers (ties: lower id)."""
-    return (popularity.orderBy(F.col("n_likers").desc(), F.col("like_id").asc())
-            .limit(k).select("like_id"))
+def most_liked(popularity: DataFrame, k: int, max_rows: int | None = None) -> DataFrame:
+    """(like_id) of the k topic entities with most likers (ties: lower id).
+
+    Up to `max_rows` this is a bounded top-k. A larger k is cut off at a
+    threshold: the liker count at which the k-th entity falls comes from the
+    number of entities of each count (there are few different counts: n facts
+    have at most sqrt(2 n)), all above it are in, and only those of exactly
+    this count are ordered."""
+    if max_rows is None or k <= max_rows:
+        return (popularity.orderBy(F.col("n_likers").desc(), F.col("like_id").asc())
+                .limit(k).select("like_id"))
+    above = Window.orderBy(F.col("n_likers").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cut = (popularity.groupBy("n_likers").agg(F.count(F.lit(1)).alias("n"))
+           .withColumn("n_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+           .filter((F.col("n_above") < k) & (F.col("n_above") + F.col("n") >= k)).first())
+    if cut is None:  # k or fewer in all
+        return popularity.select("like_id")
+    ties = (popularity.filter(F.col("n_likers") == cut["n_likers"]).orderBy("like_id")
+            .limit(k - cut["n_above"]))
+    return popularity.filter(F.col("n_likers") > cut["n_likers"]).unionByName(ties).select("like_id")
 
 
 def entity_avidity(topic_and_big: DataFrame, topic_id_df: DataFrame,
@@ -37,15 +53,14 @@ def entity_avidity(topic_and_big: DataFrame, topic_id_df: DataFrame,
     """(like_id, name, type, avidity) for every topic-or-big entity:
     basic 1, else common 2, else other topic 4, else 0.
 
-    `basic_ids`/`common_ids` hold at most k rows and are broadcast; the topic
-    set comes in already sized by the caller."""
+    The caller has sized all three id sets, and broadcasts those that fit."""
     def flag(df: DataFrame, name: str) -> DataFrame:
         return df.select("like_id", F.lit(True).alias(name))
 
     flagged = (topic_and_big
                .join(flag(topic_id_df, "is_topic"), "like_id", "left")
-               .join(top_k_broadcast(flag(basic_ids, "is_basic")), "like_id", "left")
-               .join(top_k_broadcast(flag(common_ids, "is_common")), "like_id", "left"))
+               .join(flag(basic_ids, "is_basic"), "like_id", "left")
+               .join(flag(common_ids, "is_common"), "like_id", "left"))
     score = entity_avidity_score(F.coalesce(F.col("is_basic"), F.lit(False)),
                                  F.coalesce(F.col("is_common"), F.lit(False)),
                                  F.coalesce(F.col("is_topic"), F.lit(False)))
@@ -84,7 +99,8 @@ def tier_implications(tiers: DataFrame, share: DataFrame, big_facts: DataFrame,
 def top_per_tier(tier_impl: DataFrame, k: int) -> DataFrame:
     """The k best predictors of each fan tier. There are three fixed tiers, so
     this is three bounded top-k selections (per-partition top-k, one merge),
-    not a window over each tier's full ranking."""
+    not a window over each tier's full ranking. It reads `tier_impl` three
+    times; the pipeline keeps it."""
     parts = [top_implications(tier_impl.filter(F.col("tier") == F.lit(t)), k)
              for t in (TIER_AVID, TIER_INTERMEDIATE, TIER_CASUAL)]
     out = parts[0]

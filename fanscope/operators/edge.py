@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.operators.affinity import top_implications
-from fanscope.operators.joins import top_k_broadcast
 
 
 def top_offtopic_ids(offtopic: DataFrame, k: int) -> DataFrame:
@@ -18,11 +17,11 @@ def top_offtopic_ids(offtopic: DataFrame, k: int) -> DataFrame:
 def edge_likers(region_facts: DataFrame, top_ids: DataFrame) -> DataFrame:
     """(person_id) of people with a like on a top off-topic predictor.
 
-    The id set holds at most k rows, so it is broadcast; the facts are never
+    The caller has sized `top_ids`; when they are broadcast the facts are never
     shuffled by entity, even when a predictor is a hot key.
     """
     return (region_facts.select("person_id", "like_id")
-            .join(top_k_broadcast(top_ids), "like_id", "left_semi")
+            .join(top_ids, "like_id", "left_semi")
             .select("person_id").distinct())
 
 

@@ -1,26 +1,35 @@
 """Join helpers.
 
-Broadcasts are only requested for sides with a known bound. Everything else is
-left to AQE, which broadcasts a side only after measuring its shuffle output
-(spark.sql.adaptive.autoBroadcastJoinThreshold) and otherwise keeps the
-sort-merge join, splitting skewed partitions at runtime.
+A side is broadcast only if its size is counted and within a bound of rows and
+bytes. Beyond it the join shuffles, and keys that may be hot are spread over
+slices by another column, so that no key funnels into one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, n_rows: int, max_rows: int) -> DataFrame:
-    """Broadcast `df` when its counted size `n_rows` is within `max_rows`;
+def bounded_broadcast(df: DataFrame, fits: bool) -> DataFrame:
+    """Broadcast `df` when the caller has found that its counted size `fits`;
     otherwise return it unchanged so the planner shuffles instead."""
-    return F.broadcast(df) if n_rows <= max_rows else df
+    return F.broadcast(df) if fits else df
 
 
-def top_k_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast the output of `orderBy(...).limit(k)`: bounded by k rows."""
-    return F.broadcast(df)
+def sliced(df: DataFrame, slices: int) -> DataFrame:
+    """Every row once for each slice (column `_slice`)."""
+    return df.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+
+def spread_join(big: DataFrame, keyed: DataFrame, key: str, by: str, slices: int,
+                how: str = "inner") -> DataFrame:
+    """Join a fact-sized frame with a thin frame of distinct keys, where a key
+    may hold any share of `big`'s rows: `big` is split into slices by a hash of
+    `by`, and `keyed` is repeated for each slice."""
+    spread: Column = F.pmod(F.xxhash64(by), F.lit(slices)).cast("int")
+    return (big.withColumn("_slice", spread).join(sliced(keyed, slices), [key, "_slice"], how)
+            .drop("_slice"))
 
 
 def hot_split_join(big: DataFrame, keyed: DataFrame, key: str, hot_keys: DataFrame | None) -> DataFrame:
@@ -28,10 +37,10 @@ def hot_split_join(big: DataFrame, keyed: DataFrame, key: str, hot_keys: DataFra
     few keys may be hot (hold a large share of `big`'s rows).
 
     Rows of hot keys join map-side against a broadcast of the matching rows of
-    `keyed` (at most one per hot key, and the hot keys were counted); all other
-    rows take the ordinary shuffle join. A hot key therefore never lands in a
-    single reduce task. `hot_keys` is a one-column frame of keys, or None when
-    nothing is hot.
+    `keyed` (at most one per hot key; the caller's threshold bounds their
+    number); all other rows take the ordinary shuffle join. A hot key therefore
+    never lands in a single reduce task. `hot_keys` is a one-column frame of
+    keys, or None when nothing is hot.
     """
     if hot_keys is None:
         return big.join(keyed, key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fanscope.operators.joins import spread_join
+
 
 def country_locations(dim_location: DataFrame, country: str) -> DataFrame:
     """(location_id, country) for locations in `country`."""
@@ -18,20 +20,27 @@ def state_locations(dim_location: DataFrame, country: str) -> DataFrame:
             .select("location_id", "state").distinct())
 
 
-def region_people(fact_location: DataFrame, dim_location: DataFrame, country: str) -> DataFrame:
-    """(person_id, country): people with at least one location in `country`.
+def _located(fact_location: DataFrame, locations: DataFrame, slices: int | None) -> DataFrame:
+    if slices is None:
+        return fact_location.join(locations, "location_id")
+    return spread_join(fact_location, locations, "location_id", "person_id", slices)
+
+
+def region_people(fact_location: DataFrame, locations: DataFrame, slices: int | None = None) -> DataFrame:
+    """(person_id, country): people with at least one of `locations` (from
+    `country_locations`).
 
-    The country's locations are a small filtered dimension; AQE broadcasts them
-    once their measured size is known.
+    The caller sizes the locations. Those that fit come in broadcast; others are
+    joined by a shuffle in which each location's people are spread over
+    `slices`, since a capital can hold a large share of all people.
     """
-    return (fact_location.join(country_locations(dim_location, country), "location_id")
-            .select("person_id", "country").distinct())
+    return _located(fact_location, locations, slices).select("person_id", "country").distinct()
 
 
-def region_people_states(fact_location: DataFrame, dim_location: DataFrame, country: str) -> DataFrame:
-    """(person_id, state) for people located in a named state of `country`."""
-    return (fact_location.join(state_locations(dim_location, country), "location_id")
-            .select("person_id", "state").distinct())
+def region_people_states(fact_location: DataFrame, locations: DataFrame, slices: int | None = None) -> DataFrame:
+    """(person_id, state) for people at one of `locations` (from
+    `state_locations`), joined as in `region_people`."""
+    return _located(fact_location, locations, slices).select("person_id", "state").distinct()
 
 
 def like_facts(fact_like: DataFrame) -> DataFrame:
@@ -40,16 +49,17 @@ def like_facts(fact_like: DataFrame) -> DataFrame:
     return fact_like.select("fact_id", "person_id", "like_id").distinct()
 
 
-def region_like_facts(fact_like: DataFrame, people: DataFrame) -> DataFrame:
+def region_like_facts(fact_like: DataFrame, people: DataFrame, slices: int | None = None) -> DataFrame:
     """Distinct like facts of region people.
 
     The semi-join runs before the distinct so only the region's facts are
-    deduplicated. With `people` broadcast (the caller counts it), the facts are
-    not shuffled by person and the distinct shuffles on all three columns, so
-    no single person or entity funnels into one task. With a shuffled
-    semi-join the distinct reuses its person partitioning; AQE's forced skew
-    split then breaks up a hot person's partition (adding an exchange).
+    deduplicated. With `people` broadcast (the caller counts them), the facts
+    are not shuffled by person and the distinct shuffles on all three columns,
+    so no single person or entity funnels into one task. With more people,
+    `slices` spreads each person's facts by entity over that many partitions of
+    the shuffled semi-join.
     """
-    return (fact_like.select("fact_id", "person_id", "like_id")
-            .join(people.select("person_id"), "person_id", "left_semi")
-            .distinct())
+    facts, people = fact_like.select("fact_id", "person_id", "like_id"), people.select("person_id")
+    if slices is None:
+        return facts.join(people, "person_id", "left_semi").distinct()
+    return spread_join(facts, people, "person_id", "like_id", slices, "left_semi").distinct()

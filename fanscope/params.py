@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 @dataclass(frozen=True)
 class AffinityParams:
     # The defaults are the original job's parameters (region,
-    # tokens, thresholds, sizes, exponent, fractions, gate, tiers).
+    # tokens, thresholds, sizes, exponent, fractions, tiers).
     # Region filter: people with a location whose `region_column` equals this value.
     region_value: str = "India"
     # Topic discovery: token A must occur in the lower-cased name, token B in the
@@ -36,8 +36,6 @@ class AffinityParams:
     # as "basic" and "common" for avidity scoring.
     basic_frac: float = 0.05
     common_frac: float = 0.20
-    # Avidity is only computed when the topic has at least this many entities.
-    min_topic_entities: int = 1000
     # Ages are measured at this date (the reference uses the wall clock).
     as_of: dt.date = field(default_factory=dt.date.today)
     # Avidity tier thresholds: score >= avid -> Avid, >= intermediate ->
@@ -45,12 +43,17 @@ class AffinityParams:
     tier_avid: int = 6
     tier_intermediate: int = 3
     tier_casual: int = 1
-    # Largest counted set (topic, big entities, region people, hot people) that
-    # is broadcast to executors; a larger one is joined with a shuffle instead.
+    # Largest counted set (locations, topic, big entities, region people, top
+    # predictors, census) that is broadcast to executors, in rows and in bytes
+    # of its values; a larger one is joined with a shuffle instead.
     broadcast_max_rows: int = 2_000_000
-    # People with more region likes than this are "hot": their facts are
-    # joined map-side instead of through the person-keyed shuffle.
-    hot_person_min_likes: int = 1_000_000
+    broadcast_max_bytes: int = 64 << 20
+    # People with more than this many times the region likes of a mean shuffle
+    # partition are "hot": their facts are joined map-side instead of through
+    # the person-keyed shuffle. (So there are fewer hot people than partitions.)
+    hot_person_share: float = 0.5
+    # Slices over which a key's facts are spread in shuffles of region joins.
+    skew_slices: int = 16
 
     def fingerprint(self) -> str:
         """Stable hash of all parameters, used to key materialized checkpoints."""
@@ -74,6 +77,5 @@ FIXTURE_PARAMS = AffinityParams(
     exponent=0.7,
     basic_frac=0.05,
     common_frac=0.20,
-    min_topic_entities=0,
     as_of=dt.date(2016, 6, 1),
 )

@@ -3,15 +3,17 @@
 The SQL starts from the raw fixture tables (lineitem, orders, part, customer,
 nation, region), applies the fixture mapping of FIXTURES.md section 2 and then
 computes each result with plain joins, IN/NOT IN subqueries and GROUP BY. It
-shares no code with the Spark operators, so the two implementations check each
-other. Doubles are rounded to the same decimals as the Spark outputs.
+shares parameters, vocabularies and the names of results with the Spark side,
+but none of its operators, so the two implementations check each other. Doubles are rounded to the same decimals as the Spark outputs.
 """
 
 from __future__ import annotations
 
+from fanscope import vocab
 from fanscope.functions.scoring import RANK_DECIMALS
-from fanscope.params import AffinityParams
-from fanscope.sources.fixtures import FIXTURE_CATEGORIES, FIXTURE_NAMES
+from fanscope.params import FIXTURE_PARAMS, AffinityParams
+from fanscope.plans.queries import registry
+from fanscope.sources.fixtures import FIXTURE_CATEGORIES, FIXTURE_NAMES, VARIANTS, default_types
 
 
 def _lit(s: str) -> str:
@@ -22,6 +24,31 @@ def _in_list(values: list[str]) -> str:
     return "(" + ", ".join(_lit(v) for v in values) + ")"
 
 
+# Person attribute -> CTE with its levels.
+FACTOR_PEOPLE = {"gender": "people_genders", "age": "people_ages", "ageband": "people_agebands",
+                 "relationship": "people_relationships", "locale": "people_locales",
+                 "state": "region_people_states"}
+
+
+def _factor_ctes(attr: str, people: str) -> list[tuple[str, str]]:
+    return [
+        (f"{attr}_counts", f"""
+            SELECT g.{attr}, count(*) AS population, count(m.n_topic) AS fans,
+                   CAST(coalesce(sum(m.n_topic), 0) AS BIGINT) AS fan_likes,
+                   count(m.is_edge) AS edge, count(m.share) AS n_with_share,
+                   coalesce(sum(m.share), CAST(0 AS DOUBLE)) AS fandom_sum
+            FROM person_metrics m JOIN {people} g ON m.person_id = g.person_id
+            GROUP BY g.{attr}"""),
+        (f"{attr}_report", f"""
+            SELECT {attr}, population, fans, fan_likes, edge, n_with_share, fandom_sum,
+                   CAST(fan_likes AS DOUBLE) / NULLIF(fans, 0) AS mean_fan_likes,
+                   CAST(100 AS DOUBLE) * fans / NULLIF(population, 0) AS fan_concentration,
+                   CAST(100 AS DOUBLE) * edge / NULLIF(population, 0) AS edge_concentration,
+                   CAST(100 AS DOUBLE) * fandom_sum / NULLIF(fans, 0) AS fandom
+            FROM {attr}_counts"""),
+    ]
+
+
 def _ctes(p: AffinityParams) -> list[tuple[str, str]]:
     exp = f"CAST({p.exponent!r} AS DOUBLE)"
     as_of = f"DATE '{p.as_of.isoformat()}'"
@@ -159,38 +186,22 @@ def _ctes(p: AffinityParams) -> list[tuple[str, str]]:
             LEFT JOIN person_topic_counts t ON p.person_id = t.person_id
             LEFT JOIN person_topic_share s ON p.person_id = s.person_id
             LEFT JOIN edge_nonfans e ON p.person_id = e.person_id"""),
-        ("gender_counts", """
-            SELECT g.gender, count(*) AS population, count(m.n_topic) AS fans,
-                   CAST(coalesce(sum(m.n_topic), 0) AS BIGINT) AS fan_likes,
-                   count(m.is_edge) AS edge, count(m.share) AS n_with_share,
-                   coalesce(sum(m.share), CAST(0 AS DOUBLE)) AS fandom_sum
-            FROM person_metrics m JOIN people_genders g ON m.person_id = g.person_id
-            GROUP BY g.gender"""),
-        ("gender_report", """
-            SELECT gender, population, fans, fan_likes, edge, n_with_share, fandom_sum,
-                   CAST(fan_likes AS DOUBLE) / NULLIF(fans, 0) AS mean_fan_likes,
-                   CAST(100 AS DOUBLE) * fans / NULLIF(population, 0) AS fan_concentration,
-                   CAST(100 AS DOUBLE) * edge / NULLIF(population, 0) AS edge_concentration,
-                   CAST(100 AS DOUBLE) * fandom_sum / NULLIF(fans, 0) AS fandom
-            FROM gender_counts"""),
-        ("age_counts", """
-            SELECT a.age, count(*) AS population, count(m.n_topic) AS fans
-            FROM person_metrics m JOIN people_ages a ON m.person_id = a.person_id
-            GROUP BY a.age"""),
+        *[cte for attr, people in FACTOR_PEOPLE.items() for cte in _factor_ctes(attr, people)],
         ("age_folded", """
-            SELECT CASE WHEN age >= 100 THEN 100 ELSE age END AS age,
+            SELECT CASE WHEN age >= 100 THEN 100 WHEN age >= 0 THEN age END AS age,
                    sum(fans) AS fans, sum(population) AS population
-            FROM age_counts WHERE age BETWEEN 0 AND 110 GROUP BY 1"""),
+            FROM age_counts GROUP BY 1"""),
         ("census", """
             SELECT CAST(range AS INTEGER) AS age,
                    CAST(CASE WHEN range < 7 THEN 0 ELSE 1000 * (range + 1) END AS BIGINT) AS census_population
-            FROM range(0, 101)"""),
+            FROM range(0, 101)
+            UNION ALL SELECT NULL, NULL"""),
         ("estimated_fans_by_age", """
             SELECT c.age, CAST(coalesce(f.fans, 0) AS BIGINT) AS fans,
                    CAST(coalesce(f.population, 0) AS BIGINT) AS population,
                    coalesce(CAST(f.fans AS DOUBLE) / NULLIF(f.population, 0) * c.census_population,
                             CAST(0 AS DOUBLE)) AS estimate
-            FROM census c LEFT JOIN age_folded f ON c.age = f.age"""),
+            FROM census c LEFT JOIN age_folded f ON c.age IS NOT DISTINCT FROM f.age"""),
         ("topic_popularity", """
             SELECT like_id, n_likers FROM like_topic_stats
             WHERE like_id IN (SELECT like_id FROM topic_ids)"""),
@@ -203,14 +214,13 @@ def _ctes(p: AffinityParams) -> list[tuple[str, str]]:
         ("common_ids", f"""
             SELECT like_id FROM popularity_ranked, topic_n
             WHERE rn <= floor(n * CAST({p.common_frac!r} AS DOUBLE))"""),
-        ("entity_avidity", f"""
+        ("entity_avidity", """
             SELECT t.like_id, t.name, t.type,
                    CASE WHEN t.like_id IN (SELECT like_id FROM basic_ids) THEN 1
                         WHEN t.like_id IN (SELECT like_id FROM common_ids) THEN 2
                         WHEN t.like_id IN (SELECT like_id FROM topic_ids) THEN 4
                         ELSE 0 END AS avidity
-            FROM topic_and_big_likes t, topic_n
-            WHERE topic_n.n >= {p.min_topic_entities}"""),
+            FROM topic_and_big_likes t"""),
         ("avidity_weights", "SELECT like_id, sum(avidity) AS weight FROM entity_avidity GROUP BY like_id"),
         ("person_avidity", f"""
             SELECT person_id, avidity_score,
@@ -234,11 +244,11 @@ def _ctes(p: AffinityParams) -> list[tuple[str, str]]:
     ]
 
 
-def _final_selects(p: AffinityParams) -> dict[str, str]:
+def _final_selects(p: AffinityParams, categories: dict[str, list[str]], slice_names: list[str]) -> dict[str, str]:
     r = RANK_DECIMALS
     impl = f"SELECT like_id, name, type, round(score, {r}) AS score, n_likers FROM "
     top = f" ORDER BY round(score, {r}) DESC, like_id LIMIT {p.report_top}"
-    names = sorted({n.lower() for n in FIXTURE_NAMES})
+    names = sorted({n.lower() for n in slice_names})
     g = "gender_report"
     out = {
         "like_facts": "SELECT fact_id, person_id, like_id FROM like_facts",
@@ -284,11 +294,11 @@ def _final_selects(p: AffinityParams) -> dict[str, str]:
                                          f"FROM {g} WHERE edge > 0"),
         "fandom_by_factor": (f"SELECT gender, round(fandom_sum, {r}) AS fandom_sum, round(fandom, {r}) AS fandom "
                              f"FROM {g} WHERE fans > 0 AND n_with_share > 0"),
-        "factor_report": (f"SELECT gender, population, fans, fan_likes, edge, round(fandom_sum, {r}) AS fandom_sum, "
-                          f"round(mean_fan_likes, {r}) AS mean_fan_likes, "
-                          f"round(fan_concentration, {r}) AS fan_concentration, "
-                          f"round(edge_concentration, {r}) AS edge_concentration, "
-                          f"round(fandom, {r}) AS fandom FROM {g}"),
+        **{"factor_report" if attr == "gender" else f"factor_report_{attr}": (
+            f"SELECT {attr}, population, fans, fan_likes, edge, round(fandom_sum, {r}) AS fandom_sum, "
+            f"round(mean_fan_likes, {r}) AS mean_fan_likes, round(fan_concentration, {r}) AS fan_concentration, "
+            f"round(edge_concentration, {r}) AS edge_concentration, round(fandom, {r}) AS fandom "
+            f"FROM {attr}_report") for attr in FACTOR_PEOPLE},
         "implications_names": impl + f"entity_implications WHERE lower(name) IN {_in_list(names)}",
         "topic_popularity": "SELECT like_id, n_likers FROM topic_popularity",
         "entity_avidity": "SELECT like_id, name, type, avidity FROM entity_avidity",
@@ -302,11 +312,52 @@ def _final_selects(p: AffinityParams) -> dict[str, str]:
         "estimated_fans_by_age": (f"SELECT age, fans, population, round(estimate, {r}) AS estimate "
                                   "FROM estimated_fans_by_age"),
     }
-    for group, types in FIXTURE_CATEGORIES.items():
+    for group, types in categories.items():
         out[f"implications_category_{group}"] = impl + f"entity_implications WHERE type IN {_in_list(types)}"
     return out
 
 
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(_lit(v) for v in values) + "]"
+
+
+def _variant_ctes(variant: str) -> dict[str, str]:
+    """CTEs that differ from the plain ones in a variant of the inputs."""
+    if variant == "curated":
+        return {"topic_entities": """
+            SELECT DISTINCT * FROM (
+              SELECT like_id, name, type FROM discover_entities WHERE like_id % 3 <> 0
+              UNION ALL SELECT like_id, name || ' again', type FROM discover_entities WHERE like_id % 3 = 1
+              UNION ALL SELECT -1, 'nobody', 'none' UNION ALL SELECT -2, 'nobody', 'none')"""}
+    plain = "SELECT p_partkey AS like_id, p_name AS name, p_type AS type FROM part"
+    if variant == "multirow":
+        return {"dim_like": f"{plain} UNION ALL SELECT p_partkey, p_name || ' II', 'SECOND' FROM part "
+                            "WHERE p_partkey % 4 = 0",
+                "topic_entities": "SELECT like_id, name, type FROM discover_entities WHERE type <> 'SECOND'"}
+    if variant == "vocabulary":
+        types, names = default_types(), vocab.SLICE_NAMES
+        first = _ctes_by_name()["discover_entities"].replace("FROM dim_like", f"FROM ({plain})")
+        return {"dim_like": f"""
+            SELECT p_partkey AS like_id,
+                   CASE WHEN p_partkey % 5 = 0 THEN {_list(names)}[p_partkey % {len(names)} + 1] ELSE p_name END AS name,
+                   {_list(types)}[p_partkey % {len(types)} + 1] AS type FROM part""",
+                "topic_entities": first}
+    return {}
+
+
+def _ctes_by_name() -> dict[str, str]:
+    return dict(_ctes(FIXTURE_PARAMS))
+
+
 def oracle_sql(p: AffinityParams) -> dict[str, str]:
-    with_clause = "WITH " + ",\n".join(f"{name} AS ({body}\n)" for name, body in _ctes(p))
-    return {name: f"{with_clause}\n{select}" for name, select in _final_selects(p).items()}
+    out = {}
+    for variant in VARIANTS:
+        default = variant == "vocabulary"
+        selects = _final_selects(p, vocab.CATEGORY_GROUPS if default else FIXTURE_CATEGORIES,
+                                 vocab.SLICE_NAMES if default else FIXTURE_NAMES)
+        changed = _variant_ctes(variant)
+        with_clause = "WITH " + ",\n".join(f"{name} AS ({changed.get(name, body)}\n)" for name, body in _ctes(p))
+        for name, (of, result) in registry().items():
+            if of == variant:
+                out[name] = f"{with_clause}\n{selects[result]}"
+    return out

@@ -1,21 +1,26 @@
-"""The analysis as one lazily built graph of DataFrames.
-
-Each property is one intermediate of the analysis. Results are lazy; the only
-eager steps are row counts of the sets that get joined to like facts: topic
-entities, big entities, topic-or-big entities, the region's people and the hot
-people. A count decides whether the set is broadcast to the tasks holding like
-facts (such sets are orders of magnitude smaller than the facts, and a
-broadcast keeps the facts from being shuffled by that key, so a hot entity or
-person cannot overload one task) or, above `broadcast_max_rows`, joined with a
-shuffle that AQE splits when skewed. The topic count also fixes how many topic
-entities are "basic"/"common" and whether avidity runs at all.
-
-The frames many results reuse (region like facts, the entity sets, the
-per-person summary, entity implications) are kept according to `store`:
-  "memory"      persist MEMORY_AND_DISK (default); lost executors recompute
-                lost blocks from lineage. `unpersist()` releases them.
-  "checkpoint"  write them as parquet under the cluster's shared
-                `spark.checkpoint.dir`, in folders keyed by a fingerprint of
+"""The analysis as one graph of DataFrames.
+
+Each property is one intermediate of the analysis. Reading a property may run
+small jobs: the sets that get joined to like facts (the country's locations,
+topic entities, big entities, topic-or-big entities, the region's people, top
+predictors) are counted, in rows and bytes, when they are first used. A set
+within `broadcast_max_rows` and `broadcast_max_bytes` is broadcast to the tasks
+holding like facts (such sets are orders of magnitude smaller than the facts,
+and a broadcast keeps the facts from being shuffled by that key, so a hot entity
+or person cannot overload one task). A larger one is joined by a shuffle; the
+region joins then spread each key over slices. The topic count also fixes how
+many topic entities are "basic" and "common".
+
+The frames that several results reuse (region like facts, the entity sets, the
+per-person summary and metrics, entity statistics and implications, edge
+non-fans, avidity and tiers) are kept according to `store`:
+  "memory"      region like facts are persisted (MEMORY_AND_DISK; lost blocks
+                are recomputed); all other kept frames are small tables,
+                written to a folder of this pipeline under the shared
+                `spark.checkpoint.dir`. (Frames persisted on top of each other
+                would nest their plans, whose size then grows as a power.)
+                `unpersist()` releases both.
+  "checkpoint"  all are written as parquet there, in folders keyed by a fingerprint of
                 the parameters, the inputs and the frame's own plan, and read
                 them back:
                 lineage is cut, a rerun on unchanged inputs reuses them, and
@@ -26,20 +31,31 @@ per-person summary, entity implications) are kept according to `store`:
 from __future__ import annotations
 
 import os
+import uuid
 from functools import cached_property
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from fanscope.operators import affinity, avidity, census, edge, factors, profiles, region, slices, topic
 from fanscope.operators.joins import bounded_broadcast
 from fanscope.params import AffinityParams
 from fanscope.session import checkpoint_root
-from fanscope.sinks import input_fingerprint, materialize
+from fanscope.sinks import input_fingerprint, materialize, remove_folder
 from fanscope.sources.schemas import AffinityTables
 
 
+class Sized(NamedTuple):
+    """A counted set: broadcast if it fits."""
+    df: DataFrame
+    rows: int
+    bytes: int
+    fits: bool
+
+
 class AffinityPipeline:
     def __init__(self, tables: AffinityTables, params: AffinityParams, store: str = "memory"):
         if store not in ("memory", "checkpoint", "none"):
@@ -65,21 +81,46 @@ class AffinityPipeline:
             # misses too.
             plan = f"{df.semanticHash() & 0xFFFFFFFF:08x}"
             return materialize(df, os.path.join(self.checkpoint_prefix, f"{name}-{plan}"))
-        if self.store == "memory":
+        if self.store == "memory" and name == "region_facts":
             self._persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        elif self.store == "memory":
+            return materialize(df, os.path.join(self._own_folder, name))
         return df
 
+    @cached_property
+    def _own_folder(self) -> str:
+        return os.path.join(checkpoint_root(self.spark), f"run-{uuid.uuid4().hex}")
+
     def unpersist(self, blocking: bool = False) -> None:
+        """Release what this pipeline keeps; its results can't be read after that."""
         for df in self._persisted:
             df.unpersist(blocking)
         self._persisted.clear()
+        if "_own_folder" in self.__dict__:
+            remove_folder(self.spark, self._own_folder)
+
+    def _fits(self, rows: int, size: int) -> bool:
+        return rows <= self.p.broadcast_max_rows and size <= self.p.broadcast_max_bytes
 
-    def _sized(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """Keep an entity-level set, count it, and hint a broadcast when the
-        count is within `broadcast_max_rows`."""
+    def _sized(self, df: DataFrame, name: str) -> Sized:
+        """Keep a set, count its rows and the bytes of its values, and hint a
+        broadcast when both are within bounds."""
         kept = self._keep(df, name)
-        n = kept.count()
-        return bounded_broadcast(kept, n, self.p.broadcast_max_rows), n
+        width = F.lit(16)
+        for f in kept.schema.fields:
+            text = isinstance(f.dataType, (StringType, BinaryType))
+            width = width + (F.coalesce(F.octet_length(f.name), F.lit(0)) if text else F.lit(8))
+        rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()
+        fits = self._fits(rows, size)
+        return Sized(bounded_broadcast(kept, fits), rows, size, fits)
+
+    def _derived(self, df: DataFrame, *of: Sized) -> DataFrame:
+        """Broadcast hint for a frame derived from counted sets, which has at
+        most their rows, each with their values and a number or two. (Spark
+        carries a hint up through projections and aggregations but not
+        through a union, so derived frames state their own bound.)"""
+        rows = sum(x.rows for x in of)
+        return bounded_broadcast(df, self._fits(rows, sum(x.bytes for x in of) + 16 * rows))
 
     # --- entities and topic -------------------------------------------------
     @cached_property
@@ -97,18 +138,18 @@ class AffinityPipeline:
         return self.t.topic.select("like_id", "name", "type").distinct()
 
     @cached_property
-    def _topic_ids_sized(self) -> tuple[DataFrame, int]:
+    def _topic_ids_sized(self) -> Sized:
         source = self.t.topic if self.t.topic is not None else self.discovered_entities
         return self._sized(topic.topic_ids(source), "topic_ids")
 
     @property
     def topic_ids(self) -> DataFrame:
-        return self._topic_ids_sized[0]
+        return self._topic_ids_sized.df
 
     @property
     def n_topic(self) -> int:
         """Distinct topic ids."""
-        return self._topic_ids_sized[1]
+        return self._topic_ids_sized.rows
 
     # --- region -----------------------------------------------------------------
     @cached_property
@@ -116,77 +157,81 @@ class AffinityPipeline:
         return region.like_facts(self.t.fact_like)
 
     @cached_property
+    def _country_locations(self) -> Sized:
+        return self._sized(region.country_locations(self.t.dim_location, self.p.region_value), "country_locations")
+
+    @cached_property
+    def _state_locations(self) -> Sized:
+        return self._sized(region.state_locations(self.t.dim_location, self.p.region_value), "state_locations")
+
+    def _slices(self, keys: Sized) -> int | None:
+        """Slices of a shuffle by keys that may be hot; none for a broadcast."""
+        return None if keys.fits else self.p.skew_slices
+
+    @cached_property
+    def _region_people_sized(self) -> Sized:
+        places = self._country_locations
+        return self._sized(region.region_people(self.t.fact_location, places.df, self._slices(places)),
+                           "region_people")
+
+    @property
     def region_people(self) -> DataFrame:
-        """Kept and counted: when the region's people fit the broadcast bound,
-        the fact table is semi-joined without being shuffled by person (a hot
-        person then cannot funnel into one task); above it, the semi-join
-        shuffles and AQE splits skewed partitions."""
-        return self._sized(region.region_people(self.t.fact_location, self.t.dim_location,
-                                                self.p.region_value), "region_people")[0]
+        return self._region_people_sized.df
 
     @cached_property
     def region_people_states(self) -> DataFrame:
-        return region.region_people_states(self.t.fact_location, self.t.dim_location, self.p.region_value)
+        places = self._state_locations
+        return region.region_people_states(self.t.fact_location, places.df, self._slices(places))
 
     @cached_property
     def region_facts(self) -> DataFrame:
-        return self._keep(region.region_like_facts(self.t.fact_like, self.region_people), "region_facts")
+        people = self._region_people_sized
+        return self._keep(region.region_like_facts(self.t.fact_like, people.df, self._slices(people)),
+                          "region_facts")
 
     @cached_property
-    def _big_likes_sized(self) -> tuple[DataFrame, int]:
+    def _big_likes_sized(self) -> Sized:
         return self._sized(topic.big_likes(self.region_facts, self.p.big_min_exclusive), "big_likes")
 
     @property
     def big_likes(self) -> DataFrame:
-        return self._big_likes_sized[0]
-
-    @property
-    def n_big(self) -> int:
-        return self._big_likes_sized[1]
-
-    def _entity_bounded(self, df: DataFrame, n_upper: int) -> DataFrame:
-        """Broadcast hint for a frame derived from counted entity sets, which
-        has at most `n_upper` rows. Spark carries a hint up through
-        projections and aggregations but not through a union, so derived
-        frames state their own bound explicitly."""
-        return bounded_broadcast(df, n_upper, self.p.broadcast_max_rows)
+        return self._big_likes_sized.df
 
     @cached_property
-    def _topic_and_big_sized(self) -> tuple[DataFrame, int]:
-        ids = self._entity_bounded(topic.topic_or_big_ids(self.topic_ids, self.big_likes),
-                                   self.n_topic + self.n_big)
+    def _topic_and_big_sized(self) -> Sized:
+        ids = self._derived(topic.topic_or_big_ids(self.topic_ids, self.big_likes),
+                            self._topic_ids_sized, self._big_likes_sized)
         return self._sized(topic.topic_and_big_likes(ids, self.t.dim_like), "topic_and_big_likes")
 
     @property
     def topic_and_big_likes(self) -> DataFrame:
-        return self._topic_and_big_sized[0]
-
-    @property
-    def n_topic_and_big(self) -> int:
-        return self._topic_and_big_sized[1]
+        return self._topic_and_big_sized.df
 
     # --- share and implications ----------------------------------------------
     @cached_property
     def person_summary(self) -> DataFrame:
         """(person_id, n_likes, n_relevant, n_topic): every person-level count
         in one aggregation; kept, since most results start from it."""
-        flags = self._entity_bounded(affinity.entity_flags(self.topic_ids, self.topic_and_big_likes),
-                                     self.n_topic + self.n_topic_and_big)
-        return self._keep(affinity.person_summary(self.region_facts, flags), "person_summary")
+        rows_of = self._derived(affinity.entity_rows(self.topic_and_big_likes), self._topic_and_big_sized)
+        return self._keep(affinity.person_summary(self.region_facts, rows_of, self.topic_like_facts), "person_summary")
 
     @cached_property
     def hot_people(self) -> DataFrame | None:
-        """(person_id) of people with more than `hot_person_min_likes` region
-        likes, counted; None when there are none (or, impossibly for sane
-        thresholds, too many to broadcast)."""
-        hot = (self.person_summary.filter(F.col("n_likes") > F.lit(self.p.hot_person_min_likes))
-               .select("person_id"))
-        n = hot.count()
-        return hot if 0 < n <= self.p.broadcast_max_rows else None
+        """(person_id) of people with more region likes than `hot_person_share`
+        of a mean shuffle partition; None when there are none. Fewer than
+        partitions / share people can exceed that, and the bound is raised so
+        that no more than `broadcast_max_rows` can, so they always fit."""
+        total = self.person_summary.agg(F.sum("n_likes")).first()[0] or 0
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        most = min(parts / self.p.hot_person_share, self.p.broadcast_max_rows)
+        if not most:
+            return None
+        hot = self.person_summary.filter(F.col("n_likes") > F.lit(total / most)).select("person_id")
+        return None if hot.isEmpty() else hot
 
     @cached_property
     def person_total_counts(self) -> DataFrame:
-        return affinity.person_total_counts(self.person_summary)
+        return affinity.person_total_counts(self.region_facts)
 
     @cached_property
     def person_relevant_counts(self) -> DataFrame:
@@ -214,7 +259,7 @@ class AffinityPipeline:
 
     @cached_property
     def like_topic_stats(self) -> DataFrame:
-        return affinity.like_topic_stats(self.like_topic_fractions)
+        return self._keep(affinity.like_topic_stats(self.like_topic_fractions), "like_topic_stats")
 
     @cached_property
     def entity_implications(self) -> DataFrame:
@@ -235,12 +280,12 @@ class AffinityPipeline:
     # --- edge ----------------------------------------------------------------------
     @cached_property
     def edge_likers(self) -> DataFrame:
-        ids = edge.top_offtopic_ids(self.offtopic_implications, self.p.top_offtopic)
-        return edge.edge_likers(self.region_facts, ids)
+        ids = self._sized(edge.top_offtopic_ids(self.offtopic_implications, self.p.top_offtopic), "top_offtopic_ids")
+        return edge.edge_likers(self.region_facts, ids.df)
 
     @cached_property
     def edge_nonfans(self) -> DataFrame:
-        return edge.edge_nonfans(self.person_summary, self.edge_likers)
+        return self._keep(edge.edge_nonfans(self.person_summary, self.edge_likers), "edge_nonfans")
 
     # --- profiles ------------------------------------------------------------------
     @cached_property
@@ -272,8 +317,12 @@ class AffinityPipeline:
         return profiles.people_locales(self.region_profiles)
 
     # --- factor reports ----------------------------------------------------------
+    @cached_property
+    def _metrics_with_edge(self) -> DataFrame:
+        return self._keep(factors.person_metrics(self.person_summary, self.edge_nonfans), "person_metrics")
+
     def person_metrics(self, with_edge: bool = True) -> DataFrame:
-        return factors.person_metrics(self.person_summary, self.edge_nonfans if with_edge else None)
+        return self._metrics_with_edge if with_edge else factors.person_metrics(self.person_summary, None)
 
     def factor_report(self, factor: DataFrame, level_col: str, with_edge: bool = True) -> DataFrame:
         """Full report (with the helper column n_with_share). Without the edge
@@ -288,39 +337,34 @@ class AffinityPipeline:
         return slices.name_slice(self.entity_implications, self.t.names)
 
     # --- avidity -------------------------------------------------------------------
-    @cached_property
-    def avidity_enabled(self) -> bool:
-        return self.n_topic >= self.p.min_topic_entities
-
-    def _gate(self, df: DataFrame) -> DataFrame:
-        # A topic below the size gate yields empty avidity results.
-        return df if self.avidity_enabled else df.filter(F.lit(False))
-
     @cached_property
     def topic_popularity(self) -> DataFrame:
         return avidity.topic_popularity(self.like_topic_stats, self.topic_ids)
 
+    def _most_liked(self, frac: float, name: str) -> DataFrame:
+        k = avidity.top_fraction_count(self.n_topic, frac)
+        return self._sized(avidity.most_liked(self.topic_popularity, k, self.p.broadcast_max_rows), name).df
+
     @cached_property
     def entity_avidity(self) -> DataFrame:
-        basic = avidity.most_liked(self.topic_popularity,
-                                   avidity.top_fraction_count(self.n_topic, self.p.basic_frac))
-        common = avidity.most_liked(self.topic_popularity,
-                                    avidity.top_fraction_count(self.n_topic, self.p.common_frac))
-        return self._gate(avidity.entity_avidity(self.topic_and_big_likes, self.topic_ids, basic, common))
+        basic = self._most_liked(self.p.basic_frac, "basic_ids")
+        common = self._most_liked(self.p.common_frac, "common_ids")
+        return self._keep(avidity.entity_avidity(self.topic_and_big_likes, self.topic_ids, basic, common),
+                          "entity_avidity")
 
     @cached_property
     def person_avidity(self) -> DataFrame:
-        weights = self._entity_bounded(avidity.avidity_weights(self.entity_avidity), self.n_topic_and_big)
-        return avidity.person_avidity(self.region_facts, weights, self.p)
+        weights = self._derived(avidity.avidity_weights(self.entity_avidity), self._topic_and_big_sized)
+        return self._keep(avidity.person_avidity(self.region_facts, weights, self.p), "person_avidity")
 
     def top_tier_implications(self, k: int | None = None) -> DataFrame:
         return avidity.top_per_tier(self.tier_implications, self.p.report_top if k is None else k)
 
     @cached_property
     def tier_implications(self) -> DataFrame:
-        return avidity.tier_implications(self.person_avidity, self.person_topic_share,
-                                         self.big_like_facts, self.topic_and_big_likes,
-                                         self.p.exponent, self.hot_people)
+        return self._keep(avidity.tier_implications(self.person_avidity, self.person_topic_share,
+                                                    self.big_like_facts, self.topic_and_big_likes,
+                                                    self.p.exponent, self.hot_people), "tier_implications")
 
     # --- census ---------------------------------------------------------------------
     @cached_property

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from fanscope.functions.scoring import RANK_DECIMALS
 from fanscope.operators import factors
 from fanscope.plans.pipeline import AffinityPipeline
+from fanscope.plans.reports import FACTOR_ATTRIBUTES
 
 # The factor the single-metric reports are shown for (any person attribute
 # works; see AffinityPipeline.factor_report).
@@ -41,6 +42,10 @@ def _gender_report(p: AffinityPipeline, with_edge: bool = True) -> DataFrame:
     return p.factor_report(p.people_genders, DEFAULT_FACTOR, with_edge)
 
 
+def _factor(attr: str) -> Callable[[AffinityPipeline], DataFrame]:
+    return lambda p: factors.report_columns(p.factor_report(getattr(p, FACTOR_ATTRIBUTES[attr]), attr), attr)
+
+
 def _single(name: str) -> Callable[[AffinityPipeline], DataFrame]:
     return lambda p: factors.single_metric(_gender_report(p, factors.needs_edge(name)),
                                            DEFAULT_FACTOR, name)
@@ -86,6 +91,7 @@ BUILDERS: dict[str, Callable[[AffinityPipeline], DataFrame]] = {
     # factor reports (by gender)
     **{name: _single(name) for name in factors.SINGLE_METRICS},
     "factor_report": lambda p: factors.report_columns(_gender_report(p), DEFAULT_FACTOR),
+    **{f"factor_report_{attr}": _factor(attr) for attr in FACTOR_ATTRIBUTES if attr != DEFAULT_FACTOR},
     # slices
     "implications_category_people": lambda p: _implication_cols(p.category_slice("people")),
     "implications_category_music": lambda p: _implication_cols(p.category_slice("music")),
@@ -103,5 +109,24 @@ BUILDERS: dict[str, Callable[[AffinityPipeline], DataFrame]] = {
 }
 
 
+# Results that are also shown on a variant of the inputs (see sources.fixtures).
+VARIANT_RESULTS = {
+    "curated": ("topic_entities", "topic_and_big_likes", "person_topic_counts", "person_topic_share",
+                "entity_implications", "offtopic_implications", "entity_avidity", "person_avidity",
+                "tier_implications"),
+    "multirow": ("entities", "topic_and_big_likes", "person_relevant_counts", "person_topic_share",
+                 "entity_implications", "entity_avidity", "person_avidity", "tier_implications"),
+    "vocabulary": ("implications_category_people", "implications_category_music",
+                   "implications_category_new_media", "implications_category_old_media", "implications_names"),
+}
+
+
+def registry() -> dict[str, tuple[str, str]]:
+    """name -> (input variant, result): every registered query."""
+    out = {name: ("plain", name) for name in BUILDERS}
+    out.update({f"{variant}_{name}": (variant, name) for variant, names in VARIANT_RESULTS.items() for name in names})
+    return out
+
+
 def build(pipeline: AffinityPipeline, name: str) -> DataFrame:
     return normalize(BUILDERS[name](pipeline))

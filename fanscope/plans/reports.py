@@ -3,7 +3,7 @@
   topic_entities/            topic entity list, one entity JSON per line
   top_implications/          best `report_top` predictors (JSON lines, ordered)
   top_offtopic/              best `report_top` off-topic predictors, for review
-  like_topic_implications/   all implications (parquet, written once)
+  like_topic_implications/   all implications (parquet)
   implications_<group>/      category slices, implications_names/ name slice
   edge_nonfans/              near-fans (parquet)
   factor_<attr>/             factor report per person attribute (parquet)
@@ -52,7 +52,7 @@ def run_reports(pipe: AffinityPipeline, out_dir: str) -> list[str]:
     sinks.write_topic_file(pipe.topic_entities, out("topic_entities"))
     sinks.write_ranked_report(pipe.entity_implications, out("top_implications"), p.report_top)
     sinks.write_ranked_report(pipe.offtopic_implications, out("top_offtopic"), p.report_top)
-    sinks.write_unless_exists(pipe.entity_implications, out("like_topic_implications"))
+    _parquet(pipe.entity_implications, out("like_topic_implications"))
     for group in pipe.t.categories:
         _parquet(pipe.category_slice(group), out(f"implications_{group}"))
     if pipe.t.names:

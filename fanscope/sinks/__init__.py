@@ -7,7 +7,7 @@ import hashlib
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanscope.functions.scoring import rank_key
@@ -62,4 +62,11 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
     if not _complete(spark.read, path):
         df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this job made, on whatever file system it is."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)

@@ -13,6 +13,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fanscope import vocab
 from fanscope.params import AffinityParams
 from fanscope.sources.schemas import AffinityTables
 from fanscope.sources.topic_json import entity_json, topic_from_json_texts
@@ -68,8 +69,35 @@ def fixture_census(spark: SparkSession) -> DataFrame:
         F.when(age < 7, F.lit(0)).otherwise(F.lit(1000) * (age + 1)).cast("bigint").alias("population"))
 
 
-def load_fixture_tables(spark: SparkSession, sf_dir: str,
-                        params: AffinityParams) -> AffinityTables:
+#: Variants of the mapping, for cases that the plain one doesn't have.
+#: curated: the topic is not the discovered set. Every third entity is taken out, the one after
+#:   it stands there twice (under another name), and two ids are no entities.
+#: multirow: every fourth entity has a second (name, type) row.
+#: vocabulary: types are the default category types in turn, every fifth name a default name.
+VARIANTS = ("plain", "curated", "multirow", "vocabulary")
+
+
+def default_types() -> list[str]:
+    """The default category types in order of first mention."""
+    return list(dict.fromkeys(t for types in vocab.CATEGORY_GROUPS.values() for t in types))
+
+
+def _curated(topic: DataFrame) -> DataFrame:
+    kept = topic.filter(F.col("like_id") % 3 != 0)
+    again = topic.filter(F.col("like_id") % 3 == 1).withColumn("name", F.concat("name", F.lit(" again")))
+    absent = topic.sparkSession.range(1, 3).select((-F.col("id")).alias("like_id"), F.lit("nobody").alias("name"),
+                                                   F.lit("none").alias("type"))
+    return kept.unionByName(again).unionByName(absent)
+
+
+def _turn(values: list[str], k: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+
+
+def load_fixture_tables(spark: SparkSession, sf_dir: str, params: AffinityParams,
+                        variant: str = "plain") -> AffinityTables:
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant {variant!r}")
     lineitem = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     fact_like = (lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
@@ -93,11 +121,26 @@ def load_fixture_tables(spark: SparkSession, sf_dir: str,
     # read back, so the JSON source is exercised end to end.
     from fanscope.operators.topic import discover_entities
     discovered = discover_entities(dim_like, params.token_a, params.token_b)
+    if variant == "curated":
+        discovered = _curated(discovered)
     texts = discovered.select(entity_json(F.col("like_id"), F.col("name"), F.col("type")).alias("value"))
     topic = topic_from_json_texts(texts, "value", "bigint")
 
+    categories, names = FIXTURE_CATEGORIES, FIXTURE_NAMES
+    if variant == "multirow":
+        second = dim_like.filter(F.col("like_id") % 4 == 0).select(
+            "like_id", F.concat("name", F.lit(" II")).alias("name"), F.lit("SECOND").alias("type"))
+        dim_like = dim_like.unionByName(second)
+    elif variant == "vocabulary":
+        categories, names = dict(vocab.CATEGORY_GROUPS), list(vocab.SLICE_NAMES)
+        k = F.col("like_id")
+        dim_like = dim_like.select(
+            "like_id", F.when(k % 5 == 0, _turn(names, k)).otherwise(F.col("name")).alias("name"),
+            _turn(default_types(), k).alias("type"))
+
+    roots = [os.path.join(sf_dir, f"{t}.parquet")
+             for t in ("lineitem", "orders", "part", "customer", "nation", "region")]
     return AffinityTables(fact_like=fact_like, dim_like=dim_like,
                           fact_location=fact_location, dim_location=dim_location,
                           person_info=fixture_person_info(customer), topic=topic,
-                          census=fixture_census(spark), categories=FIXTURE_CATEGORIES,
-                          names=FIXTURE_NAMES)
+                          census=fixture_census(spark), categories=categories, names=names, roots=roots)

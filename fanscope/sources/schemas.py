@@ -7,9 +7,10 @@ so the TSV reader and the docs share one definition.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,7 @@ class AffinityTables:
     census         (age, population)               ages 0..100
     categories     {group: [type, ...]}            category vocabularies
     names          [name, ...]                     name slice vocabulary
+    roots          [path, ...]                     folders or files that the frames are read from
     """
     fact_like: DataFrame
     dim_like: DataFrame
@@ -67,6 +69,7 @@ class AffinityTables:
     census: DataFrame
     categories: dict[str, list[str]]
     names: list[str]
+    roots: list[str] = field(default_factory=list)
 
     def plan_hashes(self) -> list[str]:
         """Semantic hash of each input's canonical plan: covers column
@@ -77,21 +80,22 @@ class AffinityTables:
 
     def fingerprint_parts(self) -> list[str]:
         vocab = [f"{g}:{'|'.join(ts)}" for g, ts in sorted(self.categories.items())]
-        return self.input_files() + self.plan_hashes() + vocab + ["names:" + "|".join(self.names)]
-
-    def input_files(self) -> list[str]:
-        """`path|length|modificationTime` of every file behind a scanned table,
-        for checkpoint fingerprints: any changed, added or removed file changes
-        the listing. The listing is one small distributed job over file
-        metadata (file contents are not read)."""
-        files: set[str] = set()
-        for df in (self.fact_like, self.dim_like, self.fact_location,
-                   self.dim_location, self.person_info, self.topic):
-            if df is not None:
-                files.update(df.inputFiles())
-        if not files:
+        return self.input_state() + self.plan_hashes() + vocab + ["names:" + "|".join(self.names)]
+
+    def input_state(self) -> list[str]:
+        """One value for the path, length and modification time of all input
+        files: any changed, added or removed file changes it. The files under
+        `roots` are listed and hashed by a small distributed job over their
+        metadata (contents are not read), and a single row comes back. Frames
+        made without `roots` are looked up by the files that they name."""
+        roots = list(self.roots)
+        if not roots:
+            frames = (self.fact_like, self.dim_like, self.fact_location, self.dim_location,
+                      self.person_info, self.topic)
+            roots = sorted({f for df in frames if df is not None for f in df.inputFiles()})
+        if not roots:
             return []
-        spark = self.fact_like.sparkSession
-        meta = (spark.read.format("binaryFile").load(sorted(files))
-                .select("path", "length", "modificationTime"))
-        return sorted(f"{r.path}|{r.length}|{r.modificationTime}" for r in meta.collect())
+        meta = (self.fact_like.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true")
+                .load(roots).select(F.xxhash64("path", "length", "modificationTime").alias("h")))
+        n, total = meta.agg(F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+        return [f"{n} files {total}"]

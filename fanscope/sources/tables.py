@@ -43,4 +43,6 @@ def load_tsv_tables(spark: SparkSession, data_root: str, topic_path: str | None,
         census=census_frame(spark, census_by_age or vocab.CENSUS_LITERATE_POPULATION_BY_AGE),
         categories=categories if categories is not None else dict(vocab.CATEGORY_GROUPS),
         names=names if names is not None else list(vocab.SLICE_NAMES),
+        roots=[path(t) for t in ("fact_like", "dim_like", "fact_location", "dim_location", "person_info")]
+        + ([topic_path] if topic_path is not None else []),
     )

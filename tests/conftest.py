@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 from pyspark.sql import SparkSession  # noqa: E402
 
 from fanscope.params import AffinityParams  # noqa: E402
-from fanscope.session import SCALE_CONF, ensure_checkpoint_dir  # noqa: E402
+from fanscope.session import SCALE_CONF  # noqa: E402
 from fanscope.sources.schemas import AffinityTables  # noqa: E402
 
 TESTDATA = "/root/testdata"
@@ -26,7 +26,6 @@ def spark():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(session)
     yield session
     session.stop()
 
@@ -56,7 +55,7 @@ def make_tables(spark, facts, entities, people, *, outsiders=(), topic=None,
 
 def small_params(**kw) -> AffinityParams:
     base = dict(region_value="X", token_a="t", token_b="x", big_min_exclusive=1,
-                top_offtopic=1, report_top=10, min_topic_entities=0, as_of=dt.date(2016, 6, 1))
+                top_offtopic=1, report_top=10, as_of=dt.date(2016, 6, 1))
     base.update(kw)
     return AffinityParams(**base)
 

@@ -11,9 +11,10 @@ from conftest import make_tables, rows, small_params
 
 from fanscope.functions.dates import age_band, age_years, parse_birthday
 from fanscope.functions.scoring import avidity_tier, entity_avidity_score
-from fanscope.functions.text import clean_relationship, ordered_token_match
-from fanscope.operators import census, factors
+from fanscope.functions.text import capitalize_words, clean_relationship, ordered_token_match
+from fanscope.operators import avidity, census, factors
 from fanscope.operators.affinity import top_implications
+from fanscope.params import AffinityParams
 from fanscope.plans.pipeline import AffinityPipeline
 
 
@@ -90,18 +91,19 @@ def test_repeat_like_counts_twice_in_denominator_once_in_numerator(spark):  # D9
     assert dict(rows(p.like_topic_stats, "like_id", "n_likers")) == {"T1": 3, "B1": 1}
 
 
-def test_age_fold_and_drop(spark):  # D13, D14
+def test_ages_fold_and_nobody_is_lost(spark):  # D13, D14
     report = spark.createDataFrame(
-        [(99, 1, 2), (100, 1, 2), (105, 1, 1), (110, 0, 1), (111, 5, 5), (50, 0, 0)],
+        [(99, 1, 2), (100, 1, 2), (105, 1, 1), (110, 0, 1), (111, 5, 6), (50, 0, 0), (-1, 2, 3)],
         "age int, fans bigint, population bigint")
-    cen = spark.createDataFrame([(a, 1000) for a in range(101)], "age int, population bigint")
+    cen = spark.createDataFrame([(a, 500) for a in range(101)] * 2, "age int, population bigint")
     got = {r.age: (r.fans, r.population, r.estimate)
            for r in census.estimated_fans_by_age(report, cen).collect()}
-    assert len(got) == 101
+    assert len(got) == 102
     assert got[99] == (1, 2, 500.0)
-    assert got[100] == (2, 4, 500.0)
+    assert got[100] == (7, 10, 700.0)
     assert got[7] == (0, 0, 0.0)
-    assert sum(v[0] for v in got.values()) == 3   # age 111 is excluded
+    assert got[None] == (2, 3, 0.0)
+    assert sum(v[0] for v in got.values()) == 10 and sum(v[1] for v in got.values()) == 15
 
 
 def test_relationship_cleaning(spark):  # D15
@@ -158,11 +160,27 @@ def test_profile_attributes_are_distinct(spark):  # D21
     assert p.people_locales.count() == 1
 
 
-def test_avidity_gate_gives_empty_results(spark):  # C12
-    t = make_tables(spark, [("f1", "P1", "B1")], [("B1", "b", "x")], ["P1"], topic=[("B1", "b", "x")])
-    p = AffinityPipeline(t, small_params(min_topic_entities=1000))
-    assert p.entity_avidity.count() == 0
-    assert p.tier_implications.count() == 0
+def test_small_topics_get_avidity_too(spark):  # C12
+    facts = [(f"f{i}", f"P{i % 4}", e) for i, e in enumerate(["T1", "T2", "T3", "B1"] * 4)]
+    ents = [(e, e.lower(), "x") for e in ("T1", "T2", "T3", "B1")]
+    t = make_tables(spark, facts, ents, ["P0", "P1", "P2", "P3"], topic=ents[:3])
+    p = AffinityPipeline(t, AffinityParams(region_value="X", big_min_exclusive=1))
+    assert {r.like_id: r.avidity for r in p.entity_avidity.collect()} == {"T1": 4, "T2": 4, "T3": 4, "B1": 0}
+    assert p.person_avidity.count() == 4
+    assert p.tier_implications.count() > 0 and p.top_tier_implications().count() > 0
+
+
+def test_most_liked_by_threshold_is_the_ordered_top(spark):  # W5
+    popularity = spark.createDataFrame([(f"E{i:02d}", i // 3) for i in range(20)], "like_id string, n_likers bigint")
+    for k in (0, 1, 2, 3, 7, 19, 20, 25):
+        want = rows(avidity.most_liked(popularity, k))
+        assert rows(avidity.most_liked(popularity, k, max_rows=0)) == want and len(want) == min(k, 20)
+
+
+def test_words_are_separated_by_any_white_space(spark):
+    df = _one_col(spark, ["in a\topen  one", "", " x", "ça va", None], "string")
+    got = [r[0] for r in df.select(capitalize_words(F.col("v"))).collect()]
+    assert got == ["In A\tOpen  One", "", " X", "Ça Va", None]
 
 
 def test_single_metrics_that_read_edge_counts_get_them():

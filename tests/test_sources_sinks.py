@@ -139,7 +139,7 @@ def test_cli_on_raw_tsv_inputs(spark):
     topic = _write(root, "topic.json", ['[["T1", ["topic one", "Show"]]]'])
     out = tempfile.mkdtemp(prefix="fanscope-cli-")
     main(["--data-root", root, "--topic", topic, "--out", out, "--region", "India",
-          "--big-min-exclusive", "1", "--top-offtopic", "1", "--min-topic-entities", "0",
+          "--big-min-exclusive", "1", "--top-offtopic", "1",
           "--as-of", "2016-06-01"])
     nonfans = sorted(r.person_id for r in spark.read.parquet(os.path.join(out, "edge_nonfans")).collect())
     assert nonfans == ["P2", "P3"]
