@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.llm import textvec
-from fanscope.llm.common import steps, text_or_empty, utf8
+from fanscope.llm.common import fresh, steps, text_or_empty, utf8
 
 #: Positions of a window of SPAN tokens that each mask compares. Any one substitution is ignored by
 #: at least one mask, and most pairs.
@@ -166,16 +166,16 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no leak, with all their columns."""
     bench = _small(benchmark)
     if bench is None:
-        text = text_or_empty()
+        text, k1, k2 = text_or_empty(), fresh(docs, "_k1"), fresh(docs, "_k2")
         bad = _joined(docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), benchmark)
-        marked = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
-        return (marked.join(bad.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), ["_k1", "_k2"], "left_anti")
+        marked = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(1), text)})
+        return (marked.join(bad.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2], "left_anti")
                 .select(*docs.columns))
-    names = docs.columns
-    marked = docs.withColumn("_searched", text_or_empty())
+    names, searched = docs.columns, fresh(docs, "_searched")
+    marked = docs.withColumn(searched, text_or_empty())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "_searched"):
+        for batch in steps(batches, searched):
             found = bench.leaks(*tokens(batch.column(len(names))))
             clean = np.ones(batch.num_rows, bool)
             clean[[r for r, _ in found]] = False

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanscope.llm.common import parallelism, text_or_empty, written
+from fanscope.llm.common import fresh, parallelism, text_or_empty, written
 
 #: Words of a block in large sources, and the blocks that a source has at least (if it has as many words).
 BLOCK_WORDS, MIN_BLOCKS = 4096, 256
@@ -48,7 +48,7 @@ def targets(sizes: list[int], weights: list[int]) -> list[float]:
     order = sorted(range(len(sizes)), key=lambda k: sizes[k] / weights[k])
     left, weight, out = float(sum(sizes)), sum(weights), [0.0] * len(sizes)
     for k in order:  # those that reach their bound come first; what is left goes to the others
-        out[k] = min(MOST * sizes[k], left * weights[k] / weight)
+        out[k] = min(float(MOST * sizes[k]), left * weights[k] / weight)
         left, weight = left - out[k], weight - weights[k]
     return out
 
@@ -164,10 +164,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken words fill its size, rounded (so 0 to `MOST` times). Rows that agree in doc_id and text
     share what the mix takes of them evenly, rounded."""
     sizes = sized(docs)
-    times = (taken_words(sizes, source_table(sizes)).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-             .agg(F.expr("cast(round(sum(taken) / sum(size)) as int)").alias("_times")).filter("_times > 0"))
-    key = F.xxhash64(F.lit(4), F.col("doc_id").cast("long"), text_or_empty())
-    return (docs.withColumn("_key", key).join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-                                              & (F.col("_key") == F.col("_h")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-            .select(*[docs[c] for c in docs.columns]))
+    key, times = fresh(docs, "_key"), fresh(docs, "_times")
+    # h is a hash of doc_id and text.
+    taken = (taken_words(sizes, source_table(sizes)).groupBy(F.col("h").alias(key))
+             .agg(F.expr("cast(round(try_divide(sum(taken), sum(size))) as int)").alias(times)).filter(F.col(times) > 0))
+    marked = docs.withColumn(key, F.xxhash64(F.lit(4), F.col("doc_id").cast("long"), text_or_empty()))
+    return (marked.join(taken, key).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+            .select(*docs.columns))

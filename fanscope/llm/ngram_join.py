@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.llm import textvec
-from fanscope.llm.common import parallelism, steps, text_or_empty, utf8, written
+from fanscope.llm.common import fresh, parallelism, steps, text_or_empty, utf8, written
 from fanscope.llm.components import connected_components
 
 SIMILAR, WORDS = Fraction(4, 5), 5
@@ -354,10 +354,11 @@ def document_classes(docs: DataFrame) -> DataFrame:
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, of which one stays for each class: that of the
     smallest doc_id."""
+    k1, k2, doc = (fresh(docs, c) for c in ("_k1", "_k2", "_first"))
     first = (text_classes(docs).groupBy("root")
              .agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "k1", "k2")).alias("m"))
-             .select(F.col("m.k1").alias("_k1"), F.col("m.k2").alias("_k2"), F.col("m.first_doc").alias("_first")))
+             .select(F.col("m.k1").alias(k1), F.col("m.k2").alias(k2), F.col("m.first_doc").alias(doc)))
     text = text_or_empty()
-    marked = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
-    return (marked.join(first, ["_k1", "_k2"]).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_first")))
-            .dropDuplicates(["_k1", "_k2"]).select(*docs.columns))
+    marked = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(1), text)})
+    return (marked.join(first, [k1, k2]).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(doc)))
+            .dropDuplicates([k1, k2]).select(*docs.columns))

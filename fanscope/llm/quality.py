@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.llm import textvec
-from fanscope.llm.common import steps, text_or_empty, utf8
+from fanscope.llm.common import fresh, steps, text_or_empty, utf8
 
 #: Name; bad below and from; good from and below. Shares are of a text's words, letters or characters.
 #: The first five look for one fault each, and vote good where they don't find it.
@@ -173,10 +173,6 @@ class Model:
         self.patterns, self.weights = patterns, weights
 
 
-def _searched(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_searched", text_or_empty())
-
-
 def _measured(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = utf8(batch.column(at))
     m = measures(data, offsets)
@@ -244,12 +240,12 @@ def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def without_rejected(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of `docs` that the classifier keeps, with all their columns."""
     model = model or fit(docs)
-    names = docs.columns
+    names, searched = docs.columns, fresh(docs, "_searched")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "_searched"):
+        for batch in steps(batches, searched):
             score, _, _ = _scores(model, batch, len(names))
             kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=names)
             yield kept.filter(pa.array(score >= KEEP))
 
-    return _searched(docs).mapInArrow(run, docs.schema)
+    return docs.withColumn(searched, text_or_empty()).mapInArrow(run, docs.schema)
