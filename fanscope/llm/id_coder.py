@@ -11,7 +11,7 @@ by side, one id of each in a step.
 
 Format of a block, little endian: four 32-bit numbers (ids; crc32 of the ids as 32-bit numbers;
 bytes of the table; 16-bit words of code), the table (zlib: gaps between the distinct ids, 32 bits
-each, then their frequencies, 16 bits each, which add up to 2**14), the code.
+each, then their frequencies less 1, 16 bits each; these add up to 2**13), the code.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ import zlib
 import numpy as np
 
 BLOCK, LANES = 1 << 13, 1024
-FREQ_BITS, MIX_BITS = 14, 12
+#: Ids of a block at least, and blocks that there should be, while ids are few.
+SMALL, WIDE = 1 << 10, 256
+FREQ_BITS, MIX_BITS = 13, 12
 #: Slots of the order-1 and order-2 tables, and how sure a slot gets.
-SLOTS_1, SLOTS_2, SURE = 1 << 12, 1 << 13, 3  # the places() below keep 12 and 13 bits
+SLOTS_1, SLOTS_2, SURE = 1 << 11, 1 << 12, 3  # the places() below keep 11 and 12 bits
 #: An outcome moves a mixing weight by 2**-RATE of what is missing.
 RATE = 5
 _HEAD = struct.Struct("<IIII")
@@ -38,7 +40,7 @@ class BrokenBlock(ValueError):
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids, their frequencies (sum 2**14, none 0), and the ids as numbers of these."""
+    """Distinct ids, their frequencies (sum 2**FREQ_BITS, none 0), and the ids as numbers of these."""
     distinct, symbol, count = np.unique(ids, return_inverse=True, return_counts=True)
     freq = np.maximum(1, (count << FREQ_BITS) // len(ids))
     over = int(freq.sum()) - (1 << FREQ_BITS)
@@ -59,7 +61,7 @@ class _Mixer:
 
     def __init__(self, lanes: int):
         self.base_1, self.base_2 = np.arange(lanes) * SLOTS_1, np.arange(lanes) * SLOTS_2
-        self.slots_1, self.slots_2 = np.zeros(lanes * SLOTS_1, np.int32), np.zeros(lanes * SLOTS_2, np.int32)
+        self.slots_1, self.slots_2 = np.zeros(lanes * SLOTS_1, np.uint16), np.zeros(lanes * SLOTS_2, np.uint16)
         self.base = np.arange(lanes) * _STATES
         start = np.array([0, 400, 1200, 2400])
         # Shares of 2**12, by how sure the guesses of order 2 and 1 are: how often either is right.
@@ -72,7 +74,7 @@ class _Mixer:
         h = last.astype(np.uint32) * np.uint32(0x9E3779B1)
         g = h + before.astype(np.uint32) * np.uint32(0x85EBCA77)
         g = (g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        return self.base_1[:lanes] + (h >> np.uint32(20)), self.base_2[:lanes] + (g >> np.uint32(19))
+        return self.base_1[:lanes] + (h >> np.uint32(21)), self.base_2[:lanes] + (g >> np.uint32(20))
 
     def predict(self, at_1: np.ndarray, at_2: np.ndarray) -> tuple[np.ndarray, ...]:
         """Guesses of order 2 and 1 (0: none), and the shares of 2**12 that they get."""
@@ -99,7 +101,7 @@ class _Mixer:
 def _tables(parts: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
     """Symbols of the widest lane; frequencies and their sums before, lane after lane."""
     width = max(len(f) for f in parts)
-    freq, before = np.zeros((len(parts), width), np.int32), np.zeros((len(parts), width), np.int32)
+    freq, before = np.zeros((len(parts), width), np.uint16), np.zeros((len(parts), width), np.uint16)
     for k, f in enumerate(parts):
         freq[k, :len(f)] = f
         before[k, :len(f)] = np.cumsum(f) - f
@@ -124,7 +126,7 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     table = np.arange(lanes) * width - 1
     mixer = _Mixer(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    # One id takes 26 bits at most, and rounding a little.
+    # One id takes 25 bits at most, and rounding a little.
     room = int(sizes[0]) * 2 + 16
     out, at = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
     carried, shift_f, shift_t = np.uint64(1 << 48), FREQ_BITS, np.uint64(FREQ_BITS + MIX_BITS)
@@ -193,7 +195,7 @@ def _decode_lanes(blocks: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarra
     lanes, sizes = len(blocks), np.array([b[0] for b in blocks])
     width, freq, before = _tables([f for _, f in parts])
     table = np.arange(lanes) * width - 1
-    slot = np.concatenate([np.repeat(np.arange(1, len(f) + 1, dtype=np.int32), f) for _, f in parts])
+    slot = np.concatenate([np.repeat(np.arange(1, len(f) + 1, dtype=np.uint16), f) for _, f in parts])
     slot_at = np.arange(lanes) << FREQ_BITS
     size = np.array([len(c) // 2 + 8 for *_, c in blocks])
     words = np.zeros(int(size.sum()), np.uint64)
@@ -214,7 +216,7 @@ def _decode_lanes(blocks: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarra
             both = two + one
             rest = (1 << MIX_BITS) - both
             unit = span_k >> shift_t
-            t = (code_k // unit).astype(np.int32)  # below 2**26, but for what rounding leaves at the end
+            t = (code_k // unit).astype(np.int32)  # below 2**25, but for what rounding leaves at the end
             two_t, both_t = two << FREQ_BITS, both << FREQ_BITS
             by_2 = t < two_t
             by_1 = t < both_t
@@ -245,8 +247,10 @@ def _decode_lanes(blocks: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarra
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """Ids (below 2**32), as blocks one after the other."""
-    blocks = [ids[at:at + BLOCK] for at in range(0, len(ids), BLOCK)]
+    """Ids (below 2**32), as blocks one after the other. Few ids make smaller blocks, so that many are
+    coded side by side."""
+    size = min(BLOCK, max(SMALL, -(-len(ids) // WIDE)))
+    blocks = [ids[at:at + size] for at in range(0, len(ids), size)]
     return b"".join(x for at in range(0, len(blocks), LANES) for x in _encode_lanes(blocks[at:at + LANES]))
 
 
