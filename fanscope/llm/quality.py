@@ -215,8 +215,9 @@ def fit(docs: DataFrame) -> Model:
 
 def _scores(model: Model, batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets, m, code = _measured(batch, at)
-    x = features(data, offsets, m) @ model.weights[:-1] + model.weights[-1]
-    return 1 / (1 + np.exp(-x.astype(np.float64))), np.array([model.patterns[c] for c in code.tolist()]), code
+    # Summed row by row, so that a score doesn't depend on the rows beside it.
+    x = (features(data, offsets, m) * model.weights[:-1]).sum(axis=1, dtype=np.float64) + model.weights[-1]
+    return 1 / (1 + np.exp(-x)), np.array([model.patterns[c] for c in code.tolist()]), code
 
 
 def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -33,7 +33,8 @@ def test_round_trip_of_any_ids(ids, block):
         C.BLOCK = whole
 
 
-def test_contexts_pay():
+def test_contexts_pay(monkeypatch):
+    monkeypatch.setattr(C, "SMALL", C.BLOCK)
     rng = np.random.default_rng(0)
     flat = rng.integers(0, 500, 40_000).astype(np.uint32)
     phrases = np.concatenate([p for p in rng.integers(0, 500, (200, 20)).astype(np.uint32)[rng.integers(0, 200, 2000)]])
