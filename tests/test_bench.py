@@ -24,5 +24,6 @@ def test_bench_prints_one_json_line():
     rec = json.loads(lines[0])
     assert rec["unit"] == "sec" and rec["sf"] == 0.001 and rec["metric"] == "headline_total"
     assert set(rec["queries"]) == {"top_implications", "edge_nonfans", "factor_report",
-                                   "tier_implications", "estimated_fans_by_age", "all_reports"}
+                                   "tier_implications", "estimated_fans_by_age", "top_tier_implications",
+                                   "run_reports"}
     assert rec["value"] > 0
