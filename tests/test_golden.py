@@ -30,7 +30,9 @@ GOLDEN_ROWS = {
     "people_locales": 22, "implications_category_people": 33, "implications_category_music": 34,
     "implications_category_new_media": 29, "implications_category_old_media": 47,
     "implications_names": 10, "topic_popularity": 3, "entity_avidity": 95, "person_avidity": 26,
-    "tier_implications": 195, "top_tier_implications": 126, "estimated_fans_by_age": 101, "factor_report": 2,
+    "tier_implications": 195, "top_tier_implications": 126, "estimated_fans_by_age": 102, "factor_report": 2,
+    "factor_report_age": 16, "factor_report_ageband": 6, "factor_report_relationship": 3,
+    "factor_report_locale": 2, "factor_report_state": 4,
     "person_counts_by_factor": 2, "fan_counts_by_factor": 2, "edge_counts_by_factor": 2,
     "fan_like_counts_by_factor": 2, "mean_fan_likes_by_factor": 2,
     "fan_concentration_by_factor": 2, "edge_concentration_by_factor": 2, "fandom_by_factor": 2,
