@@ -6,9 +6,11 @@ equal words at their ends are matched. Coverage is the share of a template's wor
 
 Stretches of a text that may hold a template are found by word pairs: where enough different pairs
 of the template stand close together. (A template covered to `COVERAGE` keeps more of its pairs than
-that, unless other words are strewn into it.) A find needs `COVERAGE` of the template and `DENSITY`
-of the stretch from its first to its last match. Of finds that overlap, the one with the most
-matches stays (ties: higher coverage, then the template that comes first).
+that, unless other words are strewn into it.) The pairs of a stretch are chained in the template's
+order, a chain for each copy that may stand there, and each copy is aligned by itself. A find needs
+`COVERAGE` of the template and `DENSITY` of the stretch from its first to its last match. Of finds
+that overlap, the one with the most matches stays (ties: higher coverage, then the template that
+comes first).
 
 Words are runs without white space and ASCII punctuation, in lower case.
 
@@ -21,7 +23,7 @@ are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +40,8 @@ from fanscope.llm.license_templates import TEMPLATES
 COVERAGE, DENSITY = 0.8, 0.6
 #: Words of a stretch beside the template's own, at either end.
 SLACK = 8
+#: What a word between two pairs of a chain costs, in pairs.
+GAP = 0.25
 _PAIR = textvec.salts(2, 1)
 
 
@@ -94,8 +98,9 @@ class Templates:
         self.seen = np.zeros(1 << 16, bool)
         self.seen[self.pair >> np.uint64(48)] = True
 
-    def stretches(self, h: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row, template, from, to): stretches of h that may hold a template."""
+    def stretches(self, h: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(row, template, places in h, places in the template) of the word pairs of each stretch that
+        may hold a template."""
         at, pair = _pairs(h, rows)
         near = np.flatnonzero(self.seen[pair >> np.uint64(48)])
         low = np.searchsorted(self.pair, pair[near], "left")
@@ -103,7 +108,7 @@ class Templates:
         place = np.repeat(at[near], n)
         template, q = self.of[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)].T
         row = np.searchsorted(rows, place, "right") - 1
-        order = np.lexsort((place, template, row))
+        order = np.lexsort((q, place, template, row))
         row, template, place, q = row[order], template[order], place[order], q[order]
         size = np.array([len(w) for w in self.words])
         new = np.ones(len(row), bool)
@@ -111,31 +116,87 @@ class Templates:
                    | (place[1:] - place[:-1] > size[template[1:]] + SLACK))
         start = np.flatnonzero(new)
         for i, j in zip(start, np.append(start, len(row))[1:], strict=True):
-            k, r = int(template[i]), int(row[i])
+            k = int(template[i])
             if len(set(q[i:j].tolist())) >= max(1, size[k] // 3):
-                yield (r, k, max(int(rows[r]), int(place[i] - q[i]) - SLACK),
-                       min(int(rows[r + 1]), int(place[j - 1] + size[k] - q[j - 1]) + SLACK))
+                yield int(row[i]), k, place[i:j], q[i:j]
+
+    def copies(self, k: int, place: np.ndarray, q: np.ndarray, low: int, high: int) -> Iterator[list[tuple[int, int]]]:
+        """For each copy of template k that may stand in a stretch, best first, the windows of
+        low..high to align: as long as the template, and with SLACK; none reaches into the next copy."""
+        size = len(self.words[k])
+        found = [(int(place[c[0]]), int(q[c[0]]), int(place[c[-1]]), int(q[c[-1]]))
+                 for c in _chains(place, q, size) if len(c) >= max(1, size // 3)]
+        starts, ends = sorted(c[0] for c in found), sorted(c[2] + 2 for c in found)
+        for a, first, b, last in found:
+            before, after = bisect_right(ends, a), bisect_left(starts, b + 2)
+            left = max(low, ends[before - 1] if before else low)
+            right = min(high, starts[after] if after < len(starts) else high)
+            yield [(max(left, a - first - slack), min(right, b + size - last + slack)) for slack in (0, SLACK)]
 
     def finds(self, h: np.ndarray, rows: np.ndarray) -> list[tuple]:
         """(row, template, start, end, matched): places count from the row's start; no two overlap."""
         found = []
-        for r, k, low, high in self.stretches(h, rows):
-            words = self.words[k].tolist()
-            while low < high:  # a stretch may hold several
-                match = patience(h[low:high].tolist(), words)
-                first, last, n = _best_stretch(match)
-                if n < COVERAGE * len(words) or n < DENSITY * (last - first + 1):
-                    break
-                found.append((r, k, low + first - int(rows[r]), low + last + 1 - int(rows[r]), n))
-                low += last + 1
+        for r, k, place, q in self.stretches(h, rows):
+            words, taken = self.words[k].tolist(), _Taken()
+            for windows in self.copies(k, place, q, int(rows[r]), int(rows[r + 1])):
+                best = (0, 0, 0)
+                for low, high in windows:
+                    first, last, n = _best_stretch(patience(h[low:high].tolist(), words))
+                    if n > best[2] and n >= DENSITY * (last - first + 1):
+                        best = (low + first, low + last + 1, n)
+                start, end, n = best
+                if n and n >= COVERAGE * len(words) and taken.add(start, end):
+                    found.append((r, k, start - int(rows[r]), end - int(rows[r]), n))
         found.sort(key=lambda f: (f[0], -f[4], -f[4] / len(self.words[f[1]]), f[1], f[2]))
         out: list[tuple] = []
+        of_row: dict[int, _Taken] = {}
         for f in found:
-            if not any(g[0] == f[0] and f[2] < g[3] and g[2] < f[3] for g in reversed(out)):
+            if of_row.setdefault(f[0], _Taken()).add(f[2], f[3]):
                 out.append(f)
         return sorted(out, key=lambda f: (f[0], f[2]))
 
 
+class _Taken:
+    """Stretches that don't overlap."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def add(self, start: int, end: int) -> bool:
+        """Adds a stretch if it overlaps none."""
+        at = bisect_right(self.ends, start)
+        if at < len(self.starts) and self.starts[at] < end:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
+def _chains(place: np.ndarray, q: np.ndarray, size: int) -> list[list[int]]:
+    """Word pairs (sorted by place) as chains that increase in place and q, best first; a pair counts
+    1, a word between two pairs costs GAP. Each pair is in one chain."""
+    n = len(place)
+    score, before = np.ones(n), np.full(n, -1)
+    # A chain of fewer than `size` pairs isn't worth a longer gap.
+    first = np.searchsorted(place, place - int(size / GAP) - 1)
+    for i in range(1, n):
+        j = first[i]
+        gain = np.where((q[j:i] < q[i]) & (place[j:i] < place[i]), score[j:i] - GAP * (place[i] - place[j:i] - 1), 0)
+        top = len(gain) - 1 - int(np.argmax(gain[::-1])) if len(gain) else 0
+        if len(gain) and gain[top] > 0:
+            score[i], before[i] = 1 + gain[top], j + top
+    used, out = np.zeros(n, bool), []
+    for i in np.argsort(-score, kind="stable").tolist():
+        chain = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            chain.append(i)
+            i = int(before[i])
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
 def _best_stretch(match: list[tuple[int, int]]) -> tuple[int, int, int]:
     """First and last place in the text, and the number of matches, of the run of matches with the
     most matches over twice its other words."""

@@ -4,6 +4,7 @@ import os
 from difflib import SequenceMatcher
 
 import duckdb
+import pyarrow as pa
 import pytest
 from helpers import ODD, docs
 from hypothesis import given, settings
@@ -79,6 +80,27 @@ def test_every_template_is_found_in_a_text(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 3, 40])
+def test_every_copy_of_a_licence_is_found(copies):
+    table = license_scan.Templates(TEMPLATES)
+    for name, notice in TEMPLATES.items():
+        for between in ("", "foo", "foo bar", "lorem ipsum dolor sit amet " * 6):
+            column = pa.array([f"x y z {f' {between} '.join([notice] * copies)} w v u"])
+            got = table.finds(*license_scan.tokens(column))
+            assert [table.names[f[1]] for f in got] == [name] * copies, (name, between)
+            size, apart = len(table.words[got[0][1]]), len(between.split())
+            assert [(f[2], f[4]) for f in got] == [(3 + k * (size + apart), size) for k in range(copies)]
+
+
+def test_copies_with_edits_and_a_part_between_them():
+    table = license_scan.Templates(TEMPLATES)
+    whole = TEMPLATES["mit"]
+    edited = whole.replace("free of charge", "gratis").replace("publish, ", "").replace("Software is", "said Software is")
+    part = " ".join(whole.split()[:30])
+    got = table.finds(*license_scan.tokens(pa.array([f"a b {edited} c {part} d {whole} e {edited} f"])))
+    assert [table.names[f[1]] for f in got] == ["mit"] * 3 and got[1][4] == len(table.words[got[1][1]])
+
+
 # --- registry and pipeline
 def test_registry():
     assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
