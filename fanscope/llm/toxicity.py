@@ -10,15 +10,19 @@ largest weight. The sum of a query's weights times these bounds every cosine in
 scored in descending order of their bounds, until no bound exceeds the lowest similarity kept.
 
 Terms are tokens in lower case (runs without white space and ASCII punctuation) and their first 4,
-5 and 7 bytes. Kept are the `TERMS` terms whose presence depends most on the label (chi-squared, at
-least `LEAST`). Document frequencies are counted over all documents.
+5 and 7 bytes. All terms of the examples count, or the `TERMS` whose presence depends most on the
+label where there are more; no term is left out for a weak or rare dependence. A term's TF-IDF is
+multiplied by its dependence (the root of chi-squared), less so if that is below what chance gives
+the strongest of so many terms. Document frequencies are counted over all documents.
 
 Examples are a bounded sample: about `EXAMPLES` rows, chosen by a hash of doc_id, half of them toxic
 if there are as many. Labels come from rows whose crc32(doc_id) mod 5 isn't 0; nothing but the text
 enters a score.
 
 Scale: two passes over the texts (frequencies, scores) without a shuffle of documents. The driver
-holds the examples' terms (about 40 MB), and tasks the index of at most `TERMS` x `EXAMPLES` weights.
+holds the examples' terms (about 40 MB), and tasks the index of at most `TERMS` x `EXAMPLES` weights
+(bounds of `TERMS` x `EXAMPLES` / `BLOCK` blocks, about 12 MB); `ENTRIES` query weights at a time are
+looked up.
 
 Defined cases: a null or empty text, or one without a kept term, gets the score of the base rate;
 rows with equal texts get equal scores; labels other than 0 and 1 and labels of missing documents
@@ -39,10 +43,8 @@ from pyspark.sql import functions as F
 from fanscope.llm import textvec
 from fanscope.llm.common import steps, text_or_empty, utf8
 
-#: LEAST is far above what chance gives among millions of terms, as copies of a text count as often
-#: as they are there.
-EXAMPLES, TERMS, LEAST = 3000, 1024, 60.0
-NEAREST, BLOCK, EVIDENCE = 32, 64, 3
+EXAMPLES, TERMS = 3000, 1 << 14
+NEAREST, BLOCK, EVIDENCE, ENTRIES = 32, 64, 3, 1 << 13
 #: Bytes of the prefixes that are terms; the weight of the base rate beside the votes.
 PREFIXES, BASE = (4, 5, 7), 0.05
 
@@ -83,15 +85,15 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[self.hashes >> np.uint64(48)] = True
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.hashes >> np.uint64(44)] = True
 
     def find(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted by row: row, number of the term, how often it stands there."""
         n = len(self.hashes)
         found = []
         for h, row in terms(column) if n else ():
-            near = np.flatnonzero(self.seen[h >> np.uint64(48)])
+            near = np.flatnonzero(self.seen[h >> np.uint64(44)])
             at = np.minimum(np.searchsorted(self.hashes, h[near]), n - 1)
             hit = self.hashes[at] == h[near]
             found.append(row[near[hit]] * n + at[hit])
@@ -124,12 +126,13 @@ class Index:
         self.n, self.blocks = n, max(1, -(-n // BLOCK))
         doc = at[row]
         order = np.lexsort((doc, term, doc // BLOCK))
-        self.doc, self.weight = doc[order], weight[order]
-        code = (self.doc // BLOCK) * n_terms + term[order]
+        doc, self.weight = doc[order], weight[order]
+        self.slot = doc % BLOCK
+        code = (doc // BLOCK) * n_terms + term[order]
         #: Postings of block b and term t: start[b * n_terms + t] up to the next start.
         self.start = np.searchsorted(code, np.arange(self.blocks * n_terms + 1))
         self.bound = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.bound, (term[order], self.doc // BLOCK), self.weight)
+        np.maximum.at(self.bound, (term[order], doc // BLOCK), self.weight)
         self.n_terms = n_terms
 
     def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int,
@@ -137,6 +140,19 @@ class Index:
         """For each of n queries (sorted; row, term, weight) the examples with the highest cosines
         and these, in descending order; -1 where there are none above 0. Ties go to the lower
         place. `but`: an example for each query that is left out."""
+        best, sim = np.full((n, NEAREST), -1), np.zeros((n, NEAREST))
+        of_row, at = np.searchsorted(row, np.arange(n + 1)), 0
+        while at < n:
+            end = int(np.searchsorted(of_row, of_row[at] + ENTRIES, "right")) - 1
+            end = min(max(end, at + 1), n)
+            own = slice(of_row[at], of_row[end])
+            best[at:end], sim[at:end] = self._nearest(row[own] - at, term[own], weight[own], end - at,
+                                                      None if but is None else but[at:end])
+            at = end
+        return best, sim
+
+    def _nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int,
+                 but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         bound = np.zeros((n, self.blocks))
         if len(row):
             first = np.flatnonzero(np.diff(row, prepend=-1))
@@ -155,9 +171,11 @@ class Index:
             local = np.repeat(np.arange(len(open_)), size)
             code = block[local] * self.n_terms + term[entry]
             low, many = self.start[code], self.start[code + 1] - self.start[code]
-            post = np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many)
-            local, w = np.repeat(local, many), np.repeat(weight[entry], many)
-            cos = np.bincount(local * BLOCK + self.doc[post] % BLOCK, w * self.weight[post], len(open_) * BLOCK)
+            some = np.flatnonzero(many)
+            local, entry, low, many = local[some], entry[some], low[some], many[some]
+            of = np.repeat(np.arange(len(some)), many)
+            post = np.arange(len(of)) + (low - (np.cumsum(many) - many))[of]
+            cos = np.bincount((local * BLOCK)[of] + self.slot[post], weight[entry][of] * self.weight[post], len(open_) * BLOCK)
             cos = cos.reshape(len(open_), BLOCK)
             example = block[:, None] * BLOCK + np.arange(BLOCK)
             if but is not None:
@@ -247,7 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     row = np.repeat(np.arange(len(rows)), [len(x) for x in hashes])
     h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
     times = np.concatenate([*(np.frombuffer(r["n"], np.uint32) for r in rows), np.zeros(0, np.uint32)])
-    vocabulary = Vocabulary(_dependent(h, labels_[row] if len(rows) else np.zeros(0, int), labels_))
+    hashes, dependence = _dependent(h, labels_[row] if len(rows) else np.zeros(0, int), labels_)
+    vocabulary = Vocabulary(hashes)
     n = len(vocabulary.hashes)
     at = np.minimum(np.searchsorted(vocabulary.hashes, h), max(n - 1, 0))
     kept = vocabulary.hashes[at] == h if n else np.zeros(len(h), bool)
@@ -256,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     row, term, times = row[order], term[order], times[order]
 
     total, often = _frequencies(docs, vocabulary)
-    idf = np.log((1 + total) / (1 + often)) + 1e-3
+    idf = (np.log((1 + total) / (1 + often)) + 1e-3) * dependence
     weight = weighted(row, term, times, idf, len(rows))
     sampled = np.bincount(labels_, minlength=2)
     stands_for = np.array([counts.get(v, 0) / max(sampled[v], 1) for v in (0, 1)])[labels_] if len(rows) else np.zeros(0)
@@ -267,17 +286,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(vocabulary, idf, index, base, fit_curve(logit(share), labels_, stands_for))
 
 
-def _dependent(h: np.ndarray, label: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The TERMS terms with the highest chi-squared of presence and label."""
+def _dependent(h: np.ndarray, label: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The TERMS terms whose presence depends most on the label, sorted, and how much. Chi-squared is
+    the mean of that of all examples and that without one example that speaks for the dependence, so
+    that terms of one or two examples count less, but do count."""
     term, code = np.unique(h, return_inverse=True)
     here = np.bincount(code, minlength=len(term)).astype(float)
     toxic = np.bincount(code, label, len(term))
     n, n1 = float(len(labels)), float(labels.sum())
-    expected = here * n1 / max(n, 1)
-    spread = here * (n - here) * n1 * (n - n1) / max(n, 1) ** 3
-    chi = np.where(spread > 0, (toxic - expected) ** 2 / np.maximum(spread, 1e-300), 0)
-    order = np.lexsort((term, -chi))[:TERMS]
-    return term[order[chi[order] >= LEAST]]
+
+    def chi(here: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        spread = here * (n - here) * n1 * (n - n1) / max(n, 1) ** 3
+        return np.where(spread > 0, (toxic - here * n1 / max(n, 1)) ** 2 / np.maximum(spread, 1e-300), 0)
+
+    whole, less = chi(here, toxic), chi(here - 1, toxic - (toxic * n > here * n1))
+    mean = (whole + np.minimum(whole, less)) / 2
+    kept = np.sort(np.lexsort((term, -mean))[:TERMS])
+    # About the highest chi-squared that chance gives among so many terms.
+    chance = 2 * np.log(max(len(term), 2))
+    # Terms that stand in all examples or in labels of one kind depend on nothing; they keep a trace.
+    return term[kept], np.sqrt(mean[kept]) * np.minimum(1, mean[kept] / chance) + 1e-6
 
 
 def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:

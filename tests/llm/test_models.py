@@ -111,6 +111,56 @@ def test_toxicity_on_held_out_rows(spark):
     assert sorted((r.doc_id, r.score) for r in got) == sorted((r.doc_id, r.score) for r in again)
 
 
+def test_toxicity_of_few_labels(spark):
+    # 56 labelled rows that aren't held out: chi-squared can't pass 56.
+    rows, labels = toxic_docs(70, seed=3)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    got = toxicity.scored(docs(spark, rows), table).collect()
+    truth = {i: t for i, _, t, _ in labels}
+    assert sum(truth[r.doc_id] for r in got if r.held_out) >= 2
+    assert [r.doc_id for r in got if r.predicted != truth[r.doc_id]] == []
+    assert all(r.evidence and r.evidence[0].toxic for r in got if truth[r.doc_id])
+
+
+def test_toxic_words_of_a_rare_group(spark):
+    # Toxic words of a second language stand in few of the toxic examples.
+    rows, labels = toxic_docs(600, seed=5)
+    rng, bad = random.Random(6), ["ordinaire", "saleté", "crétin"]
+    for i in range(1000, 1080):
+        toxic = int(i % 8 == 0)
+        w = [f"mot{rng.randrange(300)}y" for _ in range(rng.randint(20, 80))]
+        for _ in range(4 * toxic):
+            w[rng.randrange(len(w))] = rng.choice(bad)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, toxic, "x"))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    got = toxicity.scored(docs(spark, rows), table).collect()
+    truth = {i: t for i, _, t, _ in labels}
+    rare = [r for r in got if r.doc_id >= 1000 and truth[r.doc_id]]
+    assert len(rare) == 10 and any(r.held_out for r in rare) and all(r.predicted for r in rare)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.99
+
+
+@pytest.mark.parametrize("entries", [1, 50])
+def test_search_in_parts_is_the_same(monkeypatch, entries):
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((130, 30)) < 0.2, rng.random((130, 30)), 0)
+    row, term = np.nonzero(dense)
+    index = toxicity.Index(row, term, dense[row, term], rng.integers(0, 2, 130), np.ones(130), list(range(130)), 30)
+    whole = index.nearest(row, term, dense[row, term], 130, but=index.at)
+    monkeypatch.setattr(toxicity, "ENTRIES", entries)
+    parts = index.nearest(row, term, dense[row, term], 130, but=index.at)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
+def test_no_term_of_the_examples_is_left_out_below_the_size_bound():
+    h = np.array([1, 2, 3, 1, 2, 4, 1, 5], np.uint64)
+    row = np.array([0, 0, 0, 1, 1, 1, 2, 2])
+    labels = np.array([1, 1, 0])
+    terms, weight = toxicity._dependent(h, labels[row], labels)
+    assert terms.tolist() == [1, 2, 3, 4, 5] and (weight > 0).all() and weight[1] > weight[2]
+
+
 def test_toxicity_of_odd_rows(spark):
     rows, labels = toxic_docs(200)
     odd = [(None, 1, 1, ""), (9999, 1, 1, ""), (4, None, None, ""), (5, 0, 7, "")]
