@@ -78,6 +78,42 @@ def test_each_single_substitution_is_ignored_by_a_mask():
         assert any(p not in m for m in D.MASKS)
 
 
+def test_masks_hit_whichever_fifth_is_substituted():
+    # Fewest substitutions that no mask passes, over the last SPAN - 1 tokens (bit 0: the last; set: substituted).
+    masks = [sum(1 << (D.SPAN - 1 - p) for p in m) for m in D.MASKS]
+    full = (1 << (D.SPAN - 1)) - 1
+    least = {0: 0}
+    for n in range(1, 121):
+        after = {}
+        for state, cost in least.items():
+            for bit in (0, 1):
+                window = state << 1 | bit
+                if n < D.SPAN or all(window & m for m in masks):
+                    after[window & full] = min(after.get(window & full, n), cost + bit)
+        least = after
+        assert n < D.SPAN or min(least.values()) > n // 5, n
+
+
+@pytest.mark.parametrize("broadcast", [1 << 22, 0])
+def test_substituted_fifths(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", broadcast)
+    rng = random.Random(7)
+    items = [(n, text(n, rng)) for n in [*range(12, 26), 40, 59]]
+    rows, want = [], {}
+    for n, item in items:
+        sets = [range(k, n, 5) for k in range(5)] + [range(n - n // 5, n), range(n // 5)]
+        sets += [rng.sample(range(n), n // 5) for _ in range(40)]
+        for places in sets:
+            places = sorted(places)[:n // 5]
+            want[len(rows)] = (n, n - len(places))
+            rows.append((len(rows), f"{text(9, rng)} {substituted(item, places)} {text(9, rng)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.n_matched) for r in D.leaks(docs(spark, rows), bench).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] for k in want)
+    assert all(got[k][1] >= min(want[k][1], D.MATCH) for k in want)
+    assert D.without_leaks(docs(spark, rows), bench).count() == 0
+
+
 @pytest.mark.parametrize("broadcast", [1 << 22, 0])
 def test_odd_rows(spark, monkeypatch, broadcast):
     monkeypatch.setattr(D, "BROADCAST_BYTES", broadcast)
