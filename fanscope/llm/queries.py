@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanscope.llm import decontam, license_scan, line_spread, merkle, ngram_join, quality, token_files, toxicity
+from fanscope.llm import bit_search, decontam, license_scan, line_spread, merkle, ngram_join, quality, token_files, toxicity
 from fanscope.llm.common import read_table
 from fanscope.llm.fingerprint import fingerprint_report
 from fanscope.llm.html_crf import main_text
 from fanscope.llm.mixing import mix_report
+from fanscope.llm.whitening import whitening_report
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +54,18 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_bit_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_search.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,8 +74,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_document_fingerprints, op3_toxicity, op4_source_mix, op5_html_extraction, op6_token_files, op7_quality, op8_ngram_jaccard_join, op9_line_spread,
-    op10_benchmark_leaks, op12_merkle_manifest, pipeline,
+    op10_benchmark_leaks, op11_embedding_whitening, op12_merkle_manifest, op13_bit_code_search, pipeline,
 )}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op9_line_spread": line_spread.oracle(), "op12_merkle_manifest": merkle.oracle()}
+ORACLE_SQL: dict[str, str] = {"op9_line_spread": line_spread.oracle(), "op12_merkle_manifest": merkle.oracle(),
+                              "op13_bit_code_search": bit_search.oracle()}
