@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 from fanscope.params import AffinityParams
 from fanscope.plans.pipeline import AffinityPipeline
 from fanscope.plans.reports import run_reports
-from fanscope.session import SCALE_CONF
+from fanscope.session import SCALE_CONF, checkpoint_root
 from fanscope.sources.tables import load_tsv_tables
 
 
@@ -49,6 +49,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     ap.add_argument("--broadcast-max-bytes", type=int, default=d.broadcast_max_bytes)
     ap.add_argument("--hot-person-share", type=float, default=d.hot_person_share)
     ap.add_argument("--skew-slices", type=int, default=d.skew_slices)
+    ap.add_argument("--heavy-keys-max", type=int, default=d.heavy_keys_max)
+    ap.add_argument("--direct-top-max", type=int, default=d.direct_top_max)
     ap.add_argument("--as-of", type=dt.date.fromisoformat, default=d.as_of)
     ap.add_argument("--store", choices=["memory", "checkpoint", "none"], default="memory")
     return ap.parse_args(argv)
@@ -71,9 +73,14 @@ def main(argv=None) -> None:
     given = {f.name: getattr(a, f.name) for f in dataclasses.fields(AffinityParams) if hasattr(a, f.name)}
     params = AffinityParams(region_value=a.region, **given)
     spark = session()
+    if a.store != "none":
+        checkpoint_root(spark)  # says what is missing before any job runs
     tables = load_tsv_tables(spark, a.data_root, a.topic, a.topic_format)
     pipe = AffinityPipeline(tables, params, store=a.store)
-    written = run_reports(pipe, a.out)
+    try:
+        written = run_reports(pipe, a.out)
+    finally:
+        pipe.unpersist()
     print(json.dumps({"written": written}))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.functions.scoring import implication_score, rank_key
-from fanscope.operators.joins import hot_split_join
+from fanscope.operators.joins import Spread, hot_split_join, member_join
 
 
 def entity_rows(topic_and_big: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def entity_rows(topic_and_big: DataFrame) -> DataFrame:
     return topic_and_big.groupBy("like_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def person_summary(region_facts: DataFrame, rows_of: DataFrame, topic_facts: DataFrame) -> DataFrame:
+def person_summary(region_facts: DataFrame, rows_of: DataFrame, topic_facts: DataFrame,
+                   spread: Spread | None = None) -> DataFrame:
     """(person_id, n_likes, n_relevant, n_topic), one row per region person
     with a like, in a single aggregation by person:
 
@@ -34,9 +35,10 @@ def person_summary(region_facts: DataFrame, rows_of: DataFrame, topic_facts: Dat
     `topic_like_facts`) are the distinct pairs of topic entity and person, a
     small part of the facts. Both kinds of rows are summed by hash aggregation,
     partially map-side, so a person with a huge share of all facts collapses
-    before the shuffle.
+    before the shuffle. `spread` says how facts meet a `rows_of` too large to
+    broadcast.
     """
-    facts = (region_facts.select("person_id", "like_id").join(rows_of, "like_id", "left")
+    facts = (member_join(region_facts.select("person_id", "like_id"), rows_of, "like_id", "person_id", spread, "left")
              .select("person_id", F.lit(1).alias("n_likes"),
                      F.coalesce("n_rows", F.lit(0)).alias("n_relevant"), F.lit(0).alias("n_topic")))
     pairs = topic_facts.select("person_id", F.lit(0).alias("n_likes"),
@@ -55,11 +57,11 @@ def person_relevant_counts(summary: DataFrame) -> DataFrame:
     return summary.filter(F.col("n_relevant") > 0).select("person_id", "n_relevant")
 
 
-def topic_like_facts(region_facts: DataFrame, topic_id_df: DataFrame) -> DataFrame:
+def topic_like_facts(region_facts: DataFrame, topic_id_df: DataFrame, spread: Spread | None = None) -> DataFrame:
     """Distinct (like_id, person_id) pairs on topic entities."""
-    return (region_facts.select("like_id", "person_id")
-            .join(topic_id_df, "like_id", "left_semi")
-            .distinct())
+    return (member_join(region_facts.select("like_id", "person_id"), topic_id_df, "like_id", "person_id",
+                        spread, "left_semi")
+            .select("like_id", "person_id").distinct())
 
 
 def person_topic_counts(summary: DataFrame) -> DataFrame:
@@ -74,9 +76,12 @@ def person_topic_share(summary: DataFrame) -> DataFrame:
             .select("person_id", (F.col("n_topic").cast("double") / F.col("n_relevant")).alias("share")))
 
 
-def big_like_facts(region_facts: DataFrame, big: DataFrame) -> DataFrame:
-    """(person_id, like_id) facts on big entities; repeat likes are kept."""
-    return region_facts.select("person_id", "like_id").join(big, "like_id", "left_semi")
+def big_like_facts(region_facts: DataFrame, big: DataFrame, spread: Spread | None = None) -> DataFrame:
+    """(person_id, like_id) facts on big entities; repeat likes are kept. Big
+    entities are hot by definition: beyond the broadcast bound `spread` joins
+    the heaviest map-side and slices the others."""
+    return (member_join(region_facts.select("person_id", "like_id"), big, "like_id", "person_id", spread, "left_semi")
+            .select("person_id", "like_id"))
 
 
 def like_topic_fractions(big_facts: DataFrame, share: DataFrame,

@@ -5,20 +5,35 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.functions.scoring import (TIER_AVID, TIER_CASUAL, TIER_INTERMEDIATE, TIER_NON_FAN,
                                         avidity_tier, entity_avidity_score)
-from fanscope.operators.affinity import entity_implications, like_topic_stats, top_implications
-from fanscope.operators.joins import hot_split_join
+from fanscope.operators.affinity import entity_implications, top_implications
+from fanscope.operators.joins import Spread, hot_split_join, member_join
+from fanscope.operators.selection import among_top, kth_largest
 from fanscope.params import AffinityParams
 
 
-def topic_popularity(stats: DataFrame, topic_id_df: DataFrame) -> DataFrame:
+def topic_popularity(big_topic: DataFrame, entity_rows: DataFrame, absent_facts: DataFrame | None,
+                     share: DataFrame) -> DataFrame:
     """(like_id, n_likers) for topic entities that are big (only those have
-    liker counts)."""
-    return stats.select("like_id", "n_likers").join(topic_id_df, "like_id", "left_semi")
+    liker counts): facts of likers who have a share.
+
+    Whoever likes an entity of the entity table has a topic-or-big like and so
+    a share, thus all facts of such an entity count (`big_topic`: like_id,
+    n_facts). An entity of the topic file that the entity table lacks
+    (`absent_facts`: the facts of those, None without such) counts only likers
+    with a share by other likes.
+    So popularity needs no fact-sized join, and tiers don't wait for the ranking."""
+    known = (big_topic.join(entity_rows, "like_id", "left_semi")
+             .select("like_id", F.col("n_facts").alias("n_likers")))
+    if absent_facts is None:
+        return known
+    absent = (absent_facts.join(share.select("person_id"), "person_id", "left_semi")
+              .groupBy("like_id").agg(F.count(F.lit(1)).alias("n_likers")))
+    return known.unionByName(absent)
 
 
 def top_fraction_count(n_topic: int, frac: float) -> int:
@@ -26,26 +41,16 @@ def top_fraction_count(n_topic: int, frac: float) -> int:
     return int(math.floor(n_topic * frac))
 
 
-def most_liked(popularity: DataFrame, k: int, max_rows: int | None = None) -> DataFrame:
+def most_liked(popularity: DataFrame, k: int, direct: int) -> DataFrame:
     """(like_id) of the k topic entities with most likers (ties: lower id).
 
-    Up to `max_rows` this is a bounded top-k. A larger k is cut off at a
-    threshold: the liker count at which the k-th entity falls comes from the
-    number of entities of each count (there are few different counts: n facts
-    have at most sqrt(2 n)), all above it are in, and only those of exactly
-    this count are ordered."""
-    if max_rows is None or k <= max_rows:
+    Up to `direct` this is a per-partition top-k that one task merges. A larger
+    k is found as a threshold (see `selection.kth_largest`): the frame is then
+    a plain filter of `popularity`, which the caller keeps."""
+    if k <= direct:
         return (popularity.orderBy(F.col("n_likers").desc(), F.col("like_id").asc())
                 .limit(k).select("like_id"))
-    above = Window.orderBy(F.col("n_likers").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    cut = (popularity.groupBy("n_likers").agg(F.count(F.lit(1)).alias("n"))
-           .withColumn("n_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
-           .filter((F.col("n_above") < k) & (F.col("n_above") + F.col("n") >= k)).first())
-    if cut is None:  # k or fewer in all
-        return popularity.select("like_id")
-    ties = (popularity.filter(F.col("n_likers") == cut["n_likers"]).orderBy("like_id")
-            .limit(k - cut["n_above"]))
-    return popularity.filter(F.col("n_likers") > cut["n_likers"]).unionByName(ties).select("like_id")
+    return popularity.filter(among_top(kth_largest(popularity, "n_likers", "like_id", k, direct), "n_likers", "like_id")).select("like_id")
 
 
 def entity_avidity(topic_and_big: DataFrame, topic_id_df: DataFrame,
@@ -74,26 +79,38 @@ def avidity_weights(avidity: DataFrame) -> DataFrame:
     return avidity.groupBy("like_id").agg(F.sum("avidity").alias("weight"))
 
 
-def person_avidity(region_facts: DataFrame, weights: DataFrame, p: AffinityParams) -> DataFrame:
+def person_avidity(region_facts: DataFrame, weights: DataFrame, p: AffinityParams,
+                   spread: Spread | None = None) -> DataFrame:
     """(person_id, avidity_score, tier) for people with a topic-or-big like.
     `weights` is `avidity_weights(...)`; the caller decides whether it is
-    broadcast."""
-    scored = (region_facts.select("person_id", "like_id").join(weights, "like_id")
+    broadcast, or else how facts are spread."""
+    scored = (member_join(region_facts.select("person_id", "like_id"), weights, "like_id", "person_id", spread)
               .groupBy("person_id").agg(F.sum("weight").cast("bigint").alias("avidity_score")))
     return scored.select("person_id", "avidity_score",
                          avidity_tier(F.col("avidity_score"), p).alias("tier"))
 
 
-def tier_implications(tiers: DataFrame, share: DataFrame, big_facts: DataFrame,
-                      topic_and_big: DataFrame, exponent: float,
-                      hot_people: DataFrame | None = None) -> DataFrame:
+def tier_like_stats(big_facts: DataFrame, tiers: DataFrame, share: DataFrame,
+                    hot_people: DataFrame | None = None) -> DataFrame:
+    """(tier, like_id, share_sum, n_likers) of every tier, non-fans included:
+    big-entity facts meet their people's share and tier in one join, and one
+    aggregation sums them. Everyone with a share has a tier (both come from
+    topic-or-big likes), so the sums over the tiers are the whole ranking's."""
+    graded = share.join(tiers.select("person_id", "tier"), "person_id")
+    return (hot_split_join(big_facts, graded, "person_id", hot_people)
+            .groupBy("tier", "like_id")
+            .agg(F.sum("share").alias("share_sum"), F.count(F.lit(1)).alias("n_likers")))
+
+
+def over_all_tiers(stats: DataFrame) -> DataFrame:
+    """(like_id, share_sum, n_likers): `tier_like_stats` summed over the tiers."""
+    return stats.groupBy("like_id").agg(F.sum("share_sum").alias("share_sum"), F.sum("n_likers").alias("n_likers"))
+
+
+def tier_implications(stats: DataFrame, topic_and_big: DataFrame, exponent: float) -> DataFrame:
     """(tier, like_id, name, type, score, n_likers) for Avid, Intermediate and
-    Casual people, in one grouped pass with the tier as an extra key."""
-    tiered = (tiers.filter(F.col("tier") != F.lit(TIER_NON_FAN)).select("person_id", "tier")
-              .join(share, "person_id"))
-    fractions = (hot_split_join(big_facts, tiered, "person_id", hot_people)
-                 .select("tier", "like_id", "share"))
-    return entity_implications(like_topic_stats(fractions, "tier"), topic_and_big, exponent, "tier")
+    Casual people, from `tier_like_stats`."""
+    return entity_implications(stats.filter(F.col("tier") != F.lit(TIER_NON_FAN)), topic_and_big, exponent, "tier")
 
 
 def top_per_tier(tier_impl: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.operators.affinity import top_implications
+from fanscope.operators.joins import Spread, member_join
 
 
 def top_offtopic_ids(offtopic: DataFrame, k: int) -> DataFrame:
@@ -14,14 +15,14 @@ def top_offtopic_ids(offtopic: DataFrame, k: int) -> DataFrame:
     return top_implications(offtopic, k).select("like_id")
 
 
-def edge_likers(region_facts: DataFrame, top_ids: DataFrame) -> DataFrame:
+def edge_likers(region_facts: DataFrame, top_ids: DataFrame, spread: Spread | None = None) -> DataFrame:
     """(person_id) of people with a like on a top off-topic predictor.
 
     The caller has sized `top_ids`; when they are broadcast the facts are never
-    shuffled by entity, even when a predictor is a hot key.
+    shuffled by entity, even when a predictor is a hot key; beyond the bound
+    `spread` keeps hot predictors apart.
     """
-    return (region_facts.select("person_id", "like_id")
-            .join(top_ids, "like_id", "left_semi")
+    return (member_join(region_facts.select("person_id", "like_id"), top_ids, "like_id", "person_id", spread, "left_semi")
             .select("person_id").distinct())
 
 

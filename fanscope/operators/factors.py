@@ -12,6 +12,7 @@ import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from fanscope.functions.scoring import percent, ratio
 
@@ -50,8 +51,12 @@ def factor_report(metrics: DataFrame, factor: DataFrame, level_col: str) -> Data
     fandom              100 * fandom_sum / fans
     A person with several levels counts at each of them.
     """
-    agg = (metrics.join(factor.select("person_id", level_col), "person_id")
-           .groupBy(level_col)
+    return _report(metrics, factor.select("person_id", level_col), level_col)
+
+
+def _report(metrics: DataFrame, factor: DataFrame, *by: str) -> DataFrame:
+    agg = (metrics.join(factor, "person_id")
+           .groupBy(*by)
            .agg(F.count(F.lit(1)).alias("population"),
                 F.count("n_topic").alias("fans"),
                 F.coalesce(F.sum("n_topic"), F.lit(0)).cast("bigint").alias("fan_likes"),
@@ -59,7 +64,7 @@ def factor_report(metrics: DataFrame, factor: DataFrame, level_col: str) -> Data
                 F.count("share").alias("n_with_share"),
                 F.coalesce(F.sum("share"), F.lit(0.0)).alias("fandom_sum")))
     return agg.select(
-        level_col, "population", "fans", "fan_likes", "edge", "fandom_sum",
+        *by, "population", "fans", "fan_likes", "edge", "fandom_sum",
         ratio(F.col("fan_likes"), F.col("fans")).alias("mean_fan_likes"),
         percent(F.col("fans"), F.col("population")).alias("fan_concentration"),
         percent(F.col("edge"), F.col("population")).alias("edge_concentration"),
@@ -67,6 +72,25 @@ def factor_report(metrics: DataFrame, factor: DataFrame, level_col: str) -> Data
         "n_with_share")
 
 
+def long_factors(factors: dict[str, DataFrame]) -> DataFrame:
+    """(person_id, attribute, level): the (person_id, <attribute>) frames under each other, levels as text."""
+    parts = [df.select("person_id", F.lit(name).alias("attribute"), F.col(name).cast("string").alias("level"))
+             for name, df in factors.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def factor_reports(metrics: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
+    """The reports of several attributes in one join and one aggregation: attribute, level (as text)
+    and the columns of `factor_report`."""
+    return _report(metrics, long_factors(factors), "attribute", "level")
+
+
+def one_report(reports: DataFrame, attribute: str, level_type: DataType) -> DataFrame:
+    """One attribute's report out of `factor_reports`, its levels in their own type."""
+    return (reports.filter(F.col("attribute") == attribute)
+            .withColumn("level", F.col("level").cast(level_type)).withColumnRenamed("level", attribute).drop("attribute"))
+
+
 # Each single-metric view keeps the levels the original per-metric map had:
 # a level appears only where the metric's underlying people exist.
 # name -> (metric columns, columns that must all be > 0 for the level to show)

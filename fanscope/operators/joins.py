@@ -7,6 +7,8 @@ slices by another column, so that no key funnels into one task.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,52 @@ def spread_join(big: DataFrame, keyed: DataFrame, key: str, by: str, slices: int
             .drop("_slice"))
 
 
+class Spread(NamedTuple):
+    """How a shuffle of facts by a key keeps hot keys apart: facts of `hot` keys (one column; None if
+    there are none) are joined map-side, the others are spread over `slices`."""
+    hot: DataFrame | None
+    slices: int
+
+
+#: Items that the frequent-items sketch tracks for each key it may report, and the groups of tasks
+#: whose sketches are merged before the last merge.
+TRACKED, MERGE_GROUPS = 16, 64
+
+
+def heavy_keys(facts: DataFrame, key: str, most: int) -> DataFrame | None:
+    """(key): the keys that hold more than 1/most of `facts` (so fewer than `most`); None if none do.
+
+    Each task sketches the frequent items of its rows; the sketches, whose size doesn't depend on
+    the rows, are merged in two levels. Counts are underestimated by at most 1/12 of the bound, so
+    a key just above it may be left out, which costs balance and no rows."""
+    tracked = min(1_000_000, TRACKED * most)
+    found = (facts.filter(F.col(key).isNotNull()).select(key)
+             .groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("group"))
+             .agg(F.expr(f"approx_top_k_accumulate({key}, {tracked})").alias("sketch"), F.count(F.lit(1)).alias("n"))
+             .groupBy(F.lit(0).alias("all"))  # a group, as there is none without facts
+             .agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch), {most})").alias("top"))
+             .first())
+    if found is None:
+        return None
+    heavy = [(r["item"],) for r in found["top"] if r["count"] > found["n"] / most]
+    return facts.sparkSession.createDataFrame(heavy, facts.select(key).schema) if heavy else None
+
+
+def member_join(facts: DataFrame, keyed: DataFrame, key: str, by: str, spread: Spread | None = None,
+                how: str = "inner") -> DataFrame:
+    """Join facts with a thin frame of distinct keys. Without `spread`, `keyed` comes in broadcast
+    (or may be of any size where no key is hot). With it, facts of heavy keys join map-side with
+    a broadcast of those keys' rows, and each other key's facts are spread over slices by `by`."""
+    if spread is None:
+        return facts.join(keyed, key, how)
+    if spread.hot is None:
+        return spread_join(facts, keyed, key, by, spread.slices, how)
+    ids = F.broadcast(spread.hot)
+    hot = facts.join(ids, key, "left_semi").join(F.broadcast(keyed.join(ids, key, "left_semi")), key, how)
+    cold = spread_join(facts.join(ids, key, "left_anti"), keyed, key, by, spread.slices, how)
+    return hot.unionByName(cold)
+
+
 def hot_split_join(big: DataFrame, keyed: DataFrame, key: str, hot_keys: DataFrame | None) -> DataFrame:
     """Inner join of a fact-sized frame with a frame keyed by `key`, where a
     few keys may be hot (hold a large share of `big`'s rows).

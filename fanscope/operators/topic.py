@@ -35,10 +35,8 @@ def like_counts(region_facts: DataFrame) -> DataFrame:
 
 
 def big_likes(region_facts: DataFrame, min_exclusive: int) -> DataFrame:
-    """(like_id) of entities with more than `min_exclusive` region like facts."""
-    return (like_counts(region_facts)
-            .filter(F.col("n_facts") > F.lit(min_exclusive))
-            .select("like_id"))
+    """(like_id, n_facts) of entities with more than `min_exclusive` region like facts."""
+    return like_counts(region_facts).filter(F.col("n_facts") > F.lit(min_exclusive))
 
 
 def topic_or_big_ids(topic_id_df: DataFrame, big: DataFrame) -> DataFrame:

@@ -52,8 +52,16 @@ class AffinityParams:
     # partition are "hot": their facts are joined map-side instead of through
     # the person-keyed shuffle. (So there are fewer hot people than partitions.)
     hot_person_share: float = 0.5
-    # Slices over which a key's facts are spread in shuffles of region joins.
+    # Slices over which a key's facts are spread in shuffles by a set beyond
+    # the broadcast bound.
     skew_slices: int = 16
+    # Entities with more than 1/heavy_keys_max of the region's facts are "heavy":
+    # in joins with a set beyond the broadcast bound their facts are joined
+    # map-side. (Fewer than heavy_keys_max can be, so their rows always fit.)
+    heavy_keys_max: int = 1024
+    # Largest number of most-liked topic entities that is taken as a top-k which
+    # one task merges; a larger one is cut off at a threshold.
+    direct_top_max: int = 10_000
 
     def fingerprint(self) -> str:
         """Stable hash of all parameters, used to key materialized checkpoints."""

@@ -271,6 +271,7 @@ def _final_selects(p: AffinityParams, categories: dict[str, list[str]], slice_na
         "like_topic_count": "SELECT like_id, n_likers FROM like_topic_stats",
         "entity_implications": impl + "entity_implications",
         "top_implications": impl + "entity_implications" + top,
+        "reported_top_implications": impl + "entity_implications" + top,
         "offtopic_implications": impl + "offtopic_implications",
         "top_offtopic": impl + "offtopic_implications" + top,
         "edge_likers": "SELECT person_id FROM edge_likers",
@@ -324,9 +325,10 @@ def _list(values: list[str]) -> str:
 def _variant_ctes(variant: str) -> dict[str, str]:
     """CTEs that differ from the plain ones in a variant of the inputs."""
     if variant == "curated":
-        return {"topic_entities": """
+        return {"topic_entities": f"""
             SELECT DISTINCT * FROM (
-              SELECT like_id, name, type FROM discover_entities WHERE like_id % 3 <> 0
+              SELECT like_id, name, type FROM discover_entities
+              UNION ALL SELECT like_id, name, type FROM dim_like WHERE starts_with(lower(name), {_lit(FIXTURE_PARAMS.token_a)})
               UNION ALL SELECT like_id, name || ' again', type FROM discover_entities WHERE like_id % 3 = 1
               UNION ALL SELECT -1, 'nobody', 'none' UNION ALL SELECT -2, 'nobody', 'none')"""}
     plain = "SELECT p_partkey AS like_id, p_name AS name, p_type AS type FROM part"

@@ -7,9 +7,14 @@ predictors) are counted, in rows and bytes, when they are first used. A set
 within `broadcast_max_rows` and `broadcast_max_bytes` is broadcast to the tasks
 holding like facts (such sets are orders of magnitude smaller than the facts,
 and a broadcast keeps the facts from being shuffled by that key, so a hot entity
-or person cannot overload one task). A larger one is joined by a shuffle; the
-region joins then spread each key over slices. The topic count also fixes how
-many topic entities are "basic" and "common".
+or person cannot overload one task). A larger one is joined by a shuffle that
+spreads each key over slices; entities that a sketch of the facts finds heavy
+are joined map-side. The topic count also fixes how many topic entities are
+"basic" and "common".
+
+The ranking and the tiers rank the same facts. If the tiers are computed first
+(`tier_like_stats`, as in a batch run), the ranking sums them up; else it has
+its own pass, which needs no tiers.
 
 The frames that several results reuse (region like facts, the entity sets, the
 per-person summary and metrics, entity statistics and implications, edge
@@ -17,7 +22,7 @@ non-fans, avidity and tiers) are kept according to `store`:
   "memory"      region like facts are persisted (MEMORY_AND_DISK; lost blocks
                 are recomputed); all other kept frames are small tables,
                 written to a folder of this pipeline under the shared
-                `spark.checkpoint.dir`. (Frames persisted on top of each other
+                `spark.checkpoint.dir` (see `fanscope.sinks.runs`). (Frames persisted on top of each other
                 would nest their plans, whose size then grows as a power.)
                 `unpersist()` releases both.
   "checkpoint"  all are written as parquet there, in folders keyed by a fingerprint of
@@ -30,8 +35,6 @@ non-fans, avidity and tiers) are kept according to `store`:
 
 from __future__ import annotations
 
-import os
-import uuid
 from functools import cached_property
 from typing import NamedTuple
 
@@ -41,13 +44,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from fanscope.operators import affinity, avidity, census, edge, factors, profiles, region, slices, topic
-from fanscope.operators.joins import bounded_broadcast
+from fanscope.operators.joins import Spread, bounded_broadcast, heavy_keys
 from fanscope.params import AffinityParams
-from fanscope.session import checkpoint_root
-from fanscope.sinks import input_fingerprint, materialize, remove_folder
+from fanscope.sinks import input_fingerprint, materialize
+from fanscope.sinks.runs import RunFolder
 from fanscope.sources.schemas import AffinityTables
 
 
+# Attribute -> the property that holds (person_id, attribute).
+FACTOR_ATTRIBUTES = {
+    "age": "people_ages",
+    "ageband": "people_agebands",
+    "gender": "people_genders",
+    "relationship": "people_relationships",
+    "locale": "people_locales",
+    "state": "region_people_states",
+}
+
+
 class Sized(NamedTuple):
     """A counted set: broadcast if it fits."""
     df: DataFrame
@@ -70,9 +84,21 @@ class AffinityPipeline:
         return self.t.fact_like.sparkSession
 
     @cached_property
+    def fingerprint(self) -> str:
+        """Of the inputs and parameters."""
+        return input_fingerprint(self.t.fingerprint_parts(), self.p.fingerprint())
+
+    @cached_property
+    def _folder(self) -> RunFolder:
+        """Where frames are kept: with store="checkpoint" a folder that runs on the same inputs reuse
+        (until nobody has for the length of its lease), else this run's own."""
+        if self.store == "checkpoint":
+            return RunFolder(self.spark, "checkpoint", self.fingerprint)
+        return RunFolder(self.spark, "run")
+
+    @property
     def checkpoint_prefix(self) -> str:
-        fp = input_fingerprint(self.t.fingerprint_parts(), self.p.fingerprint())
-        return os.path.join(checkpoint_root(self.spark), fp)
+        return self._folder.path
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         if self.store == "checkpoint":
@@ -80,24 +106,20 @@ class AffinityPipeline:
             # the frame's canonical plan, so a change in how it is computed
             # misses too.
             plan = f"{df.semanticHash() & 0xFFFFFFFF:08x}"
-            return materialize(df, os.path.join(self.checkpoint_prefix, f"{name}-{plan}"))
+            return materialize(df, self._folder.table(f"{name}-{plan}"))
         if self.store == "memory" and name == "region_facts":
             self._persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         elif self.store == "memory":
-            return materialize(df, os.path.join(self._own_folder, name))
+            return self._folder.keep(df, name)
         return df
 
-    @cached_property
-    def _own_folder(self) -> str:
-        return os.path.join(checkpoint_root(self.spark), f"run-{uuid.uuid4().hex}")
-
     def unpersist(self, blocking: bool = False) -> None:
         """Release what this pipeline keeps; its results can't be read after that."""
         for df in self._persisted:
             df.unpersist(blocking)
         self._persisted.clear()
-        if "_own_folder" in self.__dict__:
-            remove_folder(self.spark, self._own_folder)
+        if "_folder" in self.__dict__:
+            self._folder.release()
 
     def _fits(self, rows: int, size: int) -> bool:
         return rows <= self.p.broadcast_max_rows and size <= self.p.broadcast_max_bytes
@@ -114,6 +136,15 @@ class AffinityPipeline:
         fits = self._fits(rows, size)
         return Sized(bounded_broadcast(kept, fits), rows, size, fits)
 
+    @cached_property
+    def heavy_entities(self) -> DataFrame | None:
+        """(like_id) of entities with more than 1/heavy_keys_max of the region's facts."""
+        return heavy_keys(self.region_facts, "like_id", self.p.heavy_keys_max)
+
+    def _spread(self, keys: Sized) -> Spread | None:
+        """How facts are joined with a set of entities: none for a broadcast."""
+        return None if keys.fits else Spread(self.heavy_entities, self.p.skew_slices)
+
     def _derived(self, df: DataFrame, *of: Sized) -> DataFrame:
         """Broadcast hint for a frame derived from counted sets, which has at
         most their rows, each with their values and a number or two. (Spark
@@ -195,7 +226,7 @@ class AffinityPipeline:
 
     @property
     def big_likes(self) -> DataFrame:
-        return self._big_likes_sized.df
+        return self._big_likes_sized.df.select("like_id")
 
     @cached_property
     def _topic_and_big_sized(self) -> Sized:
@@ -212,8 +243,14 @@ class AffinityPipeline:
     def person_summary(self) -> DataFrame:
         """(person_id, n_likes, n_relevant, n_topic): every person-level count
         in one aggregation; kept, since most results start from it."""
-        rows_of = self._derived(affinity.entity_rows(self.topic_and_big_likes), self._topic_and_big_sized)
-        return self._keep(affinity.person_summary(self.region_facts, rows_of, self.topic_like_facts), "person_summary")
+        rows_of = self._entity_rows_sized
+        return self._keep(affinity.person_summary(self.region_facts, rows_of.df, self.topic_like_facts,
+                                                  self._spread(rows_of)), "person_summary")
+
+    @cached_property
+    def _entity_rows_sized(self) -> Sized:
+        # Counted by its own two columns: names and types don't travel to the facts.
+        return self._sized(affinity.entity_rows(self.topic_and_big_likes), "entity_rows")
 
     @cached_property
     def hot_people(self) -> DataFrame | None:
@@ -239,7 +276,7 @@ class AffinityPipeline:
 
     @cached_property
     def topic_like_facts(self) -> DataFrame:
-        return affinity.topic_like_facts(self.region_facts, self.topic_ids)
+        return affinity.topic_like_facts(self.region_facts, self.topic_ids, self._spread(self._topic_ids_sized))
 
     @cached_property
     def person_topic_counts(self) -> DataFrame:
@@ -251,7 +288,7 @@ class AffinityPipeline:
 
     @cached_property
     def big_like_facts(self) -> DataFrame:
-        return affinity.big_like_facts(self.region_facts, self.big_likes)
+        return affinity.big_like_facts(self.region_facts, self.big_likes, self._spread(self._big_likes_sized))
 
     @cached_property
     def like_topic_fractions(self) -> DataFrame:
@@ -259,6 +296,8 @@ class AffinityPipeline:
 
     @cached_property
     def like_topic_stats(self) -> DataFrame:
+        if "tier_like_stats" in self.__dict__:
+            return self._keep(avidity.over_all_tiers(self.tier_like_stats), "like_topic_stats")
         return self._keep(affinity.like_topic_stats(self.like_topic_fractions), "like_topic_stats")
 
     @cached_property
@@ -281,7 +320,7 @@ class AffinityPipeline:
     @cached_property
     def edge_likers(self) -> DataFrame:
         ids = self._sized(edge.top_offtopic_ids(self.offtopic_implications, self.p.top_offtopic), "top_offtopic_ids")
-        return edge.edge_likers(self.region_facts, ids.df)
+        return edge.edge_likers(self.region_facts, ids.df, self._spread(ids))
 
     @cached_property
     def edge_nonfans(self) -> DataFrame:
@@ -329,6 +368,19 @@ class AffinityPipeline:
         metrics the report does not depend on the implication ranking."""
         return factors.factor_report(self.person_metrics(with_edge), factor, level_col)
 
+    @cached_property
+    def _factors(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, prop) for name, prop in FACTOR_ATTRIBUTES.items()}
+
+    @cached_property
+    def factor_reports(self) -> DataFrame:
+        """(attribute, level, metrics) of all attributes, from one join with the people's metrics."""
+        return self._keep(factors.factor_reports(self.person_metrics(), self._factors), "factor_reports")
+
+    def factor_report_of(self, attribute: str) -> DataFrame:
+        """One attribute's report out of `factor_reports`."""
+        return factors.one_report(self.factor_reports, attribute, self._factors[attribute].schema[attribute].dataType)
+
     # --- slices --------------------------------------------------------------------
     def category_slice(self, group: str) -> DataFrame:
         return slices.category_slice(self.entity_implications, self.t.categories[group])
@@ -339,11 +391,17 @@ class AffinityPipeline:
     # --- avidity -------------------------------------------------------------------
     @cached_property
     def topic_popularity(self) -> DataFrame:
-        return avidity.topic_popularity(self.like_topic_stats, self.topic_ids)
+        big_topic = self._big_likes_sized.df.join(self.topic_ids, "like_id", "left_semi")
+        absent, facts = big_topic.select("like_id").join(self._entity_rows_sized.df, "like_id", "left_anti"), None
+        if not absent.isEmpty():
+            ids = self._sized(absent, "absent_topic_ids")
+            facts = affinity.big_like_facts(self.region_facts, ids.df, self._spread(ids))
+        return self._keep(avidity.topic_popularity(big_topic, self._entity_rows_sized.df, facts,
+                                                   self.person_topic_share), "topic_popularity")
 
     def _most_liked(self, frac: float, name: str) -> DataFrame:
         k = avidity.top_fraction_count(self.n_topic, frac)
-        return self._sized(avidity.most_liked(self.topic_popularity, k, self.p.broadcast_max_rows), name).df
+        return self._sized(avidity.most_liked(self.topic_popularity, k, self.p.direct_top_max), name).df
 
     @cached_property
     def entity_avidity(self) -> DataFrame:
@@ -354,17 +412,22 @@ class AffinityPipeline:
 
     @cached_property
     def person_avidity(self) -> DataFrame:
-        weights = self._derived(avidity.avidity_weights(self.entity_avidity), self._topic_and_big_sized)
-        return self._keep(avidity.person_avidity(self.region_facts, weights, self.p), "person_avidity")
+        weights = self._sized(avidity.avidity_weights(self.entity_avidity), "avidity_weights")
+        return self._keep(avidity.person_avidity(self.region_facts, weights.df, self.p, self._spread(weights)),
+                          "person_avidity")
+
+    @cached_property
+    def tier_like_stats(self) -> DataFrame:
+        return self._keep(avidity.tier_like_stats(self.big_like_facts, self.person_avidity, self.person_topic_share,
+                                                  self.hot_people), "tier_like_stats")
 
     def top_tier_implications(self, k: int | None = None) -> DataFrame:
         return avidity.top_per_tier(self.tier_implications, self.p.report_top if k is None else k)
 
     @cached_property
     def tier_implications(self) -> DataFrame:
-        return self._keep(avidity.tier_implications(self.person_avidity, self.person_topic_share,
-                                                    self.big_like_facts, self.topic_and_big_likes,
-                                                    self.p.exponent, self.hot_people), "tier_implications")
+        return self._keep(avidity.tier_implications(self.tier_like_stats, self.topic_and_big_likes, self.p.exponent),
+                          "tier_implications")
 
     # --- census ---------------------------------------------------------------------
     @cached_property

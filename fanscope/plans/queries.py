@@ -8,16 +8,20 @@ the one ranks and ties are decided on).
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from fanscope import sinks
 from fanscope.functions.scoring import RANK_DECIMALS
 from fanscope.operators import factors
-from fanscope.plans.pipeline import AffinityPipeline
-from fanscope.plans.reports import FACTOR_ATTRIBUTES
+from fanscope.params import AffinityParams
+from fanscope.plans.pipeline import FACTOR_ATTRIBUTES, AffinityPipeline
+from fanscope.sinks.runs import RunFolder
+from fanscope.sources.schemas import AffinityTables
 
 # The factor the single-metric reports are shown for (any person attribute
 # works; see AffinityPipeline.factor_report).
@@ -43,7 +47,7 @@ def _gender_report(p: AffinityPipeline, with_edge: bool = True) -> DataFrame:
 
 
 def _factor(attr: str) -> Callable[[AffinityPipeline], DataFrame]:
-    return lambda p: factors.report_columns(p.factor_report(getattr(p, FACTOR_ATTRIBUTES[attr]), attr), attr)
+    return lambda p: factors.report_columns(p.factor_report_of(attr), attr)
 
 
 def _single(name: str) -> Callable[[AffinityPipeline], DataFrame]:
@@ -109,6 +113,17 @@ BUILDERS: dict[str, Callable[[AffinityPipeline], DataFrame]] = {
 }
 
 
+def _ranked_report(p: AffinityPipeline) -> DataFrame:
+    """The best predictors as the ranked report holds them."""
+    folder = RunFolder(p.spark, "report")
+    sinks.write_ranked_report(p.entity_implications, folder.table("top"), p.p.report_top)
+    return p.spark.read.schema(p.entity_implications.schema).json(folder.path + "/top")
+
+
+# Results that go through a sink and are read back.
+BUILDERS["reported_top_implications"] = lambda p: _implication_cols(_ranked_report(p))
+
+
 # Results that are also shown on a variant of the inputs (see sources.fixtures).
 VARIANT_RESULTS = {
     "curated": ("topic_entities", "topic_and_big_likes", "person_topic_counts", "person_topic_share",
@@ -118,9 +133,26 @@ VARIANT_RESULTS = {
                  "entity_implications", "entity_avidity", "person_avidity", "tier_implications"),
     "vocabulary": ("implications_category_people", "implications_category_music",
                    "implications_category_new_media", "implications_category_old_media", "implications_names"),
+    "raw": ("like_facts", "entities", "region_people", "region_people_states", "region_profiles", "topic_entities",
+            "person_topic_share", "entity_implications", "reported_top_implications", "person_avidity",
+            "estimated_fans_by_age"),
+    "spread": ("region_people", "region_people_states", "region_like_facts", "topic_like_facts", "big_like_facts",
+               "person_relevant_counts", "person_topic_share", "like_topic_fractions", "entity_implications",
+               "edge_likers", "topic_popularity", "entity_avidity", "person_avidity", "tier_implications"),
 }
 
 
+def variant_pipeline(tables: AffinityTables, params: AffinityParams, variant: str) -> AffinityPipeline:
+    """The analysis as a variant runs it. "spread": nothing is broadcast by the pipeline, so joins of
+    facts take their shuffled, spread forms, heavy entities and hot people are split out at small
+    shares, and the most liked entities are found by threshold. "raw": frames are kept in (and
+    reused from) fingerprinted checkpoints."""
+    if variant == "spread":
+        params = dataclasses.replace(params, broadcast_max_bytes=0, direct_top_max=0, heavy_keys_max=1500,
+                                     hot_person_share=0.05)
+    return AffinityPipeline(tables, params, store="checkpoint" if variant == "raw" else "memory")
+
+
 def registry() -> dict[str, tuple[str, str]]:
     """name -> (input variant, result): every registered query."""
     out = {name: ("plain", name) for name in BUILDERS}

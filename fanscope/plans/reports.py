@@ -23,17 +23,7 @@ from pyspark.sql import DataFrame
 
 from fanscope import sinks
 from fanscope.operators import factors
-from fanscope.plans.pipeline import AffinityPipeline
-
-FACTOR_ATTRIBUTES = {
-    "age": "people_ages",
-    "ageband": "people_agebands",
-    "gender": "people_genders",
-    "relationship": "people_relationships",
-    "locale": "people_locales",
-    "state": "region_people_states",
-}
-
+from fanscope.plans.pipeline import FACTOR_ATTRIBUTES, AffinityPipeline
 
 def _parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -49,18 +39,19 @@ def run_reports(pipe: AffinityPipeline, out_dir: str) -> list[str]:
         written.append(path)
         return path
 
+    pipe.tier_like_stats  # first: the ranking then sums up the tiers, and facts meet people once
     sinks.write_topic_file(pipe.topic_entities, out("topic_entities"))
     sinks.write_ranked_report(pipe.entity_implications, out("top_implications"), p.report_top)
     sinks.write_ranked_report(pipe.offtopic_implications, out("top_offtopic"), p.report_top)
-    _parquet(pipe.entity_implications, out("like_topic_implications"))
+    # The one large report: a rerun on the same inputs and parameters leaves it as it is.
+    sinks.write_unless_current(pipe.entity_implications, out("like_topic_implications"), pipe.fingerprint)
     for group in pipe.t.categories:
         _parquet(pipe.category_slice(group), out(f"implications_{group}"))
     if pipe.t.names:
         _parquet(pipe.name_slice(), out("implications_names"))
     _parquet(pipe.edge_nonfans, out("edge_nonfans"))
-    for attr, prop in FACTOR_ATTRIBUTES.items():
-        report = pipe.factor_report(getattr(pipe, prop), attr)
-        _parquet(factors.report_columns(report, attr), out(f"factor_{attr}"))
+    for attr in FACTOR_ATTRIBUTES:
+        _parquet(factors.report_columns(pipe.factor_report_of(attr), attr), out(f"factor_{attr}"))
     _parquet(pipe.person_avidity, out("person_avidity"))
     _parquet(pipe.tier_implications, out("tier_implications"))
     _parquet(pipe.top_tier_implications(), out("top_tier_implications"))

@@ -60,6 +60,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
 def checkpoint_root(spark: SparkSession) -> str:
     path = ensure_checkpoint_dir(spark)
     if path is None:
-        raise ValueError("store='checkpoint' needs spark.checkpoint.dir set to a folder on "
-                         "storage shared by all executors")
+        raise ValueError("set spark.checkpoint.dir to a folder on storage that all executors share: kept "
+                         "tables are written there (only store='none' keeps nothing)")
     return os.path.join(path, "fanscope")

@@ -1,5 +1,6 @@
-"""Writers: topic entity files, ranked reports, write-once tables and
-fingerprinted checkpoints in the shared checkpoint folder."""
+"""Writers: topic entity files, ranked reports, tables written unless they are
+current, and fingerprinted checkpoints in the shared checkpoint folder (their
+folders: `fanscope.sinks.runs`)."""
 
 from __future__ import annotations
 
@@ -7,10 +8,11 @@ import hashlib
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanscope.functions.scoring import rank_key
+from fanscope.sinks.runs import read_text, write_text
 from fanscope.sources.topic_json import entity_json
 
 
@@ -29,9 +31,17 @@ def write_ranked_report(implications: DataFrame, path: str, k: int, mode: str =
      .coalesce(1).write.mode(mode).json(path))
 
 
-def write_unless_exists(df: DataFrame, path: str) -> None:
-    """Write parquet only when nothing is at `path` yet."""
-    df.write.mode("ignore").parquet(path)
+def write_unless_current(df: DataFrame, path: str, fingerprint: str) -> bool:
+    """Write parquet unless the table at `path` was written under the same
+    fingerprint (of everything that the rows depend on). The mark is written
+    after the table and goes with it, so a failed write is not current.
+    Returns whether it wrote."""
+    mark = os.path.join(path, "_fingerprint")
+    if read_text(df.sparkSession, mark) == fingerprint:
+        return False
+    df.write.mode("overwrite").parquet(path)
+    write_text(df.sparkSession, mark, fingerprint)
+    return True
 
 
 def input_fingerprint(files: list[str], extra: str = "") -> str:
@@ -63,10 +73,3 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     if not _complete(spark.read, path):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this job made, on whatever file system it is."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(conf).delete(folder, True)

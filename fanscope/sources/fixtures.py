@@ -8,6 +8,7 @@ from the customer key by fixed rules so that every cleaning path is exercised.
 
 from __future__ import annotations
 
+import dataclasses
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,11 @@ from pyspark.sql import functions as F
 
 from fanscope import vocab
 from fanscope.params import AffinityParams
-from fanscope.sources.schemas import AffinityTables
+from fanscope.sinks import write_topic_file
+from fanscope.sinks.runs import RunFolder
+from fanscope.sources.schemas import (DIM_LIKE_TSV, DIM_LOCATION_TSV, FACT_LIKE_TSV, FACT_LOCATION_TSV, PERSON_INFO_TSV,
+                                      AffinityTables, TsvLayout)
+from fanscope.sources.tables import load_tsv_tables
 from fanscope.sources.topic_json import entity_json, topic_from_json_texts
 
 # --- Fixed values of the fixture mapping ---
@@ -28,6 +33,9 @@ FIXTURE_CATEGORIES = {
 FIXTURE_NAMES = ["red plate", "blue ring", "old gear", "Hot Rod"]
 # --- End of fixed values ---
 
+RAW_TABLES = {"fact_like": FACT_LIKE_TSV, "dim_like": DIM_LIKE_TSV, "fact_location": FACT_LOCATION_TSV,
+              "dim_location": DIM_LOCATION_TSV, "person_info": PERSON_INFO_TSV}
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -70,11 +78,14 @@ def fixture_census(spark: SparkSession) -> DataFrame:
 
 
 #: Variants of the mapping, for cases that the plain one doesn't have.
-#: curated: the topic is not the discovered set. Every third entity is taken out, the one after
-#:   it stands there twice (under another name), and two ids are no entities.
+#: curated: the topic is not the discovered set. Entities whose name begins with token A join it,
+#:   every third one stands there twice (under another name), and two ids are no entities.
 #: multirow: every fourth entity has a second (name, type) row.
 #: vocabulary: types are the default category types in turn, every fifth name a default name.
-VARIANTS = ("plain", "curated", "multirow", "vocabulary")
+#: raw: the tables are written as the original job's tab-separated files and its topic file (with
+#:   ragged lines and `null` marks), and read back from there.
+#: spread: the plain tables, under parameters by which no set is small (see plans.queries).
+VARIANTS = ("plain", "curated", "multirow", "vocabulary", "raw", "spread")
 
 
 def default_types() -> list[str]:
@@ -82,12 +93,39 @@ def default_types() -> list[str]:
     return list(dict.fromkeys(t for types in vocab.CATEGORY_GROUPS.values() for t in types))
 
 
-def _curated(topic: DataFrame) -> DataFrame:
-    kept = topic.filter(F.col("like_id") % 3 != 0)
+def _curated(topic: DataFrame, dim_like: DataFrame, token_a: str) -> DataFrame:
+    added = dim_like.filter(F.lower("name").startswith(token_a))
     again = topic.filter(F.col("like_id") % 3 == 1).withColumn("name", F.concat("name", F.lit(" again")))
     absent = topic.sparkSession.range(1, 3).select((-F.col("id")).alias("like_id"), F.lit("nobody").alias("name"),
                                                    F.lit("none").alias("type"))
-    return kept.unionByName(again).unionByName(absent)
+    return topic.unionByName(added).unionByName(again).unionByName(absent)
+
+
+def _raw_lines(df: DataFrame, layout: TsvLayout) -> DataFrame:
+    """The rows of `df` as lines of a raw table: fields that the analysis doesn't read hold a dash,
+    missing ones the word null."""
+    at = {pos: F.coalesce(F.col(name).cast("string"), F.lit("null")) for name, pos in layout.positions.items() if name in df.columns}
+    return df.select(F.concat_ws("\t", *[at.get(k, F.lit("-")) for k in range(max(max(at), layout.min_fields_exclusive) + 1)]).alias("value"))
+
+
+def _through_raw_files(t: AffinityTables) -> AffinityTables:
+    """The same tables, written as raw files in a run's folder and read back by the raw readers, with
+    ids as they were. Ragged lines among them are to be skipped."""
+    spark = t.fact_like.sparkSession
+    folder = RunFolder(spark, "raw")
+    for name, layout in RAW_TABLES.items():
+        lines = _raw_lines(getattr(t, name), layout)
+        ragged = spark.createDataFrame([("",), ("x",), ("x\ty" + "\t" * 40,)], "value string")
+        lines.unionByName(ragged).write.mode("overwrite").text(folder.table(name))
+    write_topic_file(t.topic, folder.table("topic"))
+    back = load_tsv_tables(spark, folder.path, folder.table("topic"), "lines", t.categories, t.names)
+
+    def typed(name: str) -> DataFrame:
+        df, was = getattr(back, name), getattr(t, name)
+        return df.select(*[df[c].cast(was.schema[c].dataType).alias(c) for c in was.columns])
+
+    # The files' names differ from run to run; what they were made of doesn't.
+    return dataclasses.replace(t, **{name: typed(name) for name in (*RAW_TABLES, "topic")})
 
 
 def _turn(values: list[str], k: Column) -> Column:
@@ -122,7 +160,7 @@ def load_fixture_tables(spark: SparkSession, sf_dir: str, params: AffinityParams
     from fanscope.operators.topic import discover_entities
     discovered = discover_entities(dim_like, params.token_a, params.token_b)
     if variant == "curated":
-        discovered = _curated(discovered)
+        discovered = _curated(discovered, dim_like, params.token_a)
     texts = discovered.select(entity_json(F.col("like_id"), F.col("name"), F.col("type")).alias("value"))
     topic = topic_from_json_texts(texts, "value", "bigint")
 
@@ -140,7 +178,8 @@ def load_fixture_tables(spark: SparkSession, sf_dir: str, params: AffinityParams
 
     roots = [os.path.join(sf_dir, f"{t}.parquet")
              for t in ("lineitem", "orders", "part", "customer", "nation", "region")]
-    return AffinityTables(fact_like=fact_like, dim_like=dim_like,
-                          fact_location=fact_location, dim_location=dim_location,
-                          person_info=fixture_person_info(customer), topic=topic,
-                          census=fixture_census(spark), categories=categories, names=names, roots=roots)
+    tables = AffinityTables(fact_like=fact_like, dim_like=dim_like,
+                            fact_location=fact_location, dim_location=dim_location,
+                            person_info=fixture_person_info(customer), topic=topic,
+                            census=fixture_census(spark), categories=categories, names=names, roots=roots)
+    return _through_raw_files(tables) if variant == "raw" else tables

@@ -18,20 +18,22 @@ class TsvLayout:
     """Where a table's fields sit in a raw tab-separated line.
 
     `min_fields_exclusive` is the ragged-row guard: lines with this many fields
-    or fewer are skipped.
+    or fewer are skipped (trailing empty fields don't count). `width` is the
+    number of fields that are declared; what stands behind them is not read.
     """
     min_fields_exclusive: int
     positions: dict[str, int]
+    width: int
 
 
 # name -> (raw position). Only the fields the analysis reads are listed.
-FACT_LIKE_TSV = TsvLayout(2, {"fact_id": 0, "person_id": 1, "like_id": 2})
-DIM_LIKE_TSV = TsvLayout(3, {"like_id": 0, "name": 1, "type": 2, "external_id": 3})
-FACT_LOCATION_TSV = TsvLayout(2, {"person_id": 1, "location_id": 2})
-DIM_LOCATION_TSV = TsvLayout(6, {"location_id": 0, "country": 6, "state": 7})
+FACT_LIKE_TSV = TsvLayout(2, {"fact_id": 0, "person_id": 1, "like_id": 2}, width=8)
+DIM_LIKE_TSV = TsvLayout(3, {"like_id": 0, "name": 1, "type": 2, "external_id": 3}, width=8)
+FACT_LOCATION_TSV = TsvLayout(2, {"person_id": 1, "location_id": 2}, width=8)
+DIM_LOCATION_TSV = TsvLayout(6, {"location_id": 0, "country": 6, "state": 7}, width=16)
 PERSON_INFO_TSV = TsvLayout(8, {"person_id": 0, "birthday_raw": 5,
                                 "relationship_raw": 8, "gender_raw": 10,
-                                "locale_raw": 15})
+                                "locale_raw": 15}, width=32)
 
 # Column sets of the logical tables (types: ids are strings when read from
 # TSV and whatever the source has otherwise; attributes are strings).

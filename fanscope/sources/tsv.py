@@ -1,10 +1,12 @@
 """Readers for the original job's raw tab-separated tables.
 
-Each line is split on tabs; lines with too few fields are skipped (the ragged-row
-guard); fields are picked by position. The string `null` and the empty string
-become real NULLs once, here, so no operator needs a missing-value marker.
-Java's `String.split` drops trailing empty fields, so trailing tabs are stripped
-before counting fields to apply the same guard.
+Lines are read as CSV with a tab between fields, no quoting and a declared
+schema of `TsvLayout.width` text fields, so a reader that wants two fields
+parses lines into those and the ones that the ragged-row guard needs. Lines
+with too few fields are skipped; trailing empty fields don't count (Java's
+`String.split` drops them), so a line has more than n fields if any from the
+n-th on isn't empty. The string `null` and the empty string become real NULLs
+once, here, so no operator needs a missing-value marker.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ def clean_text(col: Column) -> Column:
 def read_tsv(spark: SparkSession, path: str, layout: S.TsvLayout) -> DataFrame:
     """Named columns of a raw TSV table. Rows are returned as they are; the
     operators deduplicate after filtering, where it is cheapest."""
-    fields = F.split(F.regexp_replace(F.col("value"), "\t+$", ""), "\t")
-    df = (spark.read.text(path)
-          .select(fields.alias("f"))
-          .filter(F.size("f") > layout.min_fields_exclusive)
-          .select(*[clean_text(F.get(F.col("f"), pos)).alias(name)
-                    for name, pos in layout.positions.items()]))
-    return df
+    schema = ", ".join(f"c{k} string" for k in range(layout.width))
+    df = (spark.read.schema(schema)
+          .options(sep="\t", quote="", escape="", maxCharsPerColumn="-1", mode="PERMISSIVE")
+          .csv(path))
+    behind = [F.col(f"c{k}") for k in range(layout.min_fields_exclusive, layout.width)]
+    return (df.filter(F.coalesce(*behind).isNotNull())
+            .select(*[clean_text(F.col(f"c{pos}")).alias(name) for name, pos in layout.positions.items()]))
 
 
 def read_fact_like(spark: SparkSession, path: str) -> DataFrame:
