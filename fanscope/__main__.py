@@ -50,6 +50,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     ap.add_argument("--hot-person-share", type=float, default=d.hot_person_share)
     ap.add_argument("--skew-slices", type=int, default=d.skew_slices)
     ap.add_argument("--heavy-keys-max", type=int, default=d.heavy_keys_max)
+    ap.add_argument("--person-buckets", type=int, default=d.person_buckets)
     ap.add_argument("--direct-top-max", type=int, default=d.direct_top_max)
     ap.add_argument("--as-of", type=dt.date.fromisoformat, default=d.as_of)
     ap.add_argument("--store", choices=["memory", "checkpoint", "none"], default="memory")

@@ -47,6 +47,23 @@ def person_summary(region_facts: DataFrame, rows_of: DataFrame, topic_facts: Dat
             .agg(*[F.sum(c).cast("bigint").alias(c) for c in ("n_likes", "n_relevant", "n_topic")]))
 
 
+def entity_flags(rows_of: DataFrame, topic_id_df: DataFrame) -> DataFrame:
+    """(like_id, n_rows, is_topic) of every topic-or-big entity, 0 or 1 for is_topic."""
+    return (rows_of.join(topic_id_df.select("like_id", F.lit(1).alias("is_topic")), "like_id", "full")
+            .select("like_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("is_topic", F.lit(0)).alias("is_topic")))
+
+
+def person_summary_by_pairs(facts: DataFrame, flags: DataFrame, spread: Spread | None = None) -> DataFrame:
+    """`person_summary` of facts that lie together by person: facts are counted by
+    person and entity, which then meet `flags` (from `entity_flags`) once. On
+    facts bucketed by person neither aggregation needs an exchange."""
+    pairs = facts.groupBy("person_id", "like_id").agg(F.count(F.lit(1)).alias("n"))
+    return (member_join(pairs, flags, "like_id", "person_id", spread, "left").groupBy("person_id")
+            .agg(F.sum("n").cast("bigint").alias("n_likes"),
+                 F.sum(F.col("n") * F.coalesce("n_rows", F.lit(0))).cast("bigint").alias("n_relevant"),
+                 F.sum(F.coalesce("is_topic", F.lit(0))).cast("bigint").alias("n_topic")))
+
+
 def person_total_counts(region_facts: DataFrame) -> DataFrame:
     """(person_id, n_likes): all region likes per person."""
     return region_facts.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_likes"))

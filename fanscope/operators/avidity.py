@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fanscope.functions.scoring import (TIER_AVID, TIER_CASUAL, TIER_INTERMEDIATE, TIER_NON_FAN,
                                         avidity_tier, entity_avidity_score)
-from fanscope.operators.affinity import entity_implications, top_implications
+from fanscope.operators.affinity import entity_implications, like_topic_stats, top_implications
 from fanscope.operators.joins import Spread, hot_split_join, member_join
 from fanscope.operators.selection import among_top, kth_largest
 from fanscope.params import AffinityParams
@@ -97,9 +97,7 @@ def tier_like_stats(big_facts: DataFrame, tiers: DataFrame, share: DataFrame,
     aggregation sums them. Everyone with a share has a tier (both come from
     topic-or-big likes), so the sums over the tiers are the whole ranking's."""
     graded = share.join(tiers.select("person_id", "tier"), "person_id")
-    return (hot_split_join(big_facts, graded, "person_id", hot_people)
-            .groupBy("tier", "like_id")
-            .agg(F.sum("share").alias("share_sum"), F.count(F.lit(1)).alias("n_likers")))
+    return like_topic_stats(hot_split_join(big_facts, graded, "person_id", hot_people), "tier")
 
 
 def over_all_tiers(stats: DataFrame) -> DataFrame:

@@ -59,6 +59,9 @@ class AffinityParams:
     # in joins with a set beyond the broadcast bound their facts are joined
     # map-side. (Fewer than heavy_keys_max can be, so their rows always fit.)
     heavy_keys_max: int = 1024
+    # Buckets of the region's facts and the frames by person, where these are kept
+    # as bucketed tables (about as many as shuffle partitions); 0: not bucketed.
+    person_buckets: int = 0
     # Largest number of most-liked topic entities that is taken as a top-k which
     # one task merges; a larger one is cut off at a threshold.
     direct_top_max: int = 10_000

@@ -47,6 +47,7 @@ from fanscope.operators import affinity, avidity, census, edge, factors, profile
 from fanscope.operators.joins import Spread, bounded_broadcast, heavy_keys
 from fanscope.params import AffinityParams
 from fanscope.sinks import input_fingerprint, materialize
+from fanscope.sinks.buckets import ByPerson, kept_by_person, split_by_weight
 from fanscope.sinks.runs import RunFolder
 from fanscope.sources.schemas import AffinityTables
 
@@ -214,11 +215,50 @@ class AffinityPipeline:
         places = self._state_locations
         return region.region_people_states(self.t.fact_location, places.df, self._slices(places))
 
+    @property
+    def _is_bucketed(self) -> bool:
+        return self.p.person_buckets > 0 and self.store == "memory"
+
     @cached_property
     def region_facts(self) -> DataFrame:
+        if self._is_bucketed:
+            return self._facts_by_person.whole()
+        return self._keep(self._region_facts, "region_facts")
+
+    @property
+    def _region_facts(self) -> DataFrame:
         people = self._region_people_sized
-        return self._keep(region.region_like_facts(self.t.fact_like, people.df, self._slices(people)),
-                          "region_facts")
+        return region.region_like_facts(self.t.fact_like, people.df, self._slices(people))
+
+    # With `person_buckets`, facts and what is aggregated of them by person are kept as tables
+    # bucketed by person; joins and aggregations by person then need no exchange.
+    def _keep_by_person(self, parts: ByPerson, name: str) -> ByPerson:
+        return kept_by_person(parts, self._folder, name, self.p.person_buckets)
+
+    @cached_property
+    def _facts_by_person(self) -> ByPerson:
+        facts = self._region_facts
+        heavy = heavy_keys(facts, "person_id", self.p.heavy_keys_max)
+        return self._keep_by_person(split_by_weight(facts, heavy), "region_facts")
+
+    @cached_property
+    def _summary_by_person(self) -> ByPerson:
+        flags = self._sized(affinity.entity_flags(self._entity_rows_sized.df, self.topic_ids), "entity_flags")
+        spread = self._spread(flags)
+        return self._keep_by_person(self._facts_by_person.then(
+            lambda facts: affinity.person_summary_by_pairs(facts, flags.df, spread)), "person_summary")
+
+    @cached_property
+    def _big_by_person(self) -> ByPerson:
+        big, spread = self.big_likes, self._spread(self._big_likes_sized)
+        return self._facts_by_person.then(lambda facts: affinity.big_like_facts(facts, big, spread))
+
+    @cached_property
+    def _avidity_by_person(self) -> ByPerson:
+        weights = self._weights
+        spread = self._spread(weights)
+        return self._keep_by_person(self._facts_by_person.then(
+            lambda facts: avidity.person_avidity(facts, weights.df, self.p, spread)), "person_avidity")
 
     @cached_property
     def _big_likes_sized(self) -> Sized:
@@ -243,6 +283,8 @@ class AffinityPipeline:
     def person_summary(self) -> DataFrame:
         """(person_id, n_likes, n_relevant, n_topic): every person-level count
         in one aggregation; kept, since most results start from it."""
+        if self._is_bucketed:
+            return self._summary_by_person.whole()
         rows_of = self._entity_rows_sized
         return self._keep(affinity.person_summary(self.region_facts, rows_of.df, self.topic_like_facts,
                                                   self._spread(rows_of)), "person_summary")
@@ -268,6 +310,8 @@ class AffinityPipeline:
 
     @cached_property
     def person_total_counts(self) -> DataFrame:
+        if self._is_bucketed:
+            return self._facts_by_person.then(affinity.person_total_counts).whole()
         return affinity.person_total_counts(self.region_facts)
 
     @cached_property
@@ -292,6 +336,9 @@ class AffinityPipeline:
 
     @cached_property
     def like_topic_fractions(self) -> DataFrame:
+        if self._is_bucketed:
+            share = self._summary_by_person.then(affinity.person_topic_share)
+            return self._big_by_person.join(share).whole().select("like_id", "person_id", "share")
         return affinity.like_topic_fractions(self.big_like_facts, self.person_topic_share, self.hot_people)
 
     @cached_property
@@ -410,14 +457,25 @@ class AffinityPipeline:
         return self._keep(avidity.entity_avidity(self.topic_and_big_likes, self.topic_ids, basic, common),
                           "entity_avidity")
 
+    @cached_property
+    def _weights(self) -> Sized:
+        return self._sized(avidity.avidity_weights(self.entity_avidity), "avidity_weights")
+
     @cached_property
     def person_avidity(self) -> DataFrame:
-        weights = self._sized(avidity.avidity_weights(self.entity_avidity), "avidity_weights")
+        if self._is_bucketed:
+            return self._avidity_by_person.whole()
+        weights = self._weights
         return self._keep(avidity.person_avidity(self.region_facts, weights.df, self.p, self._spread(weights)),
                           "person_avidity")
 
     @cached_property
     def tier_like_stats(self) -> DataFrame:
+        if self._is_bucketed:
+            share = self._summary_by_person.then(affinity.person_topic_share)
+            graded = share.join(self._avidity_by_person.then(lambda df: df.select("person_id", "tier")))
+            facts = self._big_by_person.join(graded).whole()
+            return self._keep(affinity.like_topic_stats(facts, "tier"), "tier_like_stats")
         return self._keep(avidity.tier_like_stats(self.big_like_facts, self.person_avidity, self.person_topic_share,
                                                   self.hot_people), "tier_like_stats")
 

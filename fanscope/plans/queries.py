@@ -139,17 +139,23 @@ VARIANT_RESULTS = {
     "spread": ("region_people", "region_people_states", "region_like_facts", "topic_like_facts", "big_like_facts",
                "person_relevant_counts", "person_topic_share", "like_topic_fractions", "entity_implications",
                "edge_likers", "topic_popularity", "entity_avidity", "person_avidity", "tier_implications"),
+    "bucketed": ("region_like_facts", "person_total_counts", "person_relevant_counts", "person_topic_counts",
+                 "person_topic_share", "like_topic_fractions", "entity_implications", "person_avidity",
+                 "tier_implications", "edge_nonfans"),
 }
 
 
 def variant_pipeline(tables: AffinityTables, params: AffinityParams, variant: str) -> AffinityPipeline:
     """The analysis as a variant runs it. "spread": nothing is broadcast by the pipeline, so joins of
     facts take their shuffled, spread forms, heavy entities and hot people are split out at small
-    shares, and the most liked entities are found by threshold. "raw": frames are kept in (and
+    shares, and the most liked entities are found by threshold. "bucketed": facts and frames by
+    person are tables bucketed by person, the heaviest people beside them. "raw": frames are kept in (and
     reused from) fingerprinted checkpoints."""
     if variant == "spread":
         params = dataclasses.replace(params, broadcast_max_bytes=0, direct_top_max=0, heavy_keys_max=1500,
                                      hot_person_share=0.05)
+    elif variant == "bucketed":
+        params = dataclasses.replace(params, person_buckets=6, heavy_keys_max=200)
     return AffinityPipeline(tables, params, store="checkpoint" if variant == "raw" else "memory")
 
 

@@ -14,7 +14,7 @@ import json
 import threading
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +83,7 @@ class RunFolder:
         self.reused = name is not None
         self.path = f"{runs_root(spark)}/{kind}-{name or uuid.uuid4().hex}"
         self.tables: list[str] = []
+        self._at_release: list[Callable[[], object]] = []
         self._store = _Store(spark, self.path)
         self._lock, self._ended = threading.Lock(), threading.Event()
         self.renew()
@@ -111,12 +112,17 @@ class RunFolder:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def at_release(self, action: Callable[[], object]) -> None:
+        self._at_release.append(action)
+
     def release(self) -> None:
         """Delete the folder, unless later runs may reuse it; its tables can't be read after that."""
         with self._lock:
             if self._ended.is_set():
                 return
             self._ended.set()
+        for action in self._at_release:
+            action()
         if not self.reused:
             self._store.delete(self.path)
 

@@ -84,8 +84,9 @@ def fixture_census(spark: SparkSession) -> DataFrame:
 #: vocabulary: types are the default category types in turn, every fifth name a default name.
 #: raw: the tables are written as the original job's tab-separated files and its topic file (with
 #:   ragged lines and `null` marks), and read back from there.
-#: spread: the plain tables, under parameters by which no set is small (see plans.queries).
-VARIANTS = ("plain", "curated", "multirow", "vocabulary", "raw", "spread")
+#: spread, bucketed: the plain tables, under parameters by which no set is small, or frames by person
+#:   are kept in buckets (see plans.queries).
+VARIANTS = ("plain", "curated", "multirow", "vocabulary", "raw", "spread", "bucketed")
 
 
 def default_types() -> list[str]:

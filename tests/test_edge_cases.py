@@ -173,8 +173,8 @@ def test_small_topics_get_avidity_too(spark):  # C12
 def test_most_liked_by_threshold_is_the_ordered_top(spark):  # W5
     popularity = spark.createDataFrame([(f"E{i:02d}", i // 3) for i in range(20)], "like_id string, n_likers bigint")
     for k in (0, 1, 2, 3, 7, 19, 20, 25):
-        want = rows(avidity.most_liked(popularity, k))
-        assert rows(avidity.most_liked(popularity, k, max_rows=0)) == want and len(want) == min(k, 20)
+        want = rows(avidity.most_liked(popularity, k, direct=100))
+        assert rows(avidity.most_liked(popularity, k, direct=0)) == want and len(want) == min(k, 20)
 
 
 def test_words_are_separated_by_any_white_space(spark):

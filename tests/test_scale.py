@@ -15,7 +15,7 @@ from conftest import make_tables, rows, small_params
 from test_plans import SF, plan_text
 
 from fanscope import sinks
-from fanscope.operators import factors
+from fanscope.operators import affinity, avidity, factors
 from fanscope.operators.joins import Spread, heavy_keys, member_join
 from fanscope.operators.selection import among_top, kth_largest
 from fanscope.params import FIXTURE_PARAMS
@@ -237,3 +237,43 @@ def test_raw_scans_read_only_the_fields_that_are_asked_for(spark, tmp_path):
     assert "c0:string" in schema and "c6:string" in schema
     for unread in ("c1:", "c2:", "c3:", "c4:", "c5:"):
         assert unread not in schema
+
+
+# --- bucketed by person ---------------------------------------------------------------
+def test_bucketed_frames_by_person_need_no_exchange(spark):
+    """Neither the grades of people nor the cold side of the ranking shuffle facts by person; the
+    heaviest people are in a table of their own; rows are those of the plain pipeline."""
+    tables = load_fixture_tables(spark, SF, FIXTURE_PARAMS)
+    pipe, plain = variant_pipeline(tables, FIXTURE_PARAMS, "bucketed"), AffinityPipeline(tables, FIXTURE_PARAMS)
+    before = {t.name for t in spark.catalog.listTables()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        facts = pipe._facts_by_person
+        assert facts.hot is not None and 0 < facts.hot.select("person_id").distinct().count() < 200
+        weights = pipe._weights
+        graded = facts.then(lambda df: avidity.person_avidity(df, weights.df, pipe.p)).cold
+        share = pipe._summary_by_person.then(affinity.person_topic_share)
+        ranked = pipe._big_by_person.join(share).cold
+        for frame in (graded, ranked, affinity.person_summary_by_pairs(facts.cold, pipe._sized(
+                affinity.entity_flags(pipe._entity_rows_sized.df, pipe.topic_ids), "flags").df)):
+            text = plan_text(frame)
+            assert "Bucketed: true" in text and not re.search(r"hashpartitioning\(person_id", text), text
+        for name in VARIANT_RESULTS["bucketed"]:
+            assert rows(build(pipe, name)) == rows(build(plain, name)), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        pipe.unpersist()
+        plain.unpersist()
+    assert {t.name for t in spark.catalog.listTables()} <= before
+
+
+def test_a_person_with_a_third_of_all_likes_is_not_in_a_bucket(spark):
+    facts = [(f"f{i}", "P0" if i % 3 == 0 else f"P{i % 40}", f"E{i % 7}") for i in range(600)]
+    ents = [(f"E{i}", f"e{i}", "x") for i in range(7)]
+    t = make_tables(spark, facts, ents, [f"P{i}" for i in range(40)], topic=ents[:2])
+    pipe, plain = AffinityPipeline(t, small_params(person_buckets=4, heavy_keys_max=8)), AffinityPipeline(t, small_params())
+    assert [r.person_id for r in pipe._facts_by_person.hot.select("person_id").distinct().collect()] == ["P0"]
+    for name in ("person_topic_share", "entity_implications", "tier_implications", "person_total_counts"):
+        assert rows(build(pipe, name)) == rows(build(plain, name)), name
+    pipe.unpersist()
+    plain.unpersist()
