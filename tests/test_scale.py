@@ -23,7 +23,7 @@ from fanscope.plans.pipeline import FACTOR_ATTRIBUTES, AffinityPipeline
 from fanscope.plans.queries import VARIANT_RESULTS, build, variant_pipeline
 from fanscope.plans.reports import run_reports
 from fanscope.sinks import runs
-from fanscope.sources import tsv
+from fanscope.sources import topic_json, tsv
 from fanscope.sources.fixtures import load_fixture_tables
 
 
@@ -277,3 +277,33 @@ def test_a_person_with_a_third_of_all_likes_is_not_in_a_bucket(spark):
         assert rows(build(pipe, name)) == rows(build(plain, name)), name
     pipe.unpersist()
     plain.unpersist()
+
+
+# --- one JSON array over many tasks -----------------------------------------------------
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("split", [64, 1 << 20])
+def test_a_topic_array_is_read_in_splits(spark, tmp_path, indent, split):
+    rng = random.Random(7)
+    odd = ['a "quoted] [name', "back\\slash]", 'ends with \\"', "]],[[", "", "ü]", "plain", "\\\\]", None]
+    made = [[str(k), [rng.choice(odd), rng.choice(odd)]] for k in range(60)]
+    path = tmp_path / "topic.json"
+    path.write_text(json.dumps(made, indent=indent, ensure_ascii=False) + "\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        items = topic_json.json_array_items(spark, str(path))
+        df = topic_json.read_topic_array(spark, str(path))
+        got = sorted(map(tuple, df.collect()), key=repr)
+        if split == 64:
+            assert spark.read.option("lineSep", "]").text(str(path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(((k, a, b) for k, (a, b) in made), key=repr) and items.columns == ["value"]
+
+
+def test_empty_and_short_topic_arrays(spark, tmp_path):
+    for text, want in (("[]", []), ("", []), ('[["1", []]]', [("1", None, None)]), ('[["1"], ["2", ["a"]]]', [("1", None, None), ("2", "a", None)])):
+        path = tmp_path / "t.json"
+        path.write_text(text)
+        assert rows(topic_json.read_topic_array(spark, str(path))) == want
