@@ -27,11 +27,12 @@ def waterfilled(sizes, weights):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_targets(seed):
+def test_targets(spark, seed):
     rng = random.Random(seed)
     sizes = [rng.choice((0, 1, 10, 500, 10_000)) for _ in range(9)]
     weights = [k % 3 + 1 for k in range(9)]
-    assert M.targets(sizes, weights) == pytest.approx(waterfilled(sizes, weights))
+    level = M.level(spark.createDataFrame(list(zip(sizes, weights, strict=True)), "size long, weight long"))
+    assert [min(3 * n, level * w) for n, w in zip(sizes, weights, strict=True)] == pytest.approx(waterfilled(sizes, weights))
 
 
 def rows_of(n=400, seed=2):
@@ -64,9 +65,9 @@ def test_report_against_its_contract(spark):
 
 
 def test_every_prefix_of_the_schedule_is_near_the_weights(spark):
-    table = [{"k": k, "source": str(k), "source_size": 10_000, "target": t, "block": 10, "blocks": 1000}
-             for k, t in enumerate((2_500.0, 7_500.0, 20_000.0))]
-    slots = sorted(M.schedule(spark, table).collect(), key=lambda r: r.slot)
+    table = M.weighted(spark.createDataFrame([(k, 10_000, t, 1000) for k, t in enumerate((2_500.0, 7_500.0, 20_000.0))],
+                                             "k long, source_size long, target double, blocks long"))
+    slots = sorted(M.schedule(table).collect(), key=lambda r: r.slot)
     assert len(slots) == 3000 and [r.slot for r in slots] == list(range(3000))
     seen = Counter()
     for n, r in enumerate(slots, 1):
@@ -92,3 +93,25 @@ def test_odd_rows(spark):
     assert M.mixed(docs(spark, ODD)).columns == docs(spark, []).columns
     assert M.mix_report(docs(spark, [])).count() == 0 and M.mixed(docs(spark, [])).count() == 0
     assert {r.taken for r in M.mix_report(docs(spark, [(1, None), (2, "")])).collect()} == {0}
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    """Sources beyond a broadcast (small here), and far more than slots in a cell."""
+    rows = rows_of(300)
+    few = sorted(map(tuple, M.mix_report(docs(spark, rows)).collect()))
+    monkeypatch.setattr(M, "FEW", 2)
+    assert sorted(map(tuple, M.mix_report(docs(spark, rows)).collect())) == few
+    monkeypatch.setattr(M, "FEW", 100)
+    many = [(i, "w " * (1 + i % 5), f"site{i // 2}") for i in range(6000)] + [(9000 + i, "v " * 50, "hot") for i in range(300)]
+    got = M.mix_report(docs(spark, many)).collect()
+    size, target, taken = Counter(), {}, Counter()
+    for r, s in ((r, many[r.doc_id][2] if r.doc_id < 9000 else "hot") for r in got):
+        target[s] = r.target
+        taken[s] += r.taken
+        size[s] += r.size
+    assert len(got) == len(many) and len(target) == 3001
+    order = sorted(size)
+    want = waterfilled([size[s] for s in order], [k % 3 + 1 for k in range(len(order))])
+    assert [target[s] for s in order] == pytest.approx(want)
+    off = [abs(taken[s] - target[s]) for s in order]
+    assert max(off) <= 8 and sum(off) < 0.25 * sum(size.values()) and abs(sum(taken.values()) - sum(size.values())) < 0.02 * sum(size.values())
