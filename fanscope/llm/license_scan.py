@@ -4,13 +4,14 @@ Words that are unique in both a stretch of text and a template are anchors; the
 subsequence of their places is kept, and the gaps between anchors are aligned in the same way, after
 equal words at their ends are matched. Coverage is the share of a template's words that are matched.
 
-Stretches of a text that may hold a template are found by word pairs: where enough different pairs
-of the template stand close together. (A template covered to `COVERAGE` keeps more of its pairs than
-that, unless other words are strewn into it.) The pairs of a stretch are chained in the template's
-order, a chain for each copy that may stand there, and each copy is aligned by itself. A find needs
-`COVERAGE` of the template and `DENSITY` of the stretch from its first to its last match. Of finds
-that overlap, the one with the most matches stays (ties: higher coverage, then the template that
-comes first).
+Stretches of a text that may hold a template are found by its words other than the commonest
+function words and digits: a find has so many of them in so short a stretch, as follows from `COVERAGE`
+and `DENSITY`, so this loses nothing. These words are chained in the template's order, a chain for each
+copy that may stand there, and each copy is aligned by itself. A find needs `COVERAGE` of the
+template and `DENSITY` of the stretch from its first to its last match, and the phrases that carry the
+licence's name (`NAMED`) without a word missing or between: "GNU Lesser General Public License" is
+no "GNU General Public License". Of finds that overlap, the one with the most matches stays (ties:
+higher coverage, then the template that comes first).
 
 Words are runs without white space and ASCII punctuation, in lower case.
 
@@ -23,6 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -32,17 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanscope.llm import textvec
 from fanscope.llm.common import steps, text_or_empty
 from fanscope.llm.decontam import tokens
-from fanscope.llm.license_templates import TEMPLATES
+from fanscope.llm.license_templates import NAMED, TEMPLATES
 
 COVERAGE, DENSITY = 0.8, 0.6
-#: Words of a stretch beside the template's own, at either end.
+#: Words beside the template's own that a window has at either end at least.
 SLACK = 8
-#: What a word between two pairs of a chain costs, in pairs.
-GAP = 0.25
-_PAIR = textvec.salts(2, 1)
+#: What a word between two words of a chain costs, in words.
+GAP = 0.1
+#: Words that don't tell licences apart and stand everywhere.
+COMMON = "a an and any are as at be by for from in is it no not of on one or that the this to under which with you 0 1 2 3 4 5"
 
 
 def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -82,56 +84,93 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 class Templates:
-    """Templates as words, and their word pairs, sorted."""
+    """Templates as words, and where their telling words stand, sorted by word."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], named: dict[str, tuple[str, ...]] = NAMED):
         self.names = list(texts)
         h, rows = tokens(pa.array(list(texts.values()), pa.string()))
         self.words = [h[rows[k]:rows[k + 1]] for k in range(len(texts))]
-        pair, of = [], []
-        for k, w in enumerate(self.words):
-            pair.append(_pairs(w, np.array([0, len(w)]))[1])
-            of += [(k, q) for q in range(len(w) - 1)]
-        pair, self.of = np.concatenate([*pair, np.zeros(0, np.uint64)]), np.array(of, int).reshape(-1, 2)
-        order = np.argsort(pair, kind="stable")
-        self.pair, self.of = pair[order], self.of[order]
+        common = set(tokens(pa.array([COMMON]))[0].tolist())
+        word, of, self.need = [], [], []
+        for k, own in enumerate(self.words):
+            lost = len(own) - math.ceil(COVERAGE * len(own))  # words that a find may lack
+            telling = [q for q, w in enumerate(own.tolist()) if w not in common]
+            if len(telling) <= lost:
+                telling = list(range(len(own)))
+            self.need.append(max(1, len(telling) - lost))
+            word += own[telling].tolist()
+            of += [(k, q) for q in telling]
+        #: The longest stretch that a find can have.
+        self.reach = [int(len(own) / DENSITY) + 1 for own in self.words]
+        self.phrases = []
+        for name, own in zip(self.names, self.words, strict=True):
+            h, rows = tokens(pa.array(list(named.get(name, ())), pa.string()))
+            self.phrases.append([_occurrences(h[rows[k]:rows[k + 1]], own) for k in range(len(rows) - 1)])
+        word, self.of = np.array(word, np.uint64), np.array(of, int).reshape(-1, 2)
+        order = np.argsort(word, kind="stable")
+        self.word, self.of = word[order], self.of[order]
         self.seen = np.zeros(1 << 16, bool)
-        self.seen[self.pair >> np.uint64(48)] = True
+        self.seen[self.word >> np.uint64(48)] = True
 
     def stretches(self, h: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(row, template, places in h, places in the template) of the word pairs of each stretch that
+        """(row, template, places in h, places in the template) of the telling words of each stretch that
         may hold a template."""
-        at, pair = _pairs(h, rows)
-        near = np.flatnonzero(self.seen[pair >> np.uint64(48)])
-        low = np.searchsorted(self.pair, pair[near], "left")
-        n = np.searchsorted(self.pair, pair[near], "right") - low
-        place = np.repeat(at[near], n)
+        near = np.flatnonzero(self.seen[h >> np.uint64(48)])
+        low = np.searchsorted(self.word, h[near], "left")
+        n = np.searchsorted(self.word, h[near], "right") - low
+        place = np.repeat(near, n)
         template, q = self.of[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)].T
+        order = np.lexsort((q, place, template, np.searchsorted(rows, place, "right") - 1))
+        template, place, q = template[order], place[order], q[order]
         row = np.searchsorted(rows, place, "right") - 1
-        order = np.lexsort((q, place, template, row))
-        row, template, place, q = row[order], template[order], place[order], q[order]
-        size = np.array([len(w) for w in self.words])
-        new = np.ones(len(row), bool)
-        new[1:] = ((row[1:] != row[:-1]) | (template[1:] != template[:-1])
-                   | (place[1:] - place[:-1] > size[template[1:]] + SLACK))
-        start = np.flatnonzero(new)
-        for i, j in zip(start, np.append(start, len(row))[1:], strict=True):
-            k = int(template[i])
-            if len(set(q[i:j].tolist())) >= max(1, size[k] // 3):
-                yield int(row[i]), k, place[i:j], q[i:j]
+        # Each place once for each template; the `need`-th place from it on must be within reach.
+        own = np.ones(len(place), bool)
+        own[1:] = (place[1:] != place[:-1]) | (template[1:] != template[:-1])
+        first = np.flatnonzero(own)
+        at, of, r = place[first], template[first], row[first]
+        end = np.arange(len(first)) + np.array(self.need)[of] - 1
+        fits = end < len(first)
+        end = np.minimum(end, max(len(first) - 1, 0))
+        reach = np.array(self.reach)[of]
+        fits &= (of[end] == of) & (r[end] == r) & (at[end] - at < reach)
+        group = np.cumsum(np.concatenate([[True], (of[1:] != of[:-1]) | (r[1:] != r[:-1])])) if len(first) else first
+        spans: list[list[int]] = []  # group, from, to, first hit
+        for i in np.flatnonzero(fits).tolist():
+            low_i, high_i = int(at[i] - reach[i]), int(at[end[i]] + reach[i])
+            if spans and spans[-1][0] == group[i] and low_i <= spans[-1][2]:
+                spans[-1][2] = high_i
+            else:
+                spans.append([int(group[i]), low_i, high_i, i])
+        bound = np.append(first, len(place))
+        for g, low_i, high_i, i in spans:
+            a, b = np.searchsorted(group, g, "left"), np.searchsorted(group, g, "right")
+            a, b = bound[a + np.searchsorted(at[a:b], low_i)], bound[a + np.searchsorted(at[a:b], high_i, "right")]
+            k, in_row = int(of[i]), int(r[i])
+            text = h[max(low_i, rows[in_row]):min(high_i + 1, rows[in_row + 1])].tobytes()
+            if all(phrase[0] in text for phrase in self.phrases[k]):
+                yield in_row, k, place[a:b], q[a:b]
 
     def copies(self, k: int, place: np.ndarray, q: np.ndarray, low: int, high: int) -> Iterator[list[tuple[int, int]]]:
         """For each copy of template k that may stand in a stretch, best first, the windows of
-        low..high to align: as long as the template, and with SLACK; none reaches into the next copy."""
+        low..high to align: as long as the template, and as long as a find can be; none reaches into
+        the next copy."""
         size = len(self.words[k])
         found = [(int(place[c[0]]), int(q[c[0]]), int(place[c[-1]]), int(q[c[-1]]))
-                 for c in _chains(place, q, size) if len(c) >= max(1, size // 3)]
-        starts, ends = sorted(c[0] for c in found), sorted(c[2] + 2 for c in found)
+                 for c in _chains(place, q, size) if len(c) >= self.need[k]]
+        starts, ends = sorted(c[0] for c in found), sorted(c[2] + 1 for c in found)
         for a, first, b, last in found:
-            before, after = bisect_right(ends, a), bisect_left(starts, b + 2)
+            before, after = bisect_right(ends, a), bisect_left(starts, b + 1)
             left = max(low, ends[before - 1] if before else low)
             right = min(high, starts[after] if after < len(starts) else high)
-            yield [(max(left, a - first - slack), min(right, b + size - last + slack)) for slack in (0, SLACK)]
+            behind = size - last
+            wide = (int(first / DENSITY) + SLACK, int(behind / DENSITY) + SLACK)
+            yield [(max(left, a - x), min(right, b + y)) for x, y in ((first, behind), wide)]
+
+    def is_named(self, k: int, match: list[tuple[int, int]]) -> bool:
+        """Whether the matches hold each phrase that carries the template's name, word by word."""
+        at = {j: i for i, j in match}
+        return all(any(all(at.get(s + d, -1) == at.get(s, -2) + d for d in range(size)) for s in starts)
+                   for _, size, starts in self.phrases[k])
 
     def finds(self, h: np.ndarray, rows: np.ndarray) -> list[tuple]:
         """(row, template, start, end, matched): places count from the row's start; no two overlap."""
@@ -141,8 +180,10 @@ class Templates:
             for windows in self.copies(k, place, q, int(rows[r]), int(rows[r + 1])):
                 best = (0, 0, 0)
                 for low, high in windows:
-                    first, last, n = _best_stretch(patience(h[low:high].tolist(), words))
-                    if n > best[2] and n >= DENSITY * (last - first + 1):
+                    match = patience(h[low:high].tolist(), words)
+                    first, last, n = _best_stretch(match)
+                    if (n > best[2]
+                            and self.is_named(k, [m for m in match if first <= m[0] <= last])):
                         best = (low + first, low + last + 1, n)
                 start, end, n = best
                 if n and n >= COVERAGE * len(words) and taken.add(start, end):
@@ -173,11 +214,11 @@ class _Taken:
 
 
 def _chains(place: np.ndarray, q: np.ndarray, size: int) -> list[list[int]]:
-    """Word pairs (sorted by place) as chains that increase in place and q, best first; a pair counts
-    1, a word between two pairs costs GAP. Each pair is in one chain."""
+    """Words (sorted by place) as chains that increase in place and q, best first; a word counts 1, one
+    between two costs GAP. Each is in one chain."""
     n = len(place)
     score, before = np.ones(n), np.full(n, -1)
-    # A chain of fewer than `size` pairs isn't worth a longer gap.
+    # A chain of fewer than `size` words isn't worth a longer gap.
     first = np.searchsorted(place, place - int(size / GAP) - 1)
     for i in range(1, n):
         j = first[i]
@@ -198,23 +239,21 @@ def _chains(place: np.ndarray, q: np.ndarray, size: int) -> list[list[int]]:
 
 
 def _best_stretch(match: list[tuple[int, int]]) -> tuple[int, int, int]:
-    """First and last place in the text, and the number of matches, of the run of matches with the
-    most matches over twice its other words."""
-    best, start, score = (0, -1, 0), 0, 0.0
-    top = 0.0
-    for k, (i, _) in enumerate(match):
-        score += 1 - (0.5 * (i - match[k - 1][0] - 1) if k > start else 0)
-        if score < 1:
-            start, score = k, 1.0
-        if score > top:
-            top, best = score, (match[start][0], i, k - start + 1)
-    return best
-
-
-def _pairs(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the word pairs within rows, and their hashes."""
-    at = np.flatnonzero(np.arange(len(h)) + 1 < np.repeat(rows[1:], np.diff(rows)))
-    return at, textvec.mix(h[at] * _PAIR[0] + h[np.minimum(at + 1, len(h) - 1)] * _PAIR[1]) if len(at) else h[:0]
+    """First and last place in the text, and the number of matches, of the run of matches that has the
+    most of them (then the shortest) among those that are dense enough."""
+    if not match:
+        return 0, -1, 0
+    at = np.array([i for i, _ in match])
+    length, count = at[None, :] - at[:, None] + 1, np.arange(len(at))[None, :] - np.arange(len(at))[:, None] + 1
+    worth = np.where((count > 0) & (count >= DENSITY * length), count * (len(at) * 8 + int(at[-1] - at[0]) + 2) - length, -1)
+    a, b = np.unravel_index(int(worth.argmax()), worth.shape)
+    return int(at[a]), int(at[b]), int(count[a, b])
+
+
+def _occurrences(phrase: np.ndarray, words: np.ndarray) -> tuple[bytes, int, list[int]]:
+    """The phrase as bytes, its length, and where it stands in a template's words."""
+    size = len(phrase)
+    return phrase.tobytes(), size, [k for k in range(len(words) - size + 1) if (words[k:k + size] == phrase).all()]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -103,7 +103,7 @@ def test_copies_with_edits_and_a_part_between_them():
 
 # --- registry and pipeline
 def test_registry():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
     assert set(queries.QUERIES) <= set(E.queries()) and set(queries.ORACLE_SQL) <= set(E.oracle_sql())
 
 
