@@ -6,7 +6,11 @@ import html
 import re
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+#: A tag ends at the first > that isn't inside a quoted value.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)"""
+                    r"""|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
+#: An element that isn't shown.
+_HIDDEN = re.compile(r"""\bhidden(?=\s|/|$)|\bhidden\s*=|style\s*=\s*["']?[^"'>]*display\s*:\s*none""", re.I)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements that begin a block; those whose content is no text; those without an end.
@@ -30,14 +34,19 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     """The blocks of the whole page, in order: character references decoded, white space turned into
-    single spaces. Markup that is cut off at the end of the page is no text."""
+    single spaces. Markup that is cut off at the end of the page is no text, and neither is what is
+    in hidden elements."""
     out: list[Block] = []
     stack: list[tuple] = []
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
+    unseen: list[str] = []  # an inline element that isn't shown, and elements of its name in it
 
     def close() -> None:
         nonlocal linked
+        unseen.clear()
+        if any(names is None for _, names in stack):
+            text.clear()
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
@@ -50,7 +59,7 @@ def blocks(page: str) -> list[Block]:
         tag = m[2]
         if tag is None:
             part = m[0]
-            if part[0] != "<" or part == "<":
+            if not unseen and (part[0] != "<" or part == "<"):
                 text.append(part)
                 if in_link:
                     linked += len(part.strip())
@@ -66,6 +75,13 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             text.append(" ")
         if tag not in BLOCK_TAGS:
+            if unseen and tag == unseen[0]:
+                if m[1]:
+                    unseen.pop()
+                else:
+                    unseen.append(tag)
+            elif not unseen and not m[1] and tag not in VOID_TAGS and m[3] and _HIDDEN.search(m[3]):
+                unseen.append(tag)
             continue
         close()
         in_link = 0
@@ -85,6 +101,9 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in _ENDS[tag]:
                 del stack[k:]
                 break
+        if m[3] and _HIDDEN.search(m[3]):
+            stack.append((tag, None))
+            continue
         names = tuple(_WORD.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower())) if m[3] else ()
         stack.append((tag, names))
     close()

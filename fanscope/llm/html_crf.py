@@ -7,6 +7,8 @@ trained by maximum likelihood (forward-backward) and decoded by Viterbi.
 It is trained on labelled pages: those of `page_layouts` and a bounded sample of the given pages
 (`SAMPLE` by a hash of the page), which label themselves where they use an article or main element.
 Copies of both in which these elements are plain ones make the field use text and order as well.
+Long pages are trained on in windows of `CHAIN` blocks, of which the first and last alone have the
+weights of a page's ends; all their blocks are used.
 
 Scale: the sample's pages come to the driver (300 of them); pages are then decoded one by one in
 one pass, without a shuffle.
@@ -34,6 +36,7 @@ BITS, SAMPLE, CHAIN = 13, 300, 200
 ROUNDS, RIDGE, RATE = 250, 1e-4, 0.1
 _MAIN = ("article", "main")
 _ASIDE = frozenset("nav aside footer header form button select label menu dialog".split())
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _PLAIN = {"article": "div", "main": "div", "section": "div", "nav": "div", "footer": "div", "aside": "div", "header": "div"}
 
 _of_name: dict[str, int] = {}
@@ -105,7 +108,14 @@ def self_labels(chain: list[Block]) -> list[int] | None:
     inside = [any(t in _MAIN for t, _ in b.above) for b in chain]
     if not any(inside):
         return None
-    return [int(i and not any(t in _ASIDE for t, _ in b.above)) for i, b in zip(inside, chain, strict=True)]
+    return [int(i and not _is_aside([t for t, _ in b.above])) for i, b in zip(inside, chain, strict=True)]
+
+
+def _is_aside(above: list[str]) -> bool:
+    """Whether elements that hold no article are above a block. An article's own header holds its heading."""
+    first = min(above.index(t) for t in _MAIN if t in above)
+    heading = above[-1] in _HEADINGS
+    return any(t in _ASIDE and not (t == "header" and heading and k > first) for k, t in enumerate(above))
 
 
 def _plain(chain: list[Block]) -> list[Block]:
@@ -114,15 +124,18 @@ def _plain(chain: list[Block]) -> list[Block]:
 
 def train(chains: list[tuple[list[Block], list[int]]]) -> Field:
     """Maximum likelihood with a ridge, by Adam, on chains of blocks and their labels (1: main)."""
-    chains = [(c[:CHAIN], y[:CHAIN]) for c, y in chains if c]
-    chains += [(_plain(c), y) for c, y in chains]
-    n, width = len(chains), max((len(c) for c, _ in chains), default=1)
-    size = np.array([len(c) for c, _ in chains])
+    chains = [(features(of), y) for c, y in chains if c for of in (c, _plain(c))]
+    # Windows of whole chains: features, labels, whether the page begins and ends here (1 or 0).
+    chains = [(c[at:at + CHAIN], y[at:at + CHAIN], int(at == 0), int(at + CHAIN >= len(c)))
+              for c, y in chains for at in range(0, len(c), CHAIN)]
+    n, width = len(chains), max((len(c) for c, *_ in chains), default=1)
+    size = np.array([len(c) for c, *_ in chains])
+    begins, ends_here = np.array([[b, e] for *_, b, e in chains], float).reshape(-1, 2).T
     label, there = np.zeros((n, width), int), np.arange(width) < size[:, None]
     which, at = [], []
-    for k, (c, y) in enumerate(chains):
+    for k, (c, y, *_) in enumerate(chains):
         label[k, :len(y)] = y
-        for j, of in enumerate(features(c)):
+        for j, of in enumerate(c):
             which += of
             at += [k * width + j] * len(of)
     which, at = np.array(which, int), np.array(at, int)
@@ -133,13 +146,14 @@ def train(chains: list[tuple[list[Block], list[int]]]) -> Field:
     pair = there[:, 1:]
     seen = np.zeros((2, 2))
     np.add.at(seen, (label[:, :-1][pair], label[:, 1:][pair]), 1)
-    told = np.concatenate((np.bincount(which, label.ravel()[at], dims), seen.ravel(), [label[:, 0].sum(), last.sum()]))
+    told = np.concatenate((np.bincount(which, label.ravel()[at], dims), seen.ravel(),
+                           [(label[:, 0] * begins).sum(), (last * ends_here).sum()]))
     for k in range(1, ROUNDS + 1):
         w, t, ends = p[:dims], p[dims:dims + 4].reshape(2, 2), p[dims + 4:]
         e = np.zeros((n, width, 2))
         e[:, :, 1] = np.bincount(at, w[which], n * width).reshape(n, width)
-        e[:, 0, 1] += ends[0]
-        e[np.arange(n), size - 1, 1] += ends[1]
+        e[:, 0, 1] += ends[0] * begins
+        e[np.arange(n), size - 1, 1] += ends[1] * ends_here
         fore, back = np.zeros((n, width, 2)), np.zeros((n, width, 2))
         fore[:, 0] = e[:, 0]
         for j in range(1, width):
@@ -153,7 +167,7 @@ def train(chains: list[tuple[list[Block], list[int]]]) -> Field:
         moves = [[np.exp(fore[:, :-1, a] + t[a, b] + e[:, 1:, b] + back[:, 1:, b] - total)[pair].sum() for b in (0, 1)]
                  for a in (0, 1)]
         hoped = np.concatenate((np.bincount(which, main.ravel()[at], dims), np.ravel(moves),
-                                [main[:, 0].sum(), main[np.arange(n), size - 1].sum()]))
+                                [(main[:, 0] * begins).sum(), (main[np.arange(n), size - 1] * ends_here).sum()]))
         slope = (told - hoped) / n - RIDGE * p
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope ** 2
         p = p + RATE * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-8)
