@@ -43,6 +43,8 @@ MASKS = ((0, 1, 4, 8, 10, 11), (0, 2, 3, 5, 10, 11), (1, 5, 6, 7, 9, 10), (1, 2,
          (3, 4, 5, 7, 8, 9))
 MATCH, SHARE, COST = 13, 0.8, 2
 BROADCAST_BYTES = 4 << 20
+#: Seed hits that are held at once, and compared tokens.
+HITS = 1 << 20
 
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TOKEN = textvec.INK.copy()
@@ -74,14 +76,20 @@ def seeds(h: np.ndarray, rows: np.ndarray, short: list[int]) -> Iterator[tuple[n
 
 
 class Bench:
-    """The benchmark's tokens and sorted seeds."""
+    """The benchmark's tokens and sorted seeds. Items of equal tokens are searched once."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
         self.ids = ids
-        self.h, self.rows = tokens(pa.array(texts, pa.string()))
+        h, rows = tokens(pa.array(texts, pa.string()))
+        same: dict[bytes, list[int]] = {}
+        for k in range(len(ids)):
+            same.setdefault(h[rows[k]:rows[k + 1]].tobytes(), []).append(k)
+        self.same = list(same.values())
+        self.h = np.concatenate([np.zeros(0, np.uint64), *(h[rows[k[0]]:rows[k[0] + 1]] for k in self.same)])
+        self.rows = np.concatenate([[0], np.cumsum([rows[k[0] + 1] - rows[k[0]] for k in self.same])]).astype(np.int64)
         size = np.diff(self.rows)
         self.short = sorted({int(n) for n in size if 0 < n < SPAN})
-        item = np.repeat(np.arange(len(ids)), size)
+        item = np.repeat(np.arange(len(self.same)), size)
         found = []
         for k, (at, value) in enumerate(seeds(self.h, self.rows, self.short)):
             if k >= len(MASKS):  # a short item as a whole, no part of a longer one
@@ -94,33 +102,78 @@ class Bench:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.value >> np.uint64(44)] = True
 
-    def hits(self, h: np.ndarray, rows: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, item, diagonal) of all seed hits; positions count from the start of row and item."""
-        out = set()
-        if not len(self.value):
-            return out
-        for at, value in seeds(h, rows, self.short):
+    def hits(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, items and diagonals of all seed hits, each once, in order; positions count from the start
+        of row and item. No more than about `HITS` hits are held beside the different ones."""
+        found = [np.zeros((0, 3), np.int64)]
+        for at, value in seeds(h, rows, self.short) if len(self.value) else ():
             near = np.flatnonzero(self.seen[value >> np.uint64(44)])
             low = np.searchsorted(self.value, value[near], "left")
             n = np.searchsorted(self.value, value[near], "right") - low
-            pos = np.repeat(at[near], n)
-            seed = self.at[np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)]
-            row, item = np.searchsorted(rows, pos, "right") - 1, self.item[seed]
-            diagonal = (pos - rows[row]) - (seed - self.rows[item])
-            out.update(zip(row.tolist(), item.tolist(), diagonal.tolist(), strict=True))
-        return out
+            near, low, n = near[n > 0], low[n > 0], n[n > 0]
+            cut = np.searchsorted(np.cumsum(n), np.arange(HITS, int(n.sum()) + HITS, HITS))
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(near)], strict=True):
+                own, first = n[a:b], low[a:b]
+                pos = np.repeat(at[near[a:b]], own)
+                seed = self.at[np.arange(int(own.sum())) + np.repeat(first - (np.cumsum(own) - own), own)]
+                row, item = np.searchsorted(rows, pos, "right") - 1, self.item[seed]
+                if len(pos):
+                    found.append(_different(row, item, (pos - rows[row]) - (seed - self.rows[item])))
+        return tuple(_different(*np.concatenate(found).T).T)
 
     def leaks(self, h: np.ndarray, rows: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int, int, int]]:
         """By (row, item): document start, item start, tokens, matching tokens, tokens of the item."""
         out: dict = {}
-        for row, item, diagonal in sorted(self.hits(h, rows)):
-            own = self.h[self.rows[item]:self.rows[item + 1]]
-            if run := best_run(h[rows[row]:rows[row + 1]], own, diagonal):
-                if run[3] > out.get((row, item), (0, 0, 0, 0))[3]:
-                    out[row, item] = (*run, len(own))
+        row, item, diagonal = self.hits(h, rows)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0)])) if len(row) else row
+        for a, b in zip(new, np.append(new, len(row))[1:], strict=True):
+            r, i = int(row[a]), int(item[a])
+            own = self.h[self.rows[i]:self.rows[i + 1]]
+            if run := best_of(h[rows[r]:rows[r + 1]], own, diagonal[a:b]):
+                out |= {(r, k): (*run, len(own)) for k in self.same[i]}
         return out
 
 
+def _different(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """The different triples, in order, as rows."""
+    order = np.lexsort((diagonal, item, row))
+    triples = np.column_stack((row, item, diagonal))[order].astype(np.int64)
+    new = np.ones(len(triples), bool)
+    new[1:] = (triples[1:] != triples[:-1]).any(axis=1)
+    return triples[new]
+
+
+def best_of(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int, int] | None:
+    """The best of best_run() over diagonals (ascending; of equal ones the first). A diagonal can't be the
+    best one if it holds fewer matches than the best so far, so the others are looked at by their
+    matches, most first, which are counted for many diagonals at once."""
+    if len(diagonals) == 1:
+        return best_run(doc, item, int(diagonals[0]))
+    matches, at = [], np.arange(len(item))
+    step = max(1, HITS // max(1, len(item)))
+    for k in range(0, len(diagonals), step):
+        place = diagonals[k:k + step, None] + at
+        there = (place >= 0) & (place < len(doc))
+        matches.append(((doc[np.clip(place, 0, len(doc) - 1)] == item) & there).sum(axis=1))
+    matches = np.concatenate(matches)
+    best, of = None, -1
+    order = np.lexsort((diagonals, -matches))
+    for k in order[matches[order] >= _need(len(item))].tolist():
+        if best and (matches[k] < best[3] or matches[k] == best[3] and diagonals[k] > of):
+            if matches[k] < best[3]:
+                break
+            continue
+        run = best_run(doc, item, int(diagonals[k]))
+        if run and (not best or run[3] > best[3] or run[3] == best[3] and diagonals[k] < of):
+            best, of = run, int(diagonals[k])
+    return best
+
+
+def _need(size: int) -> int:
+    """Matches that a leak of an item of so many tokens has at least."""
+    return size if size < SPAN else min(MATCH, int(np.ceil(SHARE * size)))
+
+
 def best_run(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int, int] | None:
     """The best run of doc[diagonal + i] against item[i], or all matches there, if that is a leak."""
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
@@ -129,7 +182,7 @@ def best_run(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
     end = int(np.argmax(score - np.minimum.accumulate(score)))
     start = int(np.argmin(score[:end + 1]))
     matched = int(same[start:end].sum())
-    need = len(item) if len(item) < SPAN else min(MATCH, int(np.ceil(SHARE * len(item))))
+    need = _need(len(item))
     at = np.flatnonzero(same)
     if len(item) >= SPAN and len(at) > matched and len(at) >= SHARE * len(item) - 1e-9:
         start, end, matched = int(at[0]), int(at[-1]) + 1, len(at)
@@ -237,9 +290,8 @@ def _joined(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
             out = []
             for r, diagonals in enumerate(batch.column(6).to_pylist()):
                 doc, item = h[off[r]:off[r + 1]], g[items_off[r]:items_off[r + 1]]
-                runs = [x for d in sorted(diagonals) if (x := best_run(doc, item, d))]
-                if runs:
-                    out.append(((r, r), (*max(runs, key=lambda x: x[3]), len(item))))
+                if run := best_of(doc, item, np.sort(np.array(diagonals, np.int64))):
+                    out.append(((r, r), (*run, len(item))))
             if out:
                 made = _record(out, batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 at = pa.array([x[0][0] for x in out])
