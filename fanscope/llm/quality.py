@@ -207,7 +207,7 @@ def fit(docs: DataFrame) -> Model:
     total = int(counts.sum())
     bound = int(min(1.0, SAMPLE / max(total, 1)) * (1 << 40))
     chosen = (docs.select(text_or_empty().alias("text"), F.xxhash64(F.lit(7), F.col("doc_id"), text_or_empty()).alias("h"))
-              .filter(F.pmod("h", F.lit(1 << 40)) < bound).orderBy("h"))
+              .filter(F.pmod("h", F.lit(1 << 40)) < bound).dropDuplicates(["h"]).orderBy("h"))  # repeated rows once
     rows = chosen.select("text").mapInArrow(sample, "pattern long, x binary").collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), 1 << BITS)
     return Model(patterns, fit_linear(x, np.array([patterns[r["pattern"]] for r in rows])))

@@ -15,8 +15,8 @@ label where there are more; no term is left out for a weak or rare dependence. A
 multiplied by its dependence (the root of chi-squared), less so if that is below what chance gives
 the strongest of so many terms. Document frequencies are counted over all documents.
 
-Examples are a bounded sample: about `EXAMPLES` rows, chosen by a hash of doc_id, half of them toxic
-if there are as many. Labels come from rows whose crc32(doc_id) mod 5 isn't 0; nothing but the text
+Examples are a bounded sample: about `EXAMPLES` rows, chosen by a hash of doc_id, one for each doc_id and
+label, half of them toxic if there are as many. Labels come from rows whose crc32(doc_id) mod 5 isn't 0; nothing but the text
 enters a score.
 
 Scale: two passes over the texts (frequencies, scores) without a shuffle of documents. The driver
@@ -240,10 +240,12 @@ def _examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int,
     toxic = min(counts.get(1, 0), EXAMPLES // 2)
     share = {1: toxic / max(counts.get(1, 0), 1), 0: min(1.0, (EXAMPLES - toxic) / max(counts.get(0, 0), 1))}
     bound = F.when(F.col("toxic") == 1, int(share[1] * (1 << 40))).otherwise(int(share[0] * (1 << 40)))
-    chosen = known.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40)) < bound)
+    # About EXAMPLES thin rows at most, as the sample's bound is a share of the counted rows.
+    chosen = known.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40)) < bound).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    # About EXAMPLES thin rows, as the sample's bound is a share of the counted rows.
-    return text.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), counts
+    # Of several rows of one doc_id the one whose text has the least hash.
+    found = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+    return found.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "toxic", "text"), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
