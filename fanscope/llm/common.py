@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -10,16 +12,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanscope.session import checkpoint_root
+from fanscope.sinks.runs import RunFolder, run_folder
 
 #: Bytes of text that one vectorised step handles at once, and rows at most. Rows are never cut:
 #: a longer text is a step of its own.
 STEP_BYTES, STEP_ROWS = 2 << 20, 1024
 
 
+#: The folders of the open scratch() blocks, and by application that of all work outside of them.
+_blocks: list[RunFolder] = []
+_folders: dict[str, RunFolder] = {}
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators keep within the block are deleted at its end, so results that read them
+    are to be written or collected before."""
+    with run_folder(spark, "llm") as folder:
+        _blocks.append(folder)
+        try:
+            yield
+        finally:
+            _blocks.remove(folder)
+
+
+def release() -> None:
+    """Delete the tables that operators kept outside of scratch() blocks; also done at the driver's exit."""
+    for folder in _folders.values():
+        with contextlib.suppress(Exception):  # the session may have ended; the folder's lease will
+            folder.release()
+    _folders.clear()
+
+
+atexit.register(release)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the storage that spark.checkpoint.dir names, which all executors share."""
-    return f"{checkpoint_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    if not _blocks and application not in _folders:
+        _folders[application] = RunFolder(spark, "llm")
+    return (_blocks[-1] if _blocks else _folders[application]).table(f"{name}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
