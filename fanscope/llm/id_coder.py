@@ -3,15 +3,19 @@
 Ids are cut into blocks of `BLOCK`, each coded on its own: it starts from a reset model and carries a
 checksum, so any block can be read, or found broken, without the others. Three predictions are
 mixed: an order-2 table guesses the id from the two before it, an order-1 table from the one before,
-and the order-0 prediction is the block's own table of frequencies. How likely either guess is
-right, given how sure both are, is learned as the block goes on; these are the mixing weights. The mixture drives a range coder with 48-bit state and 16-bit output.
+and the order-0 prediction is a table of frequencies, the prior that all blocks of a segment start from
+and that is sent once. The order-0 table is fixed; the guesses, and how likely either is right given
+how sure both are, are learned as the block goes on, `STRIDE` ids at a time; the latter are the mixing
+weights. The mixture drives a range coder with 64-bit state and 32-bit output.
 
 The steps of a block depend on each other, but blocks don't: NumPy codes up to `LANES` blocks side
-by side, one id of each in a step.
+by side, one id of each in a step. Within a stride the model stands still, so that the encoder finds
+its predictions for a whole stride at once.
 
-Format of a block, little endian: four 32-bit numbers (ids; crc32 of the ids as 32-bit numbers;
-bytes of the table; 16-bit words of code), the table (zlib: gaps between the distinct ids, 32 bits
-each, then their frequencies less 1, 16 bits each; these add up to 2**13), the code.
+Format, little endian. A segment: three 32-bit numbers (blocks; bytes of the table; its crc32), the
+table (zlib: gaps between the distinct ids, then their frequencies less 1, 32 bits each; frequencies add up
+to 2**FREQ_BITS), then its blocks: three 32-bit numbers (ids; crc32 of the ids as 32-bit numbers; 32-bit
+words of code), the code.
 """
 
 from __future__ import annotations
@@ -21,43 +25,93 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 1 << 13, 1024
+BLOCK, LANES, STRIDE = 1 << 13, 1024, 32
 #: Ids of a block at least, and blocks that there should be, while ids are few.
-SMALL, WIDE = 1 << 10, 256
-FREQ_BITS, MIX_BITS = 13, 12
-#: Slots of the order-1 and order-2 tables, and how sure a slot gets.
-SLOTS_1, SLOTS_2, SURE = 1 << 11, 1 << 12, 3  # the places() below keep 11 and 12 bits
-#: An outcome moves a mixing weight by 2**-RATE of what is missing.
-RATE = 5
-_HEAD = struct.Struct("<IIII")
+SMALL, WIDE = 1 << 10, 512
+FREQ_BITS, MIX_BITS = 17, 12
+#: Distinct ids of a segment at most, and numbers of ids that can be guessed (the most frequent ones).
+MOST, GUESSED = 1 << 16, 1 << 14
+#: Slots of the order-1 and order-2 tables (the places() below keep 11 and 12 bits), and how sure a slot gets.
+SLOTS_1, SLOTS_2, SURE = 1 << 11, 1 << 12, 3
+#: The outcomes of a stride move a mixing weight by 2**-RATE each of what is missing.
+RATE = 6
+_SEGMENT, _HEAD = struct.Struct("<III"), struct.Struct("<III")
 _STATES = (SURE + 1) ** 2
-_UP = np.int32((1 << MIX_BITS) - 1 >> RATE)
-_WIDE, _LOW = np.uint64(48), np.uint64((1 << 32) - 1)
+#: A range at or below this is renewed by a word; one id takes 29 bits at most, so one word always does.
+_LOW, _32, _ALL = np.uint64((1 << 32) - 1), np.uint64(32), np.uint64((1 << 64) - 1)
 
 
 class BrokenBlock(ValueError):
     """A block whose checksum or layout is wrong."""
 
 
-def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids, their frequencies (sum 2**FREQ_BITS, none 0), and the ids as numbers of these."""
-    distinct, symbol, count = np.unique(ids, return_inverse=True, return_counts=True)
-    freq = np.maximum(1, (count << FREQ_BITS) // len(ids))
-    over = int(freq.sum()) - (1 << FREQ_BITS)
-    order = np.argsort(-freq, kind="stable")
-    while over > 0:  # take from the most frequent
-        spare = freq[order] - 1
-        take = np.minimum(spare, np.maximum(1, over * freq[order] // max(int(freq.sum()), 1)))
-        take = np.minimum(take, np.maximum(0, over - (np.cumsum(take) - take)))
-        freq[order] -= take
-        over -= int(take.sum())
-    freq[order[0]] -= over
-    return distinct, freq, symbol
+class Prior:
+    """Distinct ids and their frequencies (sum 2**FREQ_BITS, none 0). Symbols count from 1, the most
+    frequent first; freq and before (the sum of the frequencies before) go by symbol."""
+
+    def __init__(self, distinct: np.ndarray, freq: np.ndarray):
+        self.distinct, self.sent = distinct, freq
+        order = np.argsort(-freq, kind="stable")
+        self.ids = np.concatenate([[0], distinct[order]]).astype(np.uint32)
+        self.freq = np.concatenate([[0], freq[order]])
+        self.before = np.cumsum(self.freq) - self.freq
+        self.number = np.empty(len(freq), np.int64)
+        self.number[order] = np.arange(1, len(freq) + 1)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Prior | None:
+        """Of the ids that it is to code; None if they are too many different ones."""
+        if len(ids) and int(ids.max()) < 1 << 20:
+            count = np.bincount(ids)
+            distinct = np.flatnonzero(count)
+            count = count[distinct]
+        else:
+            distinct, count = np.unique(ids, return_counts=True)
+        if len(distinct) > MOST:
+            return None
+        freq = np.maximum(1, (count.astype(np.int64) << FREQ_BITS) // len(ids))
+        over = int(freq.sum()) - (1 << FREQ_BITS)
+        order = np.argsort(-freq, kind="stable")
+        while over > 0:  # take from the most frequent
+            spare = freq[order] - 1
+            take = np.minimum(spare, np.maximum(1, over * freq[order] // max(int(freq.sum()), 1)))
+            take = np.minimum(take, np.maximum(0, over - (np.cumsum(take) - take)))
+            freq[order] -= take
+            over -= int(take.sum())
+        freq[order[0]] -= over
+        return cls(distinct.astype(np.int64), freq)
+
+    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        if len(self.distinct) and self.distinct[-1] < 1 << 20:
+            table = np.zeros(int(self.distinct[-1]) + 1, np.int32)
+            table[self.distinct] = self.number
+            return table[ids]
+        return self.number[np.searchsorted(self.distinct, ids)].astype(np.int32)
+
+    def lookup(self) -> np.ndarray:
+        """The symbol of each of the 2**FREQ_BITS units."""
+        return np.repeat(np.arange(len(self.freq), dtype=np.int64), self.freq)
+
+    def pack(self) -> bytes:
+        gaps = np.diff(self.distinct, prepend=0)
+        return zlib.compress(gaps.astype("<u4").tobytes() + (self.sent - 1).astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Prior:
+        try:
+            raw = zlib.decompress(data)
+        except zlib.error as e:
+            raise BrokenBlock(str(e)) from e
+        gaps, freq = np.split(np.frombuffer(raw[:len(raw) // 8 * 8], "<u4").astype(np.int64), 2)
+        freq = freq + 1
+        if not len(freq) or len(raw) != 8 * len(freq) or freq.sum() != 1 << FREQ_BITS:
+            raise BrokenBlock("wrong table")
+        return cls(np.cumsum(gaps), freq)
 
 
 class _Mixer:
-    """The adaptive part of the model, for blocks side by side; symbols count from 1. A slot holds a
-    guess and, in its two lowest bits, how sure it is (0: empty)."""
+    """The adaptive part of the model, for blocks side by side. A slot holds a guess (a symbol) and, in
+    its two lowest bits, how sure it is (0: empty)."""
 
     def __init__(self, lanes: int):
         self.base_1, self.base_2 = np.arange(lanes) * SLOTS_1, np.arange(lanes) * SLOTS_2
@@ -65,8 +119,8 @@ class _Mixer:
         self.base = np.arange(lanes) * _STATES
         start = np.array([0, 400, 1200, 2400])
         # Shares of 2**12, by how sure the guesses of order 2 and 1 are: how often either is right.
-        self.share_2 = np.tile(np.repeat(start, SURE + 1), lanes).astype(np.int32)
-        self.share_1 = np.tile(np.tile(start // 2, SURE + 1), lanes).astype(np.int32)
+        self.share_2 = np.tile(np.repeat(start, SURE + 1), lanes).astype(np.int64)
+        self.share_1 = np.tile(np.tile(start // 2, SURE + 1), lanes).astype(np.int64)
 
     def places(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slots of order 1 and 2 after these symbols (lanes last)."""
@@ -77,35 +131,24 @@ class _Mixer:
         return self.base_1[:lanes] + (h >> np.uint32(21)), self.base_2[:lanes] + (g >> np.uint32(20))
 
     def predict(self, at_1: np.ndarray, at_2: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Guesses of order 2 and 1 (0: none), and the shares of 2**12 that they get."""
-        self.at_1, self.at_2 = at_1, at_2
-        self.slot_1, self.slot_2 = slot_1, slot_2 = self.slots_1[at_1], self.slots_2[at_2]
-        self.n_1, self.n_2 = n_1, n_2 = slot_1 & SURE, slot_2 & SURE
-        self.s_1, self.s_2 = s_1, s_2 = slot_1 >> 2, slot_2 >> 2
-        self.state = state = self.base[:len(at_1)] + ((n_2 << 2) + n_1)
-        self.two, self.one = two, one = self.share_2[state], self.share_1[state]
-        return s_2, s_1, two, ((1 << MIX_BITS) - two) * one >> MIX_BITS
-
-    def update(self, x: np.ndarray) -> None:
-        """Learn the symbols that followed."""
-        two, one = self.two, self.one
-        hit_1, hit_2 = self.s_1 == x, self.s_2 == x
-        self.share_2[self.state] = two - (two >> RATE) + hit_2 * _UP
-        self.share_1[self.state] = one - (one >> RATE) + hit_1 * _UP
-        new = (x << 2) + 1
-        n_1, n_2 = self.n_1, self.n_2
-        self.slots_1[self.at_1] = np.where(hit_1, self.slot_1 + (n_1 < SURE), np.where(n_1 <= 1, new, self.slot_1 - 1))
-        self.slots_2[self.at_2] = np.where(hit_2, self.slot_2 + (n_2 < SURE), np.where(n_2 <= 1, new, self.slot_2 - 1))
-
-
-def _tables(parts: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Symbols of the widest lane; frequencies and their sums before, lane after lane."""
-    width = max(len(f) for f in parts)
-    freq, before = np.zeros((len(parts), width), np.uint16), np.zeros((len(parts), width), np.uint16)
-    for k, f in enumerate(parts):
-        freq[k, :len(f)] = f
-        before[k, :len(f)] = np.cumsum(f) - f
-    return width, freq.ravel(), before.ravel()
+        """The slots of order 2 and 1, the state, and the shares of 2**12 that the guesses get."""
+        slot_1, slot_2 = self.slots_1.take(at_1, mode="clip"), self.slots_2.take(at_2, mode="clip")
+        state = self.base[:at_1.shape[-1]] + (((slot_2 & SURE) << 2) + (slot_1 & SURE))
+        two = self.share_2.take(state, mode="clip")
+        return slot_2, slot_1, state, two, ((1 << MIX_BITS) - two) * self.share_1.take(state, mode="clip") >> MIX_BITS
+
+    def update(self, at_1: np.ndarray, at_2: np.ndarray, slot_2: np.ndarray, slot_1: np.ndarray, state: np.ndarray,
+               x: np.ndarray) -> None:
+        """Learn the symbols x of a stride (ids, lanes). Of several outcomes at one slot the last stays."""
+        guess = x < GUESSED
+        new = np.where(guess, (x << 2) + 1, 0).astype(np.uint16)
+        size = len(self.share_2)
+        often = np.bincount(state.ravel(), minlength=size)
+        for slots, at, slot, share in ((self.slots_1, at_1, slot_1, self.share_1), (self.slots_2, at_2, slot_2, self.share_2)):
+            hit, sure = (slot >> 2) == x, slot & SURE
+            hits = np.bincount(state[hit], minlength=size)
+            share += ((hits << MIX_BITS) - hits - often * share) >> RATE
+            slots[at] = np.where(hit, slot + (sure < SURE), np.where(sure <= 1, new, slot - 1))
 
 
 def _lanes_at(sizes: np.ndarray) -> list[tuple[int, int, int]]:
@@ -115,131 +158,117 @@ def _lanes_at(sizes: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(a), int(b), int((sizes >= b).sum())) for a, b in zip(starts, ends, strict=True)]
 
 
-def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
+def _carry(out: np.ndarray, at: int) -> None:
+    """Add 1 to the words before `at`."""
+    p = at - 1
+    while out[p] == 0xFFFFFFFF:
+        out[p] = 0
+        p -= 1
+    out[p] += 1
+
+
+def _encode_lanes(prior: Prior, blocks: list[np.ndarray]) -> list[bytes]:
     """Blocks (sizes descending, none empty), coded side by side."""
-    parts = [frequencies(b) for b in blocks]
     lanes, sizes = len(blocks), np.array([len(b) for b in blocks])
-    width, freq, before = _tables([f for _, f, _ in parts])
     symbols = np.zeros((int(sizes[0]) + 2, lanes), np.int32)  # two of 0 come first
-    for k, (_, _, s) in enumerate(parts):
-        symbols[2:len(s) + 2, k] = s + 1
-    table = np.arange(lanes) * width - 1
+    for k, b in enumerate(blocks):
+        symbols[2:len(b) + 2, k] = prior.symbols(b)
     mixer = _Mixer(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    # One id takes 25 bits at most, and rounding a little.
-    room = int(sizes[0]) * 2 + 16
-    out, at = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
-    carried, shift_f, shift_t = np.uint64(1 << 48), FREQ_BITS, np.uint64(FREQ_BITS + MIX_BITS)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
+    room = int(sizes[0]) + 16
+    out, at = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
+    shift = np.uint64(FREQ_BITS + MIX_BITS)
+    freq, before = prior.freq, prior.before
     for start, end, k in _lanes_at(sizes):
         low_k, span_k, at_k = low[:k], span[:k], at[:k]  # views
-        for i in range(start, end):
-            if (i - start) % 512 == 0:  # what doesn't depend on the model's state, for many steps at once
-                some, j = symbols[i + 2:min(i + 512, end) + 2, :k], 0
-                slots_1, slots_2 = mixer.places(symbols[i + 1:i + 1 + len(some), :k], symbols[i:i + len(some), :k])
-                place = table[:k] + some
-                freqs, befores = freq[place], before[place]
-            x = some[j]
-            s_2, s_1, two, one = mixer.predict(slots_1[j], slots_2[j])
-            by_2, by_1 = s_2 == x, (s_1 == x) & (one > 0)
+        for i in range(start, end, STRIDE):
+            x = symbols[i + 2:min(i + STRIDE, end) + 2, :k]
+            at_1, at_2 = mixer.places(symbols[i + 1:i + 1 + len(x), :k], symbols[i:i + len(x), :k])
+            slot_2, slot_1, state, two, one = mixer.predict(at_1, at_2)
+            by_2, by_1 = ((slot_2 >> 2) == x) & (two > 0), ((slot_1 >> 2) == x) & (one > 0)
             both = two + one
             rest = (1 << MIX_BITS) - both
-            size = np.where(by_2, two << shift_f, np.where(by_1, one << shift_f, rest * freqs[j]))
-            first = np.where(by_2, 0, np.where(by_1, two << shift_f, (both << shift_f) + rest * befores[j]))
-            j += 1
-            unit = span_k >> shift_t
-            low_k += first.astype(np.uint64) * unit
-            span_k[:] = size.astype(np.uint64) * unit
-            over = low_k >= carried
-            if over.any():
-                for lane in np.flatnonzero(over):
-                    p = at_k[lane] - 1
-                    while out[p] == 0xFFFF:
-                        out[p] = 0
-                        p -= 1
-                    out[p] += 1
-                low_k[over] -= carried
-            thin = np.flatnonzero(span_k <= _LOW)
-            while len(thin):
-                part, to = low_k[thin], at_k[thin]
-                out[to] = part >> np.uint64(32)
-                at_k[thin] = to + 1
-                low_k[thin] = (part & _LOW) << np.uint64(16)
-                wide = span_k[thin] << np.uint64(16)
-                span_k[thin] = wide
-                thin = thin[wide <= _LOW]
-            mixer.update(x)
+            size = np.where(by_2, two << FREQ_BITS, np.where(by_1, one << FREQ_BITS, rest * freq.take(x, mode="clip")))
+            first = np.where(by_1, two << FREQ_BITS, (both << FREQ_BITS) + rest * before.take(x, mode="clip"))
+            first[by_2] = 0
+            size, first = size.view(np.uint64), first.view(np.uint64)
+            for j in range(len(x)):
+                unit = span_k >> shift
+                add = first[j] * unit
+                low_k += add
+                np.multiply(size[j], unit, out=span_k)
+                over = low_k < add
+                if over.any():
+                    for lane in over.nonzero()[0]:
+                        _carry(out, at_k[lane])
+                thin = (span_k <= _LOW).nonzero()[0]
+                if len(thin):
+                    part, to = low_k[thin], at_k[thin]
+                    out[to] = part >> _32
+                    at_k[thin] = to + 1
+                    low_k[thin] = part << _32
+                    span_k[thin] <<= _32
+            mixer.update(at_1, at_2, slot_2, slot_1, state, x)
     made = []
-    for k, (distinct, f, _) in enumerate(parts):
-        code = out[k * room:int(at[k])].astype("<u2").tobytes()
-        code += struct.pack("<HHH", *(int(low[k]) >> s & 0xFFFF for s in (32, 16, 0)))
-        gaps = np.diff(distinct.astype(np.int64), prepend=0).astype("<u4")
-        head = zlib.compress(gaps.tobytes() + (f - 1).astype("<u2").tobytes(), 6)
-        crc = zlib.crc32(blocks[k].astype("<u4").tobytes())
-        made.append(_HEAD.pack(len(blocks[k]), crc, len(head), len(code) // 2) + head + code)
+    for k, b in enumerate(blocks):
+        # One more word is within the range, and what follows it may be zeros.
+        last = (int(low[k]) >> 32) + 1
+        if last >> 32:
+            _carry(out, at[k])
+        out[at[k]] = last & 0xFFFFFFFF
+        code = out[k * room:int(at[k]) + 1].astype("<u4").tobytes()
+        made.append(_HEAD.pack(len(b), zlib.crc32(b.astype("<u4").tobytes()), len(code) // 4) + code)
     return made
 
 
-def _decode_lanes(blocks: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarray]:
-    """Blocks (ids descending, checksum, table, code) to their ids."""
-    parts = []
-    for n, _, head, _ in blocks:
-        try:
-            raw = zlib.decompress(head)
-        except zlib.error as e:
-            raise BrokenBlock(str(e)) from e
-        m = len(raw) // 6
-        f = np.frombuffer(raw[4 * m:], "<u2").astype(np.int64) + 1
-        if not m or len(raw) != 6 * m or f.sum() != 1 << FREQ_BITS:
-            raise BrokenBlock("wrong table")
-        parts.append((np.cumsum(np.frombuffer(raw[:4 * m], "<u4").astype(np.int64)), f))
+def _decode_lanes(prior: Prior, blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+    """Blocks (ids descending, checksum, code) to their ids."""
     lanes, sizes = len(blocks), np.array([b[0] for b in blocks])
-    width, freq, before = _tables([f for _, f in parts])
-    table = np.arange(lanes) * width - 1
-    slot = np.concatenate([np.repeat(np.arange(1, len(f) + 1, dtype=np.uint16), f) for _, f in parts])
-    slot_at = np.arange(lanes) << FREQ_BITS
-    size = np.array([len(c) // 2 + 8 for *_, c in blocks])
+    lookup, freq, before = prior.lookup(), prior.freq, prior.before
+    size = np.array([len(c) // 4 + 8 for *_, c in blocks])
     words = np.zeros(int(size.sum()), np.uint64)
     at = np.cumsum(size) - size
     for k, (*_, c) in enumerate(blocks):
-        words[at[k]:at[k] + len(c) // 2] = np.frombuffer(c, "<u2")
+        words[at[k]:at[k] + len(c) // 4] = np.frombuffer(c, "<u4")
     bound = len(words) - 1
-    code = (words[at] << np.uint64(32)) + (words[at + 1] << np.uint64(16)) + words[at + 2]
-    at += 3
-    mixer, span = _Mixer(lanes), np.full(lanes, 1 << 48, np.uint64)
-    symbols = np.zeros((int(sizes[0]) + 2, lanes), np.int32)
-    top_f, shift_t = (1 << FREQ_BITS) - 1, np.uint64(FREQ_BITS + MIX_BITS)
+    code = (words[at] << _32) + words[at + 1]
+    at += 2
+    mixer, span = _Mixer(lanes), np.full(lanes, _ALL)
+    symbols = np.zeros((int(sizes[0]) + 2, lanes), np.int64)
+    shift = np.uint64(FREQ_BITS + MIX_BITS)
     for start, end, k in _lanes_at(sizes):
         code_k, span_k, at_k = code[:k], span[:k], at[:k]
-        table_k, slot_k = table[:k], slot_at[:k]
-        for i in range(start, end):
-            s_2, s_1, two, one = mixer.predict(*mixer.places(symbols[i + 1, :k], symbols[i, :k]))
-            both = two + one
-            rest = (1 << MIX_BITS) - both
-            unit = span_k >> shift_t
-            t = (code_k // unit).astype(np.int32)  # below 2**25, but for what rounding leaves at the end
-            two_t, both_t = two << FREQ_BITS, both << FREQ_BITS
-            by_2 = t < two_t
-            by_1 = t < both_t
-            found = np.minimum(np.maximum(t - both_t, 0) // rest, top_f)
-            x = np.where(by_2, s_2, np.where(by_1, s_1, slot[slot_k + found]))
-            place = table_k + x
-            size_k = np.where(by_2, two_t, np.where(by_1, one << FREQ_BITS, rest * freq[place]))
-            first = np.where(by_2, 0, np.where(by_1, two_t, both_t + rest * before[place]))
-            code_k -= first.astype(np.uint64) * unit
-            span_k[:] = size_k.astype(np.uint64) * unit
-            thin = np.flatnonzero(span_k <= _LOW)
-            while len(thin):
-                p = np.minimum(at_k[thin], bound)
-                code_k[thin] = (code_k[thin] << np.uint64(16)) | words[p]
-                at_k[thin] = p + 1
-                wide = span_k[thin] << np.uint64(16)
-                span_k[thin] = wide
-                thin = thin[wide <= _LOW]
-            symbols[i + 2, :k] = x
-            mixer.update(x)
+        for i in range(start, end, STRIDE):
+            seen: list[tuple] = []
+            for j in range(i, min(i + STRIDE, end)):
+                at_1, at_2 = mixer.places(symbols[j + 1, :k], symbols[j, :k])
+                slot_2, slot_1, state, two, one = mixer.predict(at_1, at_2)
+                both = two + one
+                rest = (1 << MIX_BITS) - both
+                unit = span_k >> shift
+                t = (code_k // unit).view(np.int64)  # below 2**29, but for what rounding leaves at the end
+                two_t, both_t = two << FREQ_BITS, both << FREQ_BITS
+                by_2, by_1 = t < two_t, t < both_t
+                found = (t - both_t) // rest
+                x = np.where(by_2, slot_2 >> 2, np.where(by_1, slot_1 >> 2, lookup.take(found, mode="clip")))
+                first = np.where(by_1, two_t, both_t + rest * before.take(x, mode="clip"))
+                first[by_2] = 0
+                part = np.where(by_2, two_t, np.where(by_1, both_t - two_t, rest * freq.take(x, mode="clip")))
+                code_k -= first.view(np.uint64) * unit
+                np.multiply(part.view(np.uint64), unit, out=span_k)
+                thin = (span_k <= _LOW).nonzero()[0]
+                if len(thin):
+                    p = np.minimum(at_k[thin], bound)
+                    code_k[thin] = (code_k[thin] << _32) | words[p]
+                    at_k[thin] = p + 1
+                    # A range of 0 comes of damage alone; the checksum will tell.
+                    span_k[thin] = np.maximum(span_k[thin] << _32, _LOW)
+                symbols[j + 2, :k] = x
+                seen.append((at_1, at_2, slot_2, slot_1, state))
+            mixer.update(*map(np.array, zip(*seen, strict=True)), symbols[i + 2:i + 2 + len(seen), :k])
     out = []
-    for k, (distinct, _) in enumerate(parts):
-        ids = distinct[np.clip(symbols[2:sizes[k] + 2, k], 1, len(distinct)) - 1].astype(np.uint32)
+    for k in range(lanes):
+        ids = prior.ids[np.clip(symbols[2:sizes[k] + 2, k], 0, len(prior.ids) - 1)]
         if zlib.crc32(ids.astype("<u4").tobytes()) != blocks[k][1]:
             raise BrokenBlock("wrong checksum")
         out.append(ids)
@@ -247,30 +276,60 @@ def _decode_lanes(blocks: list[tuple[int, int, bytes, bytes]]) -> list[np.ndarra
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """Ids (below 2**32), as blocks one after the other. Few ids make smaller blocks, so that many are
-    coded side by side."""
+    """Ids (below 2**32), as segments one after the other: one, unless there are more than `MOST`
+    different ones. Few ids make smaller blocks, so that many are coded side by side."""
+    if not len(ids):
+        return b""
+    prior = Prior.of(ids)
+    if prior is None:
+        half = len(ids) // 2
+        return encode(ids[:half]) + encode(ids[half:])
     size = min(BLOCK, max(SMALL, -(-len(ids) // WIDE)))
     blocks = [ids[at:at + size] for at in range(0, len(ids), size)]
-    return b"".join(x for at in range(0, len(blocks), LANES) for x in _encode_lanes(blocks[at:at + LANES]))
+    table = prior.pack()
+    made = [x for at in range(0, len(blocks), LANES) for x in _encode_lanes(prior, blocks[at:at + LANES])]
+    return b"".join([_SEGMENT.pack(len(blocks), len(table), zlib.crc32(table)), table, *made])
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids of all blocks; BrokenBlock if any is damaged."""
-    blocks, at = [], 0
+def segments(data: bytes) -> list[tuple[Prior, list[tuple[int, int, bytes]]]]:
+    """The prior and the blocks (ids, checksum, code) of each segment; BrokenBlock where the layout is wrong."""
+    out, at = [], 0
     while at < len(data):
-        if at + _HEAD.size > len(data):
+        if at + _SEGMENT.size > len(data):
             raise BrokenBlock("cut short")
-        n, crc, table, words = _HEAD.unpack_from(data, at)
-        at += _HEAD.size
-        if not 0 < n <= BLOCK or at + table + 2 * words > len(data):
-            raise BrokenBlock("wrong layout")
-        blocks.append((n, crc, data[at:at + table], data[at + table:at + table + 2 * words]))
-        at += table + 2 * words
+        n, size, crc = _SEGMENT.unpack_from(data, at)
+        at += _SEGMENT.size
+        table = data[at:at + size]
+        if zlib.crc32(table) != crc:
+            raise BrokenBlock("wrong table")
+        at += size
+        blocks = []
+        for _ in range(n):
+            if at + _HEAD.size > len(data):
+                raise BrokenBlock("cut short")
+            ids, check, words = _HEAD.unpack_from(data, at)
+            at += _HEAD.size
+            if not 0 < ids <= BLOCK or at + 4 * words > len(data):
+                raise BrokenBlock("wrong layout")
+            blocks.append((ids, check, data[at:at + 4 * words]))
+            at += 4 * words
+        out.append((Prior.unpack(table), blocks))
+    return out
+
+
+def decode_block(prior: Prior, block: tuple[int, int, bytes]) -> np.ndarray:
+    """The ids of one block; BrokenBlock if it is damaged."""
+    return _decode_lanes(prior, [block])[0]
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids of all blocks; BrokenBlock if any is damaged."""
     out = []
-    for k in range(0, len(blocks), LANES):
-        part = blocks[k:k + LANES]
-        order = sorted(range(len(part)), key=lambda j: -part[j][0])
-        ids = _decode_lanes([part[j] for j in order])
-        for j in np.argsort(order):
-            out.append(ids[j])
+    for prior, blocks in segments(data):
+        for k in range(0, len(blocks), LANES):
+            part = blocks[k:k + LANES]
+            order = sorted(range(len(part)), key=lambda j: -part[j][0])
+            ids = _decode_lanes(prior, [part[j] for j in order])
+            for j in np.argsort(order):
+                out.append(ids[j])
     return np.concatenate(out) if out else np.zeros(0, np.uint32)

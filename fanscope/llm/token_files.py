@@ -7,7 +7,7 @@ the blocks of `id_coder`. Part and segment give the order. Segments end with a d
 
 The tokenizer splits at white space before all else, so each distinct run without ASCII white space
 is encoded once a worker (up to `KEPT` are remembered) and looked up after that; the ids are those of
-the whole text.
+the whole text. Runs are found, and ids put together, for all texts of a batch at once.
 
 Scale: texts are shuffled once, by ranges of doc_id. Reading back needs no shuffle; where a document
 starts is found from the segments' sizes, first in their part, then over parts (a row for each part).
@@ -20,8 +20,6 @@ back; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,49 +30,133 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fanscope.llm import id_coder
-from fanscope.llm.common import parallelism, scratch_path, steps, text_or_empty
+from fanscope.llm.common import STEP_BYTES, STEP_ROWS, parallelism, scratch_path, steps, text_or_empty, utf8
+from fanscope.llm.textvec import INK
 
-END, SEGMENT, KEPT = 2, id_coder.BLOCK * id_coder.LANES, 600_000
+END, SEGMENT, KEPT = 2, id_coder.BLOCK * id_coder.LANES, 800_000
 FILES = "part int, segment int, doc_ids array<bigint>, lengths array<bigint>, n_ids long, data binary"
 
 
+# The characters that byte-level vocabularies show bytes as: printable ones as
+# themselves, the others, in order, as those from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_ALNUM = ((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 48) & (_BYTES <= 57))
+#: ASCII punctuation but the apostrophe.
+_SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_ALNUM & ~((_BYTES >= 65) & (_BYTES <= 90)) & (_BYTES != 39)
+
+
 class Encoder:
     """Encodes texts by a tokenizer file, and remembers the ids of runs without white space.
 
     The tokenizer lowers case, and cuts signs off the end of a word before it merges. So case is
     lowered and signs are cut off here already where they follow an ASCII letter or digit (not
-    apostrophes, as it knows 's and the like), which leaves fewer different runs."""
-
-    _SIGNS = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?!\S)")
+    apostrophes, as it knows 's and the like), which leaves fewer different runs. Texts that may
+    hold names of special tokens stay as they are. A run of letters that the tokenizer neither changes
+    nor cuts is one word and goes straight to the merges."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
-        self.path, self.tokenizer, self.known = path, Tokenizer.from_file(path), {}
-
-    def _runs(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        if b"<|" not in raw:  # names of special tokens stay as they are
-            raw = self._SIGNS.sub(rb" \1", raw.lower())
-        return raw.split()  # at ASCII white space only
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, 32 bits each."""
-        runs = [self._runs(t) for t in texts]
-        new = list(set().union(*runs).difference(self.known))
-        if len(self.known) + len(new) > KEPT:
-            self.known, new = {}, list(set().union(*runs))
-        # A run of ASCII letters is one word, and goes straight to the merges.
-        plain = [r for r in new if r.isascii() and r.isalpha() and r.islower()]
-        other = list(set(new).difference(plain))
-        merge = self.tokenizer.model.tokenize
-        for run in plain:
-            ids = [t.id for t in merge(run.decode())]
-            self.known[run] = struct.pack(f"<{len(ids)}I", *ids)
-        found = self.tokenizer.encode_batch_fast([r.decode() for r in other], add_special_tokens=False)
-        for run, e in zip(other, found, strict=True):
-            self.known[run] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join(map(self.known.__getitem__, r)) for r in runs]
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        # The Latin letters of which this is so, found by trying them.
+        latin = [c for c in map(chr, range(97, 0x250)) if c.isalpha()]
+        tried = self.tokenizer.encode_batch_fast([f"a{c}{c}b" for c in latin], add_special_tokens=False)
+        self.letters = frozenset(c for c, e in zip(latin, tried, strict=True) if e.ids == self.merge(f"a{c}{c}b".encode()))
+        self._keep([])
+
+    def merge(self, word: bytes) -> list[int]:
+        """The ids of one word."""
+        shown = word.decode("latin-1")
+        return [t.id for t in self.tokenizer.model.tokenize(shown if word.isascii() else shown.translate(_SHOWN))]
+
+    def _keep(self, runs: list[bytes]) -> None:
+        """Forget all but these."""
+        made = [self.ids[self.start[k]:self.start[k] + self.size[k]].tolist() for k in map(self.known.__getitem__, runs)] if runs else []
+        self.known: dict[bytes, int] = {}  # the run's number
+        #: By number: where its ids are, how many, and in how many batches it was.
+        self.start, self.size, self.seen = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+        self._add(runs, made)
+
+    def _learn(self, runs: list[bytes]) -> None:
+        plain = [r for r in runs if self.letters.issuperset(r.decode())]
+        other = list(set(runs).difference(plain))
+        made = [self.merge(r) for r in plain]
+        made += [e.ids for e in self.tokenizer.encode_batch_fast([r.decode() for r in other], add_special_tokens=False)]
+        self._add(plain + other, made)
+
+    def _add(self, runs: list[bytes], made: list[list[int]]) -> None:
+        n, size = len(self.known), np.array([len(x) for x in made], np.int64)
+        while n + len(made) > len(self.start):
+            self.start, self.size, self.seen = (np.append(x, np.zeros_like(x)) for x in (self.start, self.size, self.seen))
+        new = np.fromiter((i for x in made for i in x), np.uint32, int(size.sum()))
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.used:self.used + len(new)] = new
+        self.size[n:n + len(made)] = size
+        self.start[n:n + len(made)] = self.used + np.cumsum(size) - size
+        self.used += len(new)
+        self.known.update(zip(runs, range(n, n + len(made)), strict=True))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of a string column, one after the other, and how many each text has."""
+        values, ends, rows = _runs(*utf8(column))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values)]).dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        if not len(runs):
+            return np.zeros(0, np.uint32), np.zeros(len(rows) - 1, np.int64)
+        if len(self.known) + len(runs) > KEPT:  # what was in one batch alone goes; all, if too much is left
+            often = [r for r, k in self.known.items() if self.seen[k] > 1]
+            self._keep(often if 2 * len(often) <= KEPT else [])
+        number = list(map(self.known.get, runs))
+        if None in number:
+            self._learn([r for r, k in zip(runs, number, strict=True) if k is None])
+            number = list(map(self.known.__getitem__, runs))
+        number = np.array(number, np.int64)
+        self.seen[number] += 1
+        number = number[coded.indices.to_numpy()]
+        size = self.size[number]
+        end = np.cumsum(size)
+        ids = self.ids[np.arange(int(end[-1])) + np.repeat(self.start[number] - (end - size), size)]
+        before = np.concatenate([[0], end])
+        return ids, np.diff(before[rows])
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs in rows of UTF-8 bytes: their bytes, one after the other, the offsets of each in these,
+    and the offsets of each row's runs."""
+    n = len(data)
+    if not n:
+        return data, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
+    new = np.zeros(n + 1, bool)  # where a row begins, and behind the last
+    new[offsets] = True
+    # Rows that may hold names of special tokens.
+    at = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    special = np.unique(np.searchsorted(offsets, at, "right") - 1)
+    low = _LOWER[data]
+    for r in special:
+        low[offsets[r]:offsets[r + 1]] = data[offsets[r]:offsets[r + 1]]
+    ink, sign = INK[low], _SIGN[low]
+    begins, ends = sign.copy(), sign.copy()  # of runs of signs
+    begins[1:] &= ~sign[:-1] | new[1:n]
+    ends[:-1] &= ~sign[1:] | new[1:n]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    after = np.append(~ink, True) | new
+    cut = after[ends + 1] & (begins > 0) & ~new[begins] & _ALNUM[low[begins - 1]]
+    cut = begins[cut]
+    if len(special) and len(cut):
+        cut = cut[~np.isin(np.searchsorted(offsets, cut, "right") - 1, special)]
+    start = ink.copy()
+    start[1:] &= ~ink[:-1] | new[1:n]
+    start[cut] = True
+    # Places in the bytes without white space.
+    place = np.concatenate([[0], np.cumsum(ink)])
+    first = np.flatnonzero(start)
+    return low[ink], np.append(place[first], place[-1]), np.searchsorted(first, offsets)
 
 
 _encoder: Encoder | None = None
@@ -94,30 +176,36 @@ def write_ids(docs: DataFrame, to: str, tokenizer: str, end: int = END) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment = TaskContext.get().partitionId(), 0
-        ids, sizes, data, n = [], [], [], 0
+        doc_ids, sizes, data, n = [], [], [], 0
 
         def record() -> pa.RecordBatch:
-            coded = id_coder.encode(np.frombuffer(b"".join(data), "<u4"))
+            coded = id_coder.encode(np.concatenate(data))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([ids], pa.list_(pa.int64())),
+                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())),
                  pa.array([sizes], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([coded], pa.binary())],
                 names=["part", "segment", "doc_ids", "lengths", "n_ids", "data"])
 
-        for batch in steps(batches):
-            for doc_id, made in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1).to_pylist()),
-                                    strict=True):
-                ids.append(doc_id)
-                sizes.append(len(made) // 4 + 1)
-                data += (made, last)
-                n += sizes[-1]
+        for batch in steps(batches, max_bytes=2 * STEP_BYTES, max_rows=4 * STEP_ROWS):
+            ids, size = encoder(tokenizer).encode(batch.column(1))
+            ids = np.insert(ids, np.cumsum(size), end)
+            at, stop = 0, np.cumsum(size + 1)
+            known = batch.column(0).to_pylist()
+            while at < len(stop):
+                # Documents up to the one that fills the segment.
+                done = int(stop[at - 1]) if at else 0
+                to_doc = min(int(np.searchsorted(stop, done + SEGMENT - n)) + 1, len(stop))
+                doc_ids += known[at:to_doc]
+                sizes += (size[at:to_doc] + 1).tolist()
+                data.append(ids[done:stop[to_doc - 1]])
+                n += len(data[-1])
+                at = to_doc
                 if n >= SEGMENT:
                     yield record()
-                    ids, sizes, data, n, segment = [], [], [], 0, segment + 1
-        if ids:
+                    doc_ids, sizes, data, n, segment = [], [], [], 0, segment + 1
+        if doc_ids:
             yield record()
 
     rows.mapInArrow(run, FILES).write.parquet(to)

@@ -42,17 +42,45 @@ def test_contexts_pay(monkeypatch):
 
 
 def test_blocks_are_independent_and_checked():
+    """Any block is read from the segment's prior and its own bytes; a broken one is found, and the
+    others are read."""
     ids = np.random.default_rng(5).integers(0, 1000, 3 * C.BLOCK).astype(np.uint32)
-    blocks = [C.encode(ids[k * C.BLOCK:(k + 1) * C.BLOCK]) for k in range(3)]
-    assert b"".join(blocks) == C.encode(ids)
-    assert (C.decode(blocks[1]) == ids[C.BLOCK:2 * C.BLOCK]).all()
-    for at in (5, len(blocks[1]) // 2, len(blocks[1]) - 9):
-        broken = bytearray(blocks[1])
+    data, size = C.encode(ids), C.SMALL
+    (prior, blocks), = C.segments(data)
+    assert [n for n, *_ in blocks] == [size] * (len(ids) // size)
+    for k in (1, len(blocks) - 1, 0):
+        assert (C.decode_block(prior, blocks[k]) == ids[k * size:(k + 1) * size]).all()
+    n, crc, code = blocks[1]
+    for at in (0, 5, len(code) // 2, len(code) - 5):
+        broken = bytearray(code)
         broken[at] ^= 0x5A
         with pytest.raises(C.BrokenBlock):
-            C.decode(bytes(broken))
-    with pytest.raises(C.BrokenBlock):
-        C.decode(blocks[1][:-3])
+            C.decode_block(prior, (n, crc, bytes(broken)))
+        whole = data.replace(code, bytes(broken))
+        with pytest.raises(C.BrokenBlock):
+            C.decode(whole)
+        (_, others), = C.segments(whole)
+        assert (C.decode_block(prior, others[2]) == ids[2 * size:3 * size]).all()
+    for bad in (data[:-3], data[:20], data[:12] + b"?" + data[13:]):
+        with pytest.raises(C.BrokenBlock):
+            C.decode(bad)
+
+
+def test_more_ids_than_one_table_holds(monkeypatch):
+    monkeypatch.setattr(C, "MOST", 100)
+    ids = np.random.default_rng(6).permutation(1000).astype(np.uint32)
+    assert len(C.segments(C.encode(ids))) >= 10 and (C.decode(C.encode(ids)) == ids).all()
+
+
+def test_real_text_takes_fewer_bits_than_its_entropy():
+    """Ids of given texts, against the order-0 entropy of all of them (which a coder would need if it
+    had their frequencies for nothing)."""
+    import pyarrow.parquet as pq
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    ids, _ = T.encoder(VOCABULARY).encode(texts.slice(0, 2500))
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    entropy = -(share * np.log2(share)).sum()
+    assert 8 * len(C.encode(ids)) / len(ids) < 0.98 * entropy
 
 
 def whole_text(texts):
@@ -61,19 +89,33 @@ def whole_text(texts):
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def each(encoder, texts):
+    import pyarrow as pa
+    ids, size = encoder.encode(pa.array(texts, pa.string()))
+    assert size.sum() == len(ids)
+    return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] if texts else []
+
+
 def test_the_encoder_gives_the_ids_of_whole_texts():
     texts = ["Hello, World!! it's IT'S don't... 'quoted' x's' a''s", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b.",
              "É́ éte ΑΣ ΟΔΟΣ. Σ!", "İstanbul İ. İ. ﬁne ＡＢＣ", "a b c\x1cd\x85e 　 ́x", "naïve-test 123,456.78 a1b2 ١٢٣",
              "中文 字。 👍🏽!!", "foo--bar__baz (x) [y]. 'S's", "Ǆ ß! ẞ!", "o'clock's, L'Été. d'", "a'.", "rock'n'roll!'", "", TEXT]
     encoder = T.Encoder(VOCABULARY)
     for _ in range(2):  # unknown, then known
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == whole_text(texts)
+        assert each(encoder, texts) == whole_text(texts)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_the_encoder_on_any_text(text):
-    assert np.frombuffer(T.encoder(VOCABULARY).encode([text])[0], "<u4").tolist() == whole_text([text])[0]
+    assert each(T.encoder(VOCABULARY), [text, "a.", text]) == whole_text([text, "a.", text])
+
+
+def test_the_encoder_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(T, "KEPT", 3)
+    encoder = T.Encoder(VOCABULARY)
+    for texts in (["one two three four", "two. five!"], [None, "", " "], ["six", "one two"], []):
+        assert each(encoder, texts) == whole_text(texts)
 
 
 def test_files_against_brute_force(spark, tmp_path, monkeypatch):
