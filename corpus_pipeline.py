@@ -10,6 +10,11 @@ as the next stage's documents. All but the last return the columns of documents:
 5. token ids: texts become files of coded token ids, and what is returned is read from these.
 
 The tables between stages are in the folder that spark.checkpoint.dir names.
+
+Defined cases: a null text counts as empty, and texts without words get a bad vote in the first stage; rows without a doc_id or source
+are documents like others; a repeated row is a copy of the first, of which the second stage keeps one;
+of near copies that tie in doc_id one stays; columns beside doc_id, text and source, whatever their names,
+are carried along to the last stage; a table without rows gives none at every stage.
 """
 
 from __future__ import annotations
@@ -21,22 +26,27 @@ from fanscope.llm.common import read_table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier keeps."""
     return quality.without_rejected(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that with the smallest doc_id."""
     return ngram_join.one_of_each_class(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no passage of a benchmark item."""
     return decontam.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (0 to 3 times)."""
     return mixing.mixed(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files say of each document: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
     return token_files.written_and_read(docs, public_tokenizers.path("word_bpe_49k.json"))
