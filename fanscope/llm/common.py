@@ -44,13 +44,12 @@ def release() -> None:
     _folders.clear()
 
 
-atexit.register(release)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the storage that spark.checkpoint.dir names, which all executors share."""
     application = spark.sparkContext.applicationId
     if not _blocks and application not in _folders:
+        if not _folders:
+            atexit.register(release)
         _folders[application] = RunFolder(spark, "llm")
     return (_blocks[-1] if _blocks else _folders[application]).table(f"{name}-{uuid.uuid4().hex}")
 
