@@ -46,7 +46,7 @@ from pyspark.sql.types import BinaryType, StringType
 from fanscope.operators import affinity, avidity, census, edge, factors, profiles, region, slices, topic
 from fanscope.operators.joins import Spread, bounded_broadcast, heavy_keys
 from fanscope.params import AffinityParams
-from fanscope.sinks import input_fingerprint, materialize
+from fanscope.sinks import input_fingerprint, materialize, write_ranked_report
 from fanscope.sinks.buckets import ByPerson, kept_by_person, split_by_weight
 from fanscope.sinks.runs import RunFolder
 from fanscope.sources.schemas import AffinityTables
@@ -101,6 +101,12 @@ class AffinityPipeline:
     def checkpoint_prefix(self) -> str:
         return self._folder.path
 
+    def ranked_report(self) -> DataFrame:
+        """The best `report_top` predictors, written as the ranked report and read back."""
+        path = self._folder.table("ranked_report")
+        write_ranked_report(self.entity_implications, path, self.p.report_top)
+        return self.spark.read.schema(self.entity_implications.schema).json(path)
+
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         if self.store == "checkpoint":
             # The folder is keyed by the inputs and parameters (prefix) and by
@@ -119,8 +125,8 @@ class AffinityPipeline:
         for df in self._persisted:
             df.unpersist(blocking)
         self._persisted.clear()
-        if "_folder" in self.__dict__:
-            self._folder.release()
+        for folder in (*self.t.folders, *([self._folder] if "_folder" in self.__dict__ else [])):
+            folder.release()
 
     def _fits(self, rows: int, size: int) -> bool:
         return rows <= self.p.broadcast_max_rows and size <= self.p.broadcast_max_bytes

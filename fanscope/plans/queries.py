@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from fanscope import sinks
 from fanscope.functions.scoring import RANK_DECIMALS
 from fanscope.operators import factors
 from fanscope.params import AffinityParams
 from fanscope.plans.pipeline import FACTOR_ATTRIBUTES, AffinityPipeline
-from fanscope.sinks.runs import RunFolder
 from fanscope.sources.schemas import AffinityTables
 
 # The factor the single-metric reports are shown for (any person attribute
@@ -79,6 +77,7 @@ BUILDERS: dict[str, Callable[[AffinityPipeline], DataFrame]] = {
     "like_topic_count": lambda p: p.like_topic_stats.select("like_id", "n_likers"),
     "entity_implications": lambda p: _implication_cols(p.entity_implications),
     "top_implications": lambda p: _implication_cols(p.top_implications()),
+    "reported_top_implications": lambda p: _implication_cols(p.ranked_report()),
     "offtopic_implications": lambda p: _implication_cols(p.offtopic_implications),
     "top_offtopic": lambda p: _implication_cols(p.top_offtopic()),
     # edge
@@ -113,17 +112,6 @@ BUILDERS: dict[str, Callable[[AffinityPipeline], DataFrame]] = {
 }
 
 
-def _ranked_report(p: AffinityPipeline) -> DataFrame:
-    """The best predictors as the ranked report holds them."""
-    folder = RunFolder(p.spark, "report")
-    sinks.write_ranked_report(p.entity_implications, folder.table("top"), p.p.report_top)
-    return p.spark.read.schema(p.entity_implications.schema).json(folder.path + "/top")
-
-
-# Results that go through a sink and are read back.
-BUILDERS["reported_top_implications"] = lambda p: _implication_cols(_ranked_report(p))
-
-
 # Results that are also shown on a variant of the inputs (see sources.fixtures).
 VARIANT_RESULTS = {
     "curated": ("topic_entities", "topic_and_big_likes", "person_topic_counts", "person_topic_share",

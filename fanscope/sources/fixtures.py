@@ -126,7 +126,7 @@ def _through_raw_files(t: AffinityTables) -> AffinityTables:
         return df.select(*[df[c].cast(was.schema[c].dataType).alias(c) for c in was.columns])
 
     # The files' names differ from run to run; what they were made of doesn't.
-    return dataclasses.replace(t, **{name: typed(name) for name in (*RAW_TABLES, "topic")})
+    return dataclasses.replace(t, folders=[folder], **{name: typed(name) for name in (*RAW_TABLES, "topic")})
 
 
 def _turn(values: list[str], k: Column) -> Column:

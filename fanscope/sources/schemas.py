@@ -61,6 +61,7 @@ class AffinityTables:
     categories     {group: [type, ...]}            category vocabularies
     names          [name, ...]                     name slice vocabulary
     roots          [path, ...]                     folders or files that the frames are read from
+    folders        [RunFolder, ...]                run folders that hold them, released with the analysis
     """
     fact_like: DataFrame
     dim_like: DataFrame
@@ -72,6 +73,7 @@ class AffinityTables:
     categories: dict[str, list[str]]
     names: list[str]
     roots: list[str] = field(default_factory=list)
+    folders: list = field(default_factory=list)
 
     def plan_hashes(self) -> list[str]:
         """Semantic hash of each input's canonical plan: covers column
