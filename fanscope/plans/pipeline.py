@@ -145,8 +145,13 @@ class AffinityPipeline:
 
     @cached_property
     def heavy_entities(self) -> DataFrame | None:
-        """(like_id) of entities with more than 1/heavy_keys_max of the region's facts."""
-        return heavy_keys(self.region_facts, "like_id", self.p.heavy_keys_max)
+        """(like_id) of entities with more than 1/heavy_keys_max of the region's facts (so many that
+        `broadcast_max_rows` can't be exceeded; None where that allows none)."""
+        return self._heavy(self.region_facts, "like_id")
+
+    def _heavy(self, facts: DataFrame, key: str) -> DataFrame | None:
+        most = min(self.p.heavy_keys_max, self.p.broadcast_max_rows)
+        return heavy_keys(facts, key, most) if most else None
 
     def _spread(self, keys: Sized) -> Spread | None:
         """How facts are joined with a set of entities: none for a broadcast."""
@@ -244,8 +249,7 @@ class AffinityPipeline:
     @cached_property
     def _facts_by_person(self) -> ByPerson:
         facts = self._region_facts
-        heavy = heavy_keys(facts, "person_id", self.p.heavy_keys_max)
-        return self._keep_by_person(split_by_weight(facts, heavy), "region_facts")
+        return self._keep_by_person(split_by_weight(facts, self._heavy(facts, "person_id")), "region_facts")
 
     @cached_property
     def _summary_by_person(self) -> ByPerson:

@@ -7,8 +7,7 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanscope.functions.scoring import rank_key
@@ -52,14 +51,10 @@ def input_fingerprint(files: list[str], extra: str = "") -> str:
     return h.hexdigest()[:16]
 
 
-def _complete(df_reader, path: str) -> bool:
+def _complete(spark: SparkSession, path: str) -> bool:
     # Spark writes a _SUCCESS marker when a write job commits; a folder
     # without it is a failed attempt and is recomputed.
-    try:
-        df_reader.text(os.path.join(path, "_SUCCESS"))
-        return True
-    except AnalysisException:
-        return False
+    return read_text(spark, os.path.join(path, "_SUCCESS")) is not None
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -70,6 +65,6 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     the cluster's `spark.checkpoint.dir`) and must encode everything the
     result depends on (see `input_fingerprint`)."""
     spark = df.sparkSession
-    if not _complete(spark.read, path):
+    if not _complete(spark, path):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ GOLDEN_ROWS = {
     "person_relevant_counts": 26, "person_topic_share": 26, "topic_like_facts": 31,
     "person_topic_counts": 18, "big_like_facts": 702, "like_topic_fractions": 702,
     "like_topic_sum": 91, "like_topic_count": 91, "entity_implications": 91,
-    "offtopic_implications": 88, "top_implications": 50, "top_offtopic": 50,
+    "offtopic_implications": 88, "top_implications": 50, "top_offtopic": 50, "reported_top_implications": 50,
     "edge_likers": 25, "edge_nonfans": 7, "region_profiles": 26, "people_birthdays": 19,
     "people_ages": 19, "people_agebands": 19, "people_genders": 23, "people_relationships": 19,
     "people_locales": 22, "implications_category_people": 33, "implications_category_music": 34,
