@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fanscope.llm import id_coder
-from fanscope.llm.common import STEP_BYTES, STEP_ROWS, parallelism, scratch_path, steps, text_or_empty, utf8
+from fanscope.llm.common import parallelism, scratch_path, steps, text_or_empty, utf8
 from fanscope.llm.textvec import INK
 
-END, SEGMENT, KEPT = 2, id_coder.BLOCK * id_coder.LANES, 800_000
+END, SEGMENT, KEPT = 2, id_coder.BLOCK * id_coder.LANES, 150_000
 FILES = "part int, segment int, doc_ids array<bigint>, lengths array<bigint>, n_ids long, data binary"
 
 
@@ -188,7 +188,7 @@ def write_ids(docs: DataFrame, to: str, tokenizer: str, end: int = END) -> None:
                  pa.array([sizes], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([coded], pa.binary())],
                 names=["part", "segment", "doc_ids", "lengths", "n_ids", "data"])
 
-        for batch in steps(batches, max_bytes=2 * STEP_BYTES, max_rows=4 * STEP_ROWS):
+        for batch in steps(batches):
             ids, size = encoder(tokenizer).encode(batch.column(1))
             ids = np.insert(ids, np.cumsum(size), end)
             at, stop = 0, np.cumsum(size + 1)
