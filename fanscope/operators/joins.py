@@ -28,9 +28,13 @@ def spread_join(big: DataFrame, keyed: DataFrame, key: str, by: str, slices: int
                 how: str = "inner") -> DataFrame:
     """Join a fact-sized frame with a thin frame of distinct keys, where a key
     may hold any share of `big`'s rows: `big` is split into slices by a hash of
-    `by`, and `keyed` is repeated for each slice."""
+    `by`, and `keyed` is repeated for each slice.
+
+    The merge hint keeps it a shuffle: Spark estimates the repeated rows by the
+    size of the files they come from, so it would broadcast what is `slices`
+    times larger (and far larger still in memory) through the driver."""
     spread: Column = F.pmod(F.xxhash64(by), F.lit(slices)).cast("int")
-    return (big.withColumn("_slice", spread).join(sliced(keyed, slices), [key, "_slice"], how)
+    return (big.withColumn("_slice", spread).join(sliced(keyed, slices).hint("merge"), [key, "_slice"], how)
             .drop("_slice"))
 
 

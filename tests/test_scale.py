@@ -54,6 +54,15 @@ def test_spread_joins_give_the_rows_of_a_plain_join(spark, how, hot):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_keys_repeated_for_slices_are_shuffled_however_small_they_look(spark, tmp_path, how):
+    """Spark sees the size of the keys' file, not that of the repeated rows, so it would broadcast them."""
+    spark.range(50).select(F.col("id").alias("like_id")).write.parquet(f"{tmp_path}/keyed")
+    facts = spark.range(300).select(F.col("id").alias("person_id"), (F.col("id") % 70).alias("like_id"))
+    text = plan_text(member_join(facts, spark.read.parquet(f"{tmp_path}/keyed"), "like_id", "person_id", Spread(None, 16), how))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def test_beyond_the_bounds_no_join_of_facts_by_entity_lacks_a_slice(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
