@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import cached_property
 
 import numpy as np
 
@@ -31,12 +32,16 @@ SMALL, WIDE = 1 << 10, 512
 FREQ_BITS, MIX_BITS = 17, 12
 #: Distinct ids of a segment at most, and numbers of ids that can be guessed (the most frequent ones).
 MOST, GUESSED = 1 << 16, 1 << 14
-#: Slots of the order-1 and order-2 tables (the places() below keep 11 and 12 bits), and how sure a slot gets.
+#: Slots of the order-1 and order-2 tables (powers of 2), and how sure a slot gets.
 SLOTS_1, SLOTS_2, SURE = 1 << 11, 1 << 12, 3
 #: The outcomes of a stride move a mixing weight by 2**-RATE each of what is missing.
 RATE = 6
 _SEGMENT, _HEAD = struct.Struct("<III"), struct.Struct("<III")
 _STATES = (SURE + 1) ** 2
+_NO_GUESS, _SURE, _1, _2 = (np.uint16(x) for x in ((1 << 16) - 1, SURE, 1, 2))
+#: Factors of the slots' hashes, and by order the bits that a slot's number doesn't take.
+_HASH, _15 = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0x2C1B3C6D)], np.uint32(15)
+_SLOT_BITS = np.array([[33 - SLOTS_1.bit_length()], [33 - SLOTS_2.bit_length()]], np.uint32)
 #: A range at or below this is renewed by a word; one id takes 29 bits at most, so one word always does.
 _LOW, _32, _ALL = np.uint64((1 << 32) - 1), np.uint64(32), np.uint64((1 << 64) - 1)
 
@@ -83,10 +88,15 @@ class Prior:
 
     def symbols(self, ids: np.ndarray) -> np.ndarray:
         if len(self.distinct) and self.distinct[-1] < 1 << 20:
-            table = np.zeros(int(self.distinct[-1]) + 1, np.int32)
-            table[self.distinct] = self.number
-            return table[ids]
-        return self.number[np.searchsorted(self.distinct, ids)].astype(np.int32)
+            return self.by_id.take(ids)
+        return self.number[np.searchsorted(self.distinct, ids)].astype(np.uint32)
+
+    @cached_property
+    def by_id(self) -> np.ndarray:
+        """The symbol of each id up to the largest."""
+        table = np.zeros(int(self.distinct[-1]) + 1, np.uint32)
+        table[self.distinct] = self.number
+        return table
 
     def lookup(self) -> np.ndarray:
         """The symbol of each of the 2**FREQ_BITS units."""
@@ -111,44 +121,72 @@ class Prior:
 
 class _Mixer:
     """The adaptive part of the model, for blocks side by side. A slot holds a guess (a symbol) and, in
-    its two lowest bits, how sure it is (0: empty)."""
+    its two lowest bits, how sure it is (0: empty). Orders 1 and 2 are handled at once, as rows 0 and 1."""
 
     def __init__(self, lanes: int):
-        self.base_1, self.base_2 = np.arange(lanes) * SLOTS_1, np.arange(lanes) * SLOTS_2
-        self.slots_1, self.slots_2 = np.zeros(lanes * SLOTS_1, np.uint16), np.zeros(lanes * SLOTS_2, np.uint16)
-        self.base = np.arange(lanes) * _STATES
+        lane = np.arange(lanes)
+        self.base = np.stack([lane * SLOTS_1, lanes * SLOTS_1 + lane * SLOTS_2])
+        self.slots = np.zeros(lanes * (SLOTS_1 + SLOTS_2), np.uint16)
+        self.first_state = lane * _STATES
         start = np.array([0, 400, 1200, 2400])
         # Shares of 2**12, by how sure the guesses of order 2 and 1 are: how often either is right.
         self.share_2 = np.tile(np.repeat(start, SURE + 1), lanes).astype(np.int64)
         self.share_1 = np.tile(np.tile(start // 2, SURE + 1), lanes).astype(np.int64)
-
-    def places(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The slots of order 1 and 2 after these symbols (lanes last)."""
-        lanes = last.shape[-1]
-        h = last.astype(np.uint32) * np.uint32(0x9E3779B1)
-        g = h + before.astype(np.uint32) * np.uint32(0x85EBCA77)
-        g = (g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        return self.base_1[:lanes] + (h >> np.uint32(21)), self.base_2[:lanes] + (g >> np.uint32(20))
-
-    def predict(self, at_1: np.ndarray, at_2: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The slots of order 2 and 1, the state, and the shares of 2**12 that the guesses get."""
-        slot_1, slot_2 = self.slots_1.take(at_1, mode="clip"), self.slots_2.take(at_2, mode="clip")
-        state = self.base[:at_1.shape[-1]] + (((slot_2 & SURE) << 2) + (slot_1 & SURE))
-        two = self.share_2.take(state, mode="clip")
-        return slot_2, slot_1, state, two, ((1 << MIX_BITS) - two) * self.share_1.take(state, mode="clip") >> MIX_BITS
-
-    def update(self, at_1: np.ndarray, at_2: np.ndarray, slot_2: np.ndarray, slot_1: np.ndarray, state: np.ndarray,
-               x: np.ndarray) -> None:
+        self._mix()
+
+    def _mix(self) -> None:
+        """By state: units of 2**(MIX_BITS + FREQ_BITS) that order 2 gets, that both orders get, and what
+        share of 2**MIX_BITS is left for order 0."""
+        both = self.share_2 + (((1 << MIX_BITS) - self.share_2) * self.share_1 >> MIX_BITS)
+        self.two, self.both, self.rest = self.share_2 << FREQ_BITS, both << FREQ_BITS, (1 << MIX_BITS) - both
+
+    def places(self, last: np.ndarray, before: np.ndarray, at: np.ndarray) -> None:
+        """Into `at` (..., orders, lanes): the slots after these symbols (32 bits; lanes last)."""
+        h = np.empty(at.shape, np.uint32)
+        one, two = h[..., 0, :], h[..., 1, :]
+        np.multiply(last, _HASH[0], out=one)
+        np.multiply(before, _HASH[1], out=two)
+        two += one
+        two ^= two >> _15
+        two *= _HASH[2]
+        h >>= _SLOT_BITS
+        np.add(self.base[:, :at.shape[-1]], h, out=at)
+
+    def predict(self, at: np.ndarray, slot: np.ndarray, state: np.ndarray) -> None:
+        """Into the last two: what the slots hold, and the state (..., lanes)."""
+        self.slots.take(at, mode="clip", out=slot)
+        sure = slot & _SURE
+        two = sure[..., 1, :]
+        two <<= _2
+        two |= sure[..., 0, :]
+        np.add(self.first_state[:at.shape[-1]], two, out=state)
+
+    def update(self, at: np.ndarray, slot: np.ndarray, state: np.ndarray, x: np.ndarray) -> None:
         """Learn the symbols x of a stride (ids, lanes). Of several outcomes at one slot the last stays."""
-        guess = x < GUESSED
-        new = np.where(guess, (x << 2) + 1, 0).astype(np.uint16)
+        guess = _guesses(x)
+        new = np.where(guess == _NO_GUESS, np.uint16(0), (guess << _2) | _1)
+        hit, sure = (slot >> _2) == guess[:, None], slot & _SURE
         size = len(self.share_2)
-        often = np.bincount(state.ravel(), minlength=size)
-        for slots, at, slot, share in ((self.slots_1, at_1, slot_1, self.share_1), (self.slots_2, at_2, slot_2, self.share_2)):
-            hit, sure = (slot >> 2) == x, slot & SURE
-            hits = np.bincount(state[hit], minlength=size)
+        # How often each state was there, by which of the guesses were right.
+        kind = state + hit[:, 0] * size
+        kind += hit[:, 1] * (2 * size)
+        neither, first, second, both = np.bincount(kind.ravel(), minlength=4 * size).reshape(4, size)
+        often = neither + first + second + both
+        for hits, share in ((first + both, self.share_1), (second + both, self.share_2)):
             share += ((hits << MIX_BITS) - hits - often * share) >> RATE
-            slots[at] = np.where(hit, slot + (sure < SURE), np.where(sure <= 1, new, slot - 1))
+        # A right guess gets surer, a wrong one less so until another takes its place.
+        after = slot - _1
+        after += hit * (_1 + (sure < _SURE))
+        after += ((sure <= _1) > hit) * (new[:, None] - after)
+        self.slots[at] = after
+        self._mix()
+
+
+def _guesses(x: np.ndarray) -> np.ndarray:
+    """Symbols as slots hold them; what no slot holds for those that can't be guessed."""
+    guess = x.astype(np.uint16)
+    guess[x >= GUESSED] = _NO_GUESS
+    return guess
 
 
 def _lanes_at(sizes: np.ndarray) -> list[tuple[int, int, int]]:
@@ -158,65 +196,77 @@ def _lanes_at(sizes: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(a), int(b), int((sizes >= b).sum())) for a, b in zip(starts, ends, strict=True)]
 
 
-def _carry(out: np.ndarray, at: int) -> None:
-    """Add 1 to the words before `at`."""
-    p = at - 1
-    while out[p] == 0xFFFFFFFF:
-        out[p] = 0
-        p -= 1
-    out[p] += 1
+def _carry(out: np.ndarray, at: np.ndarray) -> None:
+    """Add 1 to the words before each `at` (in different blocks)."""
+    while len(at):
+        at = at - 1
+        new = out.take(at) + np.uint32(1)
+        out[at] = new
+        at = at[new == 0]
 
 
 def _encode_lanes(prior: Prior, blocks: list[np.ndarray]) -> list[bytes]:
     """Blocks (sizes descending, none empty), coded side by side."""
     lanes, sizes = len(blocks), np.array([len(b) for b in blocks])
-    symbols = np.zeros((int(sizes[0]) + 2, lanes), np.int32)  # two of 0 come first
+    symbols = np.zeros((int(sizes[0]) + 2, lanes), np.uint32)  # two of 0 come first
     for k, b in enumerate(blocks):
         symbols[2:len(b) + 2, k] = prior.symbols(b)
     mixer = _Mixer(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
     room = int(sizes[0]) + 16
-    out, at = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
+    out, to_word = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
     shift = np.uint64(FREQ_BITS + MIX_BITS)
     freq, before = prior.freq, prior.before
     for start, end, k in _lanes_at(sizes):
-        low_k, span_k, at_k = low[:k], span[:k], at[:k]  # views
+        low_k, span_k, to_k = low[:k], span[:k], to_word[:k]  # views
         for i in range(start, end, STRIDE):
             x = symbols[i + 2:min(i + STRIDE, end) + 2, :k]
-            at_1, at_2 = mixer.places(symbols[i + 1:i + 1 + len(x), :k], symbols[i:i + len(x), :k])
-            slot_2, slot_1, state, two, one = mixer.predict(at_1, at_2)
-            by_2, by_1 = ((slot_2 >> 2) == x) & (two > 0), ((slot_1 >> 2) == x) & (one > 0)
-            both = two + one
-            rest = (1 << MIX_BITS) - both
-            size = np.where(by_2, two << FREQ_BITS, np.where(by_1, one << FREQ_BITS, rest * freq.take(x, mode="clip")))
-            first = np.where(by_1, two << FREQ_BITS, (both << FREQ_BITS) + rest * before.take(x, mode="clip"))
-            first[by_2] = 0
+            at, slot = (np.empty((len(x), 2, k), t) for t in (np.int64, np.uint16))
+            state = np.empty(x.shape, np.int64)
+            mixer.places(symbols[i + 1:i + 1 + len(x), :k], symbols[i:i + len(x), :k], at)
+            mixer.predict(at, slot, state)
+            rest = mixer.rest.take(state, mode="clip")
+            size, first = freq.take(x, mode="clip"), before.take(x, mode="clip")
+            size *= rest
+            first *= rest
+            first += mixer.both.take(state, mode="clip")
+            # Where a guess is right it codes the id, unless it has no share.
+            hit = (slot >> _2) == _guesses(x)[:, None]
+            some = (hit[:, 0] | hit[:, 1]).ravel().nonzero()[0]
+            of, by_2 = state.ravel().take(some), hit[:, 1].ravel().take(some)
+            two = mixer.two.take(of)
+            one = mixer.both.take(of) - two
+            by_2 &= two > 0
+            share = np.where(by_2, two, np.where(hit[:, 0].ravel().take(some), one, 0))
+            by_guess = share.nonzero()[0]
+            some = some.take(by_guess)
+            size.ravel()[some] = share.take(by_guess)
+            first.ravel()[some] = np.where(by_2, 0, two).take(by_guess)
             size, first = size.view(np.uint64), first.view(np.uint64)
             for j in range(len(x)):
                 unit = span_k >> shift
                 add = first[j] * unit
                 low_k += add
                 np.multiply(size[j], unit, out=span_k)
-                over = low_k < add
-                if over.any():
-                    for lane in over.nonzero()[0]:
-                        _carry(out, at_k[lane])
+                over = (low_k < add).nonzero()[0]
+                if len(over):
+                    _carry(out, to_k.take(over))
                 thin = (span_k <= _LOW).nonzero()[0]
                 if len(thin):
-                    part, to = low_k[thin], at_k[thin]
+                    part, to = low_k.take(thin), to_k.take(thin)
                     out[to] = part >> _32
-                    at_k[thin] = to + 1
+                    to_k[thin] = to + 1
                     low_k[thin] = part << _32
                     span_k[thin] <<= _32
-            mixer.update(at_1, at_2, slot_2, slot_1, state, x)
+            mixer.update(at, slot, state, x)
     made = []
     for k, b in enumerate(blocks):
         # One more word is within the range, and what follows it may be zeros.
         last = (int(low[k]) >> 32) + 1
         if last >> 32:
-            _carry(out, at[k])
-        out[at[k]] = last & 0xFFFFFFFF
-        code = out[k * room:int(at[k]) + 1].astype("<u4").tobytes()
+            _carry(out, to_word[k:k + 1])
+        out[to_word[k]] = last & 0xFFFFFFFF
+        code = out[k * room:int(to_word[k]) + 1].astype("<u4").tobytes()
         made.append(_HEAD.pack(len(b), zlib.crc32(b.astype("<u4").tobytes()), len(code) // 4) + code)
     return made
 
@@ -227,48 +277,56 @@ def _decode_lanes(prior: Prior, blocks: list[tuple[int, int, bytes]]) -> list[np
     lookup, freq, before = prior.lookup(), prior.freq, prior.before
     size = np.array([len(c) // 4 + 8 for *_, c in blocks])
     words = np.zeros(int(size.sum()), np.uint64)
-    at = np.cumsum(size) - size
+    from_word = np.cumsum(size) - size
     for k, (*_, c) in enumerate(blocks):
-        words[at[k]:at[k] + len(c) // 4] = np.frombuffer(c, "<u4")
-    bound = len(words) - 1
-    code = (words[at] << _32) + words[at + 1]
-    at += 2
+        words[from_word[k]:from_word[k] + len(c) // 4] = np.frombuffer(c, "<u4")
+    code = (words[from_word] << _32) + words[from_word + 1]
+    from_word += 2
     mixer, span = _Mixer(lanes), np.full(lanes, _ALL)
-    symbols = np.zeros((int(sizes[0]) + 2, lanes), np.int64)
+    symbols = np.zeros((int(sizes[0]) + 2, lanes), np.uint32)
     shift = np.uint64(FREQ_BITS + MIX_BITS)
     for start, end, k in _lanes_at(sizes):
-        code_k, span_k, at_k = code[:k], span[:k], at[:k]
+        code_k, span_k, from_k = code[:k], span[:k], from_word[:k]
+        ats, slots = (np.empty((STRIDE, 2, k), t) for t in (np.int64, np.uint16))
+        states = np.empty((STRIDE, k), np.int64)
         for i in range(start, end, STRIDE):
-            seen: list[tuple] = []
-            for j in range(i, min(i + STRIDE, end)):
-                at_1, at_2 = mixer.places(symbols[j + 1, :k], symbols[j, :k])
-                slot_2, slot_1, state, two, one = mixer.predict(at_1, at_2)
-                both = two + one
-                rest = (1 << MIX_BITS) - both
+            n = min(STRIDE, end - i)
+            for j, (at, slot, state) in enumerate(zip(ats[:n], slots, states, strict=False), i):
+                mixer.places(symbols[j + 1, :k], symbols[j, :k], at)
+                mixer.predict(at, slot, state)
+                both, rest = mixer.both.take(state, mode="clip"), mixer.rest.take(state, mode="clip")
                 unit = span_k >> shift
                 t = (code_k // unit).view(np.int64)  # below 2**29, but for what rounding leaves at the end
-                two_t, both_t = two << FREQ_BITS, both << FREQ_BITS
-                by_2, by_1 = t < two_t, t < both_t
-                found = (t - both_t) // rest
-                x = np.where(by_2, slot_2 >> 2, np.where(by_1, slot_1 >> 2, lookup.take(found, mode="clip")))
-                first = np.where(by_1, two_t, both_t + rest * before.take(x, mode="clip"))
-                first[by_2] = 0
-                part = np.where(by_2, two_t, np.where(by_1, both_t - two_t, rest * freq.take(x, mode="clip")))
-                code_k -= first.view(np.uint64) * unit
-                np.multiply(part.view(np.uint64), unit, out=span_k)
+                t -= both
+                # Quotients of numbers this small are exact before they are cut off.
+                x = lookup.take((t / rest).astype(np.int64), mode="clip")
+                first, part = before.take(x, mode="clip"), freq.take(x, mode="clip")
+                first *= rest
+                first += both
+                part *= rest
+                some = (t < 0).nonzero()[0]
+                if len(some):  # ids that were guessed
+                    two, up_to = mixer.two.take(state.take(some)), both.take(some)
+                    by_2 = t.take(some) + up_to < two
+                    x[some] = np.where(by_2, slot[1].take(some), slot[0].take(some)) >> _2
+                    first[some] = np.where(by_2, 0, two)
+                    part[some] = np.where(by_2, two, up_to - two)
+                first, part = first.view(np.uint64), part.view(np.uint64)
+                first *= unit
+                code_k -= first
+                np.multiply(part, unit, out=span_k)
                 thin = (span_k <= _LOW).nonzero()[0]
                 if len(thin):
-                    p = np.minimum(at_k[thin], bound)
-                    code_k[thin] = (code_k[thin] << _32) | words[p]
-                    at_k[thin] = p + 1
+                    p = from_k.take(thin)
+                    code_k[thin] = (code_k.take(thin) << _32) | words.take(p, mode="clip")
+                    from_k[thin] = p + 1
                     # A range of 0 comes of damage alone; the checksum will tell.
-                    span_k[thin] = np.maximum(span_k[thin] << _32, _LOW)
+                    span_k[thin] = np.maximum(span_k.take(thin) << _32, _LOW)
                 symbols[j + 2, :k] = x
-                seen.append((at_1, at_2, slot_2, slot_1, state))
-            mixer.update(*map(np.array, zip(*seen, strict=True)), symbols[i + 2:i + 2 + len(seen), :k])
+            mixer.update(ats[:n], slots[:n], states[:n], symbols[i + 2:i + 2 + n, :k])
     out = []
     for k in range(lanes):
-        ids = prior.ids[np.clip(symbols[2:sizes[k] + 2, k], 0, len(prior.ids) - 1)]
+        ids = prior.ids.take(symbols[2:sizes[k] + 2, k], mode="clip")
         if zlib.crc32(ids.astype("<u4").tobytes()) != blocks[k][1]:
             raise BrokenBlock("wrong checksum")
         out.append(ids)

@@ -31,19 +31,23 @@ from pyspark.sql import functions as F
 
 from fanscope.llm import id_coder
 from fanscope.llm.common import parallelism, scratch_path, steps, text_or_empty, utf8
-from fanscope.llm.textvec import INK
+from fanscope.llm.known_runs import KnownRuns, Runs
+from fanscope.llm.textvec import segments
 
-END, SEGMENT, KEPT = 2, id_coder.BLOCK * id_coder.LANES, 150_000
+END, SEGMENT, KEPT = 2, id_coder.BLOCK * id_coder.LANES, 1 << 20
+#: Signs at the end of a run that are cut off at most.
+SIGNS = 8
 FILES = "part int, segment int, doc_ids array<bigint>, lengths array<bigint>, n_ids long, data binary"
 
 
 # The characters that byte-level vocabularies show bytes as: printable ones as
 # themselves, the others, in order, as those from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_SHOWN = np.arange(256, dtype="<u4")
+_SHOWN[[b for b in range(256) if b not in _PRINTED]] = 256 + np.arange(256 - len(_PRINTED))
+_SHOWN[10] = 10  # parts words
 
 _BYTES = np.arange(256, dtype=np.uint8)
-_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _ALNUM = ((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 48) & (_BYTES <= 57))
 #: ASCII punctuation but the apostrophe.
 _SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_ALNUM & ~((_BYTES >= 65) & (_BYTES <= 90)) & (_BYTES != 39)
@@ -65,98 +69,83 @@ class Encoder:
         # The Latin letters of which this is so, found by trying them.
         latin = [c for c in map(chr, range(97, 0x250)) if c.isalpha()]
         tried = self.tokenizer.encode_batch_fast([f"a{c}{c}b" for c in latin], add_special_tokens=False)
-        self.letters = frozenset(c for c, e in zip(latin, tried, strict=True) if e.ids == self.merge(f"a{c}{c}b".encode()))
-        self._keep([])
-
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of one word."""
-        shown = word.decode("latin-1")
-        return [t.id for t in self.tokenizer.model.tokenize(shown if word.isascii() else shown.translate(_SHOWN))]
-
-    def _keep(self, runs: list[bytes]) -> None:
-        """Forget all but these."""
-        made = [self.ids[self.start[k]:self.start[k] + self.size[k]].tolist() for k in map(self.known.__getitem__, runs)] if runs else []
-        self.known: dict[bytes, int] = {}  # the run's number
-        #: By number: where its ids are, how many, and in how many batches it was.
-        self.start, self.size, self.seen = (np.zeros(1 << 12, np.int64) for _ in range(3))
-        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
-        self._add(runs, made)
-
-    def _learn(self, runs: list[bytes]) -> None:
-        plain = [r for r in runs if self.letters.issuperset(r.decode())]
-        other = list(set(runs).difference(plain))
-        made = [self.merge(r) for r in plain]
-        made += [e.ids for e in self.tokenizer.encode_batch_fast([r.decode() for r in other], add_special_tokens=False)]
-        self._add(plain + other, made)
-
-    def _add(self, runs: list[bytes], made: list[list[int]]) -> None:
-        n, size = len(self.known), np.array([len(x) for x in made], np.int64)
-        while n + len(made) > len(self.start):
-            self.start, self.size, self.seen = (np.append(x, np.zeros_like(x)) for x in (self.start, self.size, self.seen))
-        new = np.fromiter((i for x in made for i in x), np.uint32, int(size.sum()))
-        while self.used + len(new) > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.ids[self.used:self.used + len(new)] = new
-        self.size[n:n + len(made)] = size
-        self.start[n:n + len(made)] = self.used + np.cumsum(size) - size
-        self.used += len(new)
-        self.known.update(zip(runs, range(n, n + len(made)), strict=True))
+        self.letters = frozenset(c for c, e in zip(latin, tried, strict=True) if e.ids == self.merge([f"a{c}{c}b".encode()])[0])
+        self.known = KnownRuns()
+
+    def merge(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """The ids of words (without line feeds), one after the other, and how many each has."""
+        shown = _SHOWN[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-32-le").split("\n") if words else []
+        ids, size, tokenize = [], [], self.tokenizer.model.tokenize
+        for word in shown:
+            tokens = tokenize(word)
+            ids += [t.id for t in tokens]
+            size.append(len(tokens))
+        return ids, size
+
+    def _learn(self, runs: list[bytes]) -> tuple[np.ndarray, list[int], list[int]]:
+        """An order of these runs, the ids of all in that order, and how many each has."""
+        plain = np.fromiter((self.letters.issuperset(r.decode()) for r in runs), bool, len(runs))
+        ids, size = self.merge([r for r, p in zip(runs, plain, strict=True) if p])
+        other = [r.decode() for r, p in zip(runs, plain, strict=True) if not p]
+        for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False):
+            ids += e.ids
+            size.append(len(e))
+        return np.argsort(~plain, kind="stable"), ids, size
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts of a string column, one after the other, and how many each text has."""
-        values, ends, rows = _runs(*utf8(column))
-        coded = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values)]).dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        if not len(runs):
-            return np.zeros(0, np.uint32), np.zeros(len(rows) - 1, np.int64)
-        if len(self.known) + len(runs) > KEPT:  # what was in one batch alone goes; all, if too much is left
-            often = [r for r, k in self.known.items() if self.seen[k] > 1]
-            self._keep(often if 2 * len(often) <= KEPT else [])
-        number = list(map(self.known.get, runs))
-        if None in number:
-            self._learn([r for r, k in zip(runs, number, strict=True) if k is None])
-            number = list(map(self.known.__getitem__, runs))
-        number = np.array(number, np.int64)
-        self.seen[number] += 1
-        number = number[coded.indices.to_numpy()]
-        size = self.size[number]
-        end = np.cumsum(size)
-        ids = self.ids[np.arange(int(end[-1])) + np.repeat(self.start[number] - (end - size), size)]
+        runs, rows = _runs(*utf8(column))
+        self.known.forget(KEPT)
+        number = self.known.numbers(runs)
+        new = np.flatnonzero(number == 0)
+        if len(new):
+            coded = runs.of(new).arrow().dictionary_encode()
+            code = coded.indices.to_numpy()
+            one = np.zeros(len(coded.dictionary), np.int64)
+            one[code] = new  # a place of each
+            order, *made = self._learn(coded.dictionary.to_pylist())
+            numbers = np.empty(len(one), np.int64)
+            numbers[order] = self.known.add(runs.of(one[order]), *made)
+            number[new] = numbers[code]
+        ids, end = self.known.ids_of(number)
         before = np.concatenate([[0], end])
         return ids, np.diff(before[rows])
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs in rows of UTF-8 bytes: their bytes, one after the other, the offsets of each in these,
-    and the offsets of each row's runs."""
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[Runs, np.ndarray]:
+    """The runs in rows of UTF-8 bytes, and the offsets of each row's runs."""
     n = len(data)
-    if not n:
-        return data, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
-    new = np.zeros(n + 1, bool)  # where a row begins, and behind the last
-    new[offsets] = True
+    low = np.zeros((n // 8 + 2) * 8, np.uint8)
+    np.left_shift(data - np.uint8(65) < 26, 5, out=low[:n], casting="unsafe", dtype=np.uint8)
+    low[:n] |= data  # ASCII capitals made small
     # Rows that may hold names of special tokens.
-    at = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
-    special = np.unique(np.searchsorted(offsets, at, "right") - 1)
-    low = _LOWER[data]
+    at = np.flatnonzero(data == 124)
+    at = at[at > 0]
+    special = np.unique(np.searchsorted(offsets, at[data[at - 1] == 60], "right") - 1)
     for r in special:
         low[offsets[r]:offsets[r + 1]] = data[offsets[r]:offsets[r + 1]]
-    ink, sign = INK[low], _SIGN[low]
-    begins, ends = sign.copy(), sign.copy()  # of runs of signs
-    begins[1:] &= ~sign[:-1] | new[1:n]
-    ends[:-1] &= ~sign[1:] | new[1:n]
-    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
-    after = np.append(~ink, True) | new
-    cut = after[ends + 1] & (begins > 0) & ~new[begins] & _ALNUM[low[begins - 1]]
-    cut = begins[cut]
-    if len(special) and len(cut):
-        cut = cut[~np.isin(np.searchsorted(offsets, cut, "right") - 1, special)]
-    start = ink.copy()
-    start[1:] &= ~ink[:-1] | new[1:n]
-    start[cut] = True
-    # Places in the bytes without white space.
-    place = np.concatenate([[0], np.cumsum(ink)])
-    first = np.flatnonzero(start)
-    return low[ink], np.append(place[first], place[-1]), np.searchsorted(first, offsets)
+    start, end, rows = segments((low[:n] != 32) & (low[:n] - np.uint8(9) > 4), offsets)
+    # The signs at a run's end, if few, are a run of their own where an ASCII letter or digit is before them.
+    plain = np.ones(len(start), bool)
+    for r in special:
+        plain[rows[r]:rows[r + 1]] = False
+    run, at, cuts = np.flatnonzero(plain), end[plain], []
+    for signs in range(SIGNS + 1):
+        is_sign = _SIGN[low[at - 1]]
+        if signs:
+            stop = ~is_sign & _ALNUM[low[at - 1]]
+            cuts.append((run[stop], at[stop]))
+        go = is_sign & (at - 1 > start[run])
+        run, at = run[go], at[go] - 1
+    cut = np.zeros(len(start), np.int64)
+    for run, at in cuts:
+        cut[run] = at
+    two = cut > 0
+    place = np.arange(len(start)) + np.cumsum(two) - two
+    starts, ends = np.empty(len(start) + int(two.sum()), np.int64), np.empty(len(start) + int(two.sum()), np.int64)
+    starts[place], ends[place] = start, np.where(two, cut, end)
+    starts[place[two] + 1], ends[place[two] + 1] = cut[two], end[two]
+    return Runs(low, starts, ends - starts), np.append(place, len(starts))[rows]
 
 
 _encoder: Encoder | None = None
@@ -190,7 +179,10 @@ def write_ids(docs: DataFrame, to: str, tokenizer: str, end: int = END) -> None:
 
         for batch in steps(batches):
             ids, size = encoder(tokenizer).encode(batch.column(1))
-            ids = np.insert(ids, np.cumsum(size), end)
+            stop = np.cumsum(size)
+            pieces = [np.array([end], np.uint32)] * (2 * len(size))
+            pieces[::2] = np.split(ids, stop[:-1])
+            ids = np.concatenate(pieces)
             at, stop = 0, np.cumsum(size + 1)
             known = batch.column(0).to_pylist()
             while at < len(stop):
